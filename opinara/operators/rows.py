@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import pin
 from .summary import order_key
 
 
@@ -34,15 +34,14 @@ def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 def dense_index(df: DataFrame, order: Sequence[str], out: str = "idx", partitions: int | None = None) -> DataFrame:
     """0-based dense position of every row in the given total order.
 
-    Range-partitioned sort, pinned by a checkpoint so that recomputation cannot
-    renumber rows; then each partition adds the sizes of the partitions before
+    Range-partitioned sort, written to the shared folder so that recomputation
+    cannot renumber rows; then each partition adds the sizes of the partitions before
     it (one row per partition, so the offset table is bounded).
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    pinned = ranged.withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
+    pinned = pin(ranged.withColumn("_mid", F.monotonically_increasing_id()))
     block = F.shiftright("_mid", 33)
     pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     placed = pinned.withColumns({"_blk": block, "_pos": pos}).drop("_mid")

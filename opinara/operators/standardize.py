@@ -44,7 +44,9 @@ def zscore(
     names = names or {c: f"{c}_z" for c in cols}
     # Rounding noise of a constant column stays below this share of its mean.
     eps = 1e-13
-    stats = column_stats(df if stats_from is None else stats_from, cols, ddof).scalar()
+    source = df if stats_from is None else stats_from
+    with_stats = df.withColumn("_stats", column_stats(source, cols, ddof).scalar())
+    stats = F.col("_stats")
     out = {}
     for i, c in enumerate(cols):
         x = finite(F.col(c).cast("double"))
@@ -59,7 +61,7 @@ def zscore(
         else:
             alt = F.lit(None).cast("double")
         out[names[c]] = F.when(flat, alt).otherwise((x - m) / s)
-    return df.withColumns(out)
+    return with_stats.withColumns(out).drop("_stats")
 
 
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:

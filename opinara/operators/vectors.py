@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, l2_normalize, vec_check
+from .rows import stack_rows
 
 CENTROID_BLOCK_BYTES = 32 << 20
 
@@ -56,10 +57,13 @@ def cross_concepts(vectors: DataFrame, cents: DataFrame, id_col: str, vec: str,
         matrix = np.array([r["centroid"] for r in block], dtype=float)
         names = {k: [r[k] for r in block] for k in keys}
         parts.append(unit.mapInPandas(_similarity_task(matrix, names, id_col, list(keys)), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _stack(parts)
+
+
+def _stack(parts: list[DataFrame]) -> DataFrame:
+    if not parts:
+        raise ValueError("no centroids given")
+    return stack_rows(parts)
 
 
 def _similarity_task(matrix: np.ndarray, names: dict, id_col: str, keys: list[str]):
@@ -87,24 +91,18 @@ def concept_scores(
     negative: str = "negative",
 ) -> DataFrame:
     """Rows (id, concept, sim_pos, sim_neg, score = sim_pos - sim_neg), no shuffle of the vectors."""
-    pos = {r[concept]: r["centroid"] for b in _centroid_blocks(cents.filter(F.col(polarity) == positive), [concept], "centroid") for r in b}
-    neg = {r[concept]: r["centroid"] for b in _centroid_blocks(cents.filter(F.col(polarity) == negative), [concept], "centroid") for r in b}
-    names = sorted(pos.keys() & neg.keys())
-    dim = len(next(iter(pos.values()), []))
-    per_block = max(1, CENTROID_BLOCK_BYTES // (16 * max(dim, 1)))
+    pos = cents.filter(F.col(polarity) == positive).select(concept, F.col("centroid").alias("_pos"))
+    neg = cents.filter(F.col(polarity) == negative).select(concept, F.col("centroid").alias("_neg"))
+    pairs = pos.join(neg, concept).select(concept, F.concat("_pos", "_neg").alias("_both"))
     ctype = cents.schema[concept].dataType.simpleString()
     id_type = vectors.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, {concept} {ctype}, sim_pos double, sim_neg double, score double"
     unit = vectors.select(id_col, l2_normalize(F.col(vec)).alias("_v"))
     parts = []
-    for i in range(0, len(names), per_block):
-        block = names[i : i + per_block]
-        p, n = np.array([pos[c] for c in block]), np.array([neg[c] for c in block])
-        parts.append(unit.mapInPandas(_score_task(p, n, block, id_col, concept), schema))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    for block in _centroid_blocks(pairs, [concept], "_both"):
+        p, n = np.split(np.array([r["_both"] for r in block], dtype=float), 2, axis=1)
+        parts.append(unit.mapInPandas(_score_task(p, n, [r[concept] for r in block], id_col, concept), schema))
+    return _stack(parts)
 
 
 def _score_task(pos: np.ndarray, neg: np.ndarray, names: list, id_col: str, concept: str):
@@ -146,13 +144,8 @@ def pca_scores(df: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
     scale = np.where(std > 0, 1.0 / np.where(std > 0, std, 1.0), 0.0)
     d = len(mean)
     gram = base.mapInPandas(_moment_task(mean, scale), "g array<double>, n long")
-    total = gram.select(F.posexplode("g").alias("i", "x"), "n").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    cells = total.collect()
-    corr = np.zeros(d * d)
-    n = 0
-    for c in cells:
-        corr[c["i"]] = c["x"]
-        n = c["n"]
+    total = gram.agg(Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("n").alias("n")).first()
+    corr, n = total["g"].toArray(), total["n"]
     values, vectors_ = np.linalg.eigh(corr.reshape(d, d) / max(n, 1))
     top = vectors_[:, ::-1][:, :k]
     lam = values[::-1][:k]
