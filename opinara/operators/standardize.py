@@ -16,14 +16,20 @@ from ..functions.scalars import finite
 ON_CONSTANT = ("zero", "zero_observed", "raise", "null")
 
 
+# Rounding noise of a constant column stays below this share of its mean.
+NOISE = 1e-13
+
+
 def column_stats(df: DataFrame, cols: Sequence[str], ddof: int = 0) -> DataFrame:
-    """One row with ``stats`` = struct of mean and sd per column."""
+    """One row with ``stats`` = struct of mean m_i and sd s_i per column; s_i is null without variance."""
     sd = F.stddev_pop if ddof == 0 else F.stddev_samp
+    rows = df.select(*[finite(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
+    aggs = [a for i in range(len(cols)) for a in (F.avg(f"x{i}").alias(f"m{i}"), sd(f"x{i}").alias(f"d{i}"))]
     fields = []
-    for i, c in enumerate(cols):
-        x = finite(F.col(c).cast("double"))
-        fields += [F.avg(x).alias(f"m{i}"), sd(x).alias(f"s{i}")]
-    return df.agg(F.struct(*fields).alias("stats"))
+    for i in range(len(cols)):
+        varies = F.col(f"d{i}") > F.abs(F.col(f"m{i}")) * NOISE
+        fields += [F.col(f"m{i}"), F.when(varies, F.col(f"d{i}")).alias(f"s{i}")]
+    return rows.agg(*aggs).select(F.struct(*fields).alias("stats"))
 
 
 def zscore(
@@ -42,8 +48,6 @@ def zscore(
     if on_constant not in ON_CONSTANT:
         raise ValueError(f"on_constant must be one of {ON_CONSTANT}")
     names = names or {c: f"{c}_z" for c in cols}
-    # Rounding noise of a constant column stays below this share of its mean.
-    eps = 1e-13
     source = df if stats_from is None else stats_from
     with_stats = df.withColumn("_stats", column_stats(source, cols, ddof).scalar())
     stats = F.col("_stats")
@@ -51,7 +55,6 @@ def zscore(
     for i, c in enumerate(cols):
         x = finite(F.col(c).cast("double"))
         m, s = stats[f"m{i}"], stats[f"s{i}"]
-        flat = s.isNull() | (s <= F.abs(m) * eps)
         if on_constant == "zero":
             alt = F.lit(0.0)
         elif on_constant == "zero_observed":
@@ -60,7 +63,7 @@ def zscore(
             alt = F.raise_error(F.lit(f"cannot standardise {c}: invalid standard deviation")).cast("double")
         else:
             alt = F.lit(None).cast("double")
-        out[names[c]] = F.when(flat, alt).otherwise((x - m) / s)
+        out[names[c]] = F.when(s.isNull(), alt).otherwise((x - m) / s)
     return with_stats.withColumns(out).drop("_stats")
 
 
