@@ -137,13 +137,12 @@ def pca_scores(df: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
 
     The only matrix that leaves the executors is the d x d correlation matrix.
     """
-    v = array_to_vector(as_double(F.col(vec)))
-    base = df.select(id_col, v.alias("_v"))
-    row = base.agg(Summarizer.metrics("mean", "std").summary(F.col("_v")).alias("s")).select("s.mean", "s.std").first()
+    base = df.select(id_col, as_double(F.col(vec)).alias("_v"))
+    row = base.agg(Summarizer.metrics("mean", "std").summary(array_to_vector("_v")).alias("s")).select("s.mean", "s.std").first()
     mean, std = row["mean"].toArray(), row["std"].toArray()
     scale = np.where(std > 0, 1.0 / np.where(std > 0, std, 1.0), 0.0)
     d = len(mean)
-    gram = base.mapInPandas(_moment_task(mean, scale), "g array<double>, n long")
+    gram = base.select("_v").mapInPandas(_moment_task(mean, scale), "g array<double>, n long")
     total = gram.agg(Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("n").alias("n")).first()
     corr, n = total["g"].toArray(), total["n"]
     values, vectors_ = np.linalg.eigh(corr.reshape(d, d) / max(n, 1))
@@ -154,9 +153,7 @@ def pca_scores(df: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
     project = (top / np.sqrt(np.maximum(lam, 1e-300))) * scale[:, None]
     fields = ", ".join(f"z_pc{i} double" for i in range(1, k + 1))
     id_type = df.schema[id_col].dataType.simpleString()
-    return base.select(id_col, vector_to_array("_v").alias("_v")).mapInPandas(
-        _project_task(mean, project, id_col), f"{id_col} {id_type}, {fields}"
-    )
+    return base.mapInPandas(_project_task(mean, project, id_col), f"{id_col} {id_type}, {fields}")
 
 
 def _moment_task(mean: np.ndarray, scale: np.ndarray):
@@ -165,7 +162,7 @@ def _moment_task(mean: np.ndarray, scale: np.ndarray):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            z = (np.stack([v.toArray() for v in pdf["_v"]]) - mean) * scale
+            z = (np.stack(pdf["_v"].to_numpy()) - mean) * scale
             total = z.T @ z if total is None else total + z.T @ z
             n += len(z)
         if total is not None:

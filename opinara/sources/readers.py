@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,13 +76,14 @@ def read_seed_lexicon(spark: SparkSession, path: str, family: str) -> DataFrame:
         ("exclude_words", 0, True),
         ("excluded_words", 0, True),
     ]
-    blocks = [
-        F.transform(
-            F.coalesce(F.col(f"e.{name}"), F.array().cast("array<string>")),
-            lambda s, pol=pol, ex=ex: F.struct(s.alias("seed"), F.lit(pol).alias("polarity"), F.lit(ex).alias("excluded")),
+
+    def block(name: str, polarity: int, excluded: bool) -> Column:
+        words = F.coalesce(F.col(f"e.{name}"), F.array().cast("array<string>"))
+        return F.transform(
+            words, lambda s: F.struct(s.alias("seed"), F.lit(polarity).alias("polarity"), F.lit(excluded).alias("excluded"))
         )
-        for name, pol, ex in kinds
-    ]
+
+    blocks = [block(*k) for k in kinds]
     rows = entries.select(F.lit(family).alias("family"), "dimension", F.inline(F.concat(*blocks)))
     return rows.distinct()
 
