@@ -4,10 +4,9 @@ from pyspark.sql import functions as F
 
 from opinara.functions import scalars as S
 from opinara.operators import scoring as SC
-from opinara.operators import summary as SM
 from opinara.operators import joins as J
 from opinara.operators.standardize import zscore
-from opinara.session import pin
+from opinara.plans import product_scores as P
 
 from .base import A_DIMS, F_DIMS, ME, MF, ORDER, WEIGHTS, Catalog, rd, rounded, table
 
@@ -117,14 +116,8 @@ def _(spark, sf):
 
 
 def _scored(spark, sf, family: str):
-    dims = MF if family == "F" else ME
-    z = zscore(pin(wide(spark, sf, family)), dims, ddof=0, on_constant="zero")
-    return z.withColumns(
-        {
-            f"M_{family}_avg": S.row_mean([F.col(f"{d}_z") for d in dims]),
-            f"M_{family}_avg_raw": S.row_mean([F.col(d) for d in dims]),
-        }
-    )
+    valued, dims = (fmatches(spark, sf), MF) if family == "F" else (amatches(spark, sf), ME)
+    return P.family_scores(valued, SC.n_total(table(spark, sf, "reviews")), dims, family)
 
 
 def _scored_sql(rows, src, dims, family) -> str:
@@ -251,7 +244,7 @@ def _(spark, sf):
     return rounded(SC.dim_diagnostics(decomposed(spark, sf)))
 
 
-METRICS = ["density", "abs_density", "coverage", "polarity", "intensity"]
+METRICS = list(P.METRICS)
 
 
 def metric_table(spark, sf):
@@ -271,16 +264,32 @@ def _(spark, sf):
     return rounded(metric_table(spark, sf))
 
 
-def balanced(spark, sf):
-    """Strict (unfilled) balanced measures and the reconstructed density."""
-    cols = [f"{d}_{m}" for d in MF for m in METRICS]
-    z = zscore(pin(metric_table(spark, sf)), cols, ddof=0, on_constant="zero_observed")
-    out = {f"mf_{m}": S.row_mean([F.col(f"{d}_{m}_z") for d in MF]) for m in METRICS}
-    out["n_dimensions_observed"] = S.row_nonnull([F.col(f"{d}_polarity_z") for d in MF])
-    return z.select("product_id", *[c.alias(n) for n, c in out.items()])
+def metrics(spark, sf):
+    return P.complete_metrics(fmatches(spark, sf), SC.n_total(table(spark, sf, "reviews")), MF)
+
+
+FINAL = {
+    "density_s": "(" + " + ".join(f"{d}_density_z" for d in MF) + ") / 7",
+    "polarity_s": "(" + " + ".join(f"coalesce({d}_polarity_z, 0)" for d in MF) + ") / nullif(nobs, 0)",
+    "intensity_s": "(" + " + ".join(f"coalesce({d}_intensity_z, 0)" for d in MF) + ") / nullif(nobs, 0)",
+    "coverage_balanced_s": "(" + " + ".join(f"{d}_coverage_z" for d in MF) + ") / 7",
+}
+COMPLETE_SQL = (
+    f"WITH {F_ROWS}, {CELLS}, {DEC}, m AS (SELECT product_id, code, s / n_total AS density, h / n_total AS coverage, pol AS polarity, inten AS intensity, pol FROM dec), w AS (SELECT product_id, count(pol)::INT AS nobs, "
+    + ", ".join(f"max({m}) FILTER (code = '{d}') AS {d}_{m}" for d in MF for m in ("density", "coverage", "polarity", "intensity"))
+    + " FROM m GROUP BY product_id), z AS (SELECT product_id, nobs, "
+    + ", ".join(f"({d}_{m} - avg({d}_{m}) OVER ()) / stddev_pop({d}_{m}) OVER () AS {d}_{m}_z" for d in MF for m in ("density", "coverage", "polarity", "intensity"))
+    + " FROM w), f AS (SELECT product_id, nobs, "
+    + ", ".join(f"{e} AS {n}" for n, e in FINAL.items())
+    + " FROM z) SELECT product_id, nobs AS n_dimensions_observed, "
+    + ", ".join(rd(f"({n} - avg({n}) OVER ()) / stddev_samp({n}) OVER ()", n) for n in FINAL)
+    + " FROM f"
+)
 
 
-_Z = lambda d, m: f"({d}_{m} - avg({d}_{m}) OVER ()) / stddev_pop({d}_{m}) OVER ()"
+@C.add("complete_metrics", COMPLETE_SQL)
+def _(spark, sf):
+    return rounded(metrics(spark, sf).select("product_id", "n_dimensions_observed", *FINAL))
 
 
 @C.add(
@@ -312,10 +321,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # Two code paths for one score: decomposition rebuilt versus the direct wide scores.
-    rebuilt = balanced(spark, sf).select("product_id", F.col("mf_density").alias("rebuilt"))
+    rebuilt = metrics(spark, sf).select("product_id", "MF7_polarity", F.col("density_balanced").alias("rebuilt"))
     direct = _scored(spark, sf, "F").select("product_id", F.col("M_F_avg").alias("direct"))
-    pol = metric_table(spark, sf).select("product_id", "MF7_polarity")
-    both = rebuilt.join(direct, "product_id").join(pol, "product_id")
+    both = rebuilt.join(direct, "product_id")
     return rounded(SC.crosscheck(both, "rebuilt", "direct", ["MF7_polarity"]))
 
 
