@@ -21,6 +21,24 @@ from .summaries import satisfaction
 C = Catalog()
 
 
+_TABLES: dict = {}
+
+
+def shared(name):
+    """Stage hand-off: a pinned table is built once per session and data folder, then read by later models."""
+
+    def wrap(build):
+        def get(spark, sf):
+            key = (name, spark.sparkContext.applicationId, sf)
+            if key not in _TABLES:
+                _TABLES[key] = build(spark, sf)
+            return _TABLES[key]
+
+        return get
+
+    return wrap
+
+
 # --- closed forms ---------------------------------------------------------------------------------------------------
 def one_x(src: str, y: str, x: str, w: str = "1.0::DOUBLE", where: str = "true") -> str:
     """CTEs for y on x with weights: fit(b, a, n, r2, se, t)."""
@@ -228,6 +246,7 @@ EXACT = f"""rowsx AS (SELECT row_number() OVER (ORDER BY product_id) - 1 AS idx,
 MEAN, SLOPE = M.Mean(("spend",)), M.Slope(("quantity",), "spend")
 
 
+@shared("draws")
 def exact_draws(spark, sf):
     grams = B.exact_grams(table(spark, sf, "design"), ["quantity", "spend"], ["product_id"], REPS, SEED)
     means = M.Mean(("quantity", "spend"))
@@ -315,6 +334,7 @@ def prepared(spark, sf):
     return I.prepare(master(spark, sf), [*YS, "m_e_avg", "m_f_avg", *PCS, *CONTROLS, *DIMZ])
 
 
+@shared("complete")
 def complete(spark, sf):
     """Products with component scores: the model sample."""
     return pin(prepared(spark, sf).dropna(subset=[f"{c}_s" for c in PCS]))
@@ -359,6 +379,7 @@ FOCAL = {
 }
 
 
+@shared("with_metrics")
 def with_metrics(spark, sf):
     extra = ["abs_density_s", "polarity_s", "intensity_s", "coverage_any_s", "polarity_pooled_s", "intensity_pooled_s"]
     return pin(complete(spark, sf).join(metrics(spark, sf).select("product_id", *extra), "product_id", "left"))

@@ -69,7 +69,12 @@ def zscore(
 
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows where every listed column is present (NaN and infinities count as missing)."""
-    return df.withColumns({c: finite(F.col(c).cast("double")) for c in cols}).dropna(subset=list(cols))
+    types = dict(df.dtypes)
+    casts = {c: F.col(c).cast("double") for c in cols if types[c] != "double"}
+    rows = (df.withColumns(casts) if casts else df).dropna(subset=list(cols))
+    # Two predicates for any number of columns keep the optimiser's constraint sets small.
+    sizes = [F.abs(F.col(c)) for c in dict.fromkeys(cols)]
+    return rows.filter((F.greatest(*sizes) if len(sizes) > 1 else sizes[0]) < float("inf"))
 
 
 def zscore_complete(

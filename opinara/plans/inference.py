@@ -85,7 +85,7 @@ def decomposition_pvalues(data: DataFrame, r: Roles, mediators: Sequence[str]) -
     """All dimension mediators in one model, normal p-values, BH-adjusted, with stars."""
     fit = ols(data, [Spec("decomposition", r.y, (*r.x, *mediators, *r.controls))], dist="normal")
     rows = fit.filter(F.col("term").isin(*mediators)).select(F.col("term").alias("mediator"), "beta", "se", "t", "p")
-    adj = fdr_bh(rows, "p", out="p_fdr_bh")
+    adj = fdr_bh(pin(rows), "p", out="p_fdr_bh")
     return adj.withColumns(
         {
             "sig_05": F.col("p_fdr_bh") <= 0.05,
@@ -150,6 +150,7 @@ def joint_table(data: DataFrame, r: Roles, reps: int, seed: int, order: Sequence
         F.col("term").alias("channel"), F.col("beta").alias("b"), F.col("se").alias("b_se"), F.col("p").alias("p_b")
     )
     rows = effects.join(a, ["channel", "x"]).join(b, "channel").withColumn("p_joint", joint_p(F.col("p_a"), F.col("p_b")))
+    rows = pin(rows)
     rows = fdr_by(fdr_bh(rows, "p_joint"), "p_joint")
     rows = rows.withColumn("bh_significant", F.col("p_bh") <= 0.05)
     return rows.withColumn(
