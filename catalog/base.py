@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinara.sources.readers import read_spread, read_table
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -156,8 +158,10 @@ def refs(sql: str) -> list[str]:
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A benchmark table or fixture as a DataFrame."""
+    if name == "documents":
+        return read_spread(spark, f"{sf}/documents.parquet", "doc_id")
     if name in TABLES:
-        return spark.read.parquet(f"{sf}/{name}.parquet")
+        return read_table(spark, f"{sf}/{name}.parquet")
     sql = FIXTURES[name]
     return spark.sql(sql, **{r: table(spark, sf, r) for r in refs(sql)})
 

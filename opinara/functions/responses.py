@@ -78,26 +78,30 @@ def match_defaults(v: Column) -> tuple[Column, Column]:
     return word, truthy(v, "$.negated")
 
 
-def _as_match(v: Column) -> Column:
+def _typed(v: Column, text: Column, dims: Sequence[str]) -> Column:
+    """One element as a typed match plus its verdict ``ok``."""
+    span, dim = _text(v, "$.span"), _text(v, "$.dimension")
     word, negated = match_defaults(v)
-    return F.struct(
-        _text(v, "$.dimension").alias("dimension"),
-        _text(v, "$.span").alias("span"),
-        polarity_value(v).alias("polarity"),
-        word.alias("degree_word"),
-        negated.alias("negated"),
+    polarity = polarity_value(v)
+    ok = (
+        _type(v).startswith("OBJECT")
+        & (_type(_get(v, "$.dimension")) == "STRING")
+        & dim.isin(*dims)
+        & (_type(_get(v, "$.span")) == "STRING")
+        & (F.length(span) > 0)
+        & polarity.isNotNull()
+        & F.contains(text, span)
     )
-
-
-def _is_valid(v: Column, text: Column, dims: Sequence[str]) -> Column:
-    span_ok = (
-        (_type(_get(v, "$.span")) == "STRING")
-        & (F.length(_text(v, "$.span")) > 0)
-        & F.contains(text, _text(v, "$.span"))
+    return F.struct(
+        F.coalesce(ok, F.lit(False)).alias("ok"),
+        F.struct(
+            dim.alias("dimension"),
+            span.alias("span"),
+            polarity.alias("polarity"),
+            word.alias("degree_word"),
+            negated.alias("negated"),
+        ).alias("match"),
     )
-    dim_ok = (_type(_get(v, "$.dimension")) == "STRING") & _text(v, "$.dimension").isin(*dims)
-    ok = _type(v).startswith("OBJECT") & span_ok & dim_ok & polarity_value(v).isNotNull()
-    return F.coalesce(ok, F.lit(False))
 
 
 def validate_matches(df: DataFrame, text: str, dims: Sequence[str], matches: str = "matches") -> DataFrame:
@@ -108,15 +112,17 @@ def validate_matches(df: DataFrame, text: str, dims: Sequence[str], matches: str
     """
     items = F.coalesce(F.col(matches), F.array().cast("array<variant>"))
     body = F.coalesce(F.col(text), F.lit(""))
-    kept = F.filter(items, lambda v: _is_valid(v, body, dims))
-    out = df.withColumn("_kept", kept)
-    out = out.withColumn("valid", F.transform("_kept", _as_match))
-    return out.withColumn("n_invalid", F.size(items) - F.size("_kept")).drop("_kept")
+    out = df.withColumn("_typed", F.transform(items, lambda v: _typed(v, body, dims)))
+    valid = F.transform(F.filter("_typed", lambda t: t["ok"]), lambda t: t["match"])
+    out = out.withColumn("valid", valid)
+    return out.withColumn("n_invalid", F.size("_typed") - F.size("valid")).drop("_typed")
 
 
 def explode_matches(df: DataFrame, keep: Sequence[str], col: str = "valid") -> DataFrame:
     """One row per match with its position ``match_id``."""
-    rows = df.select(*keep, F.posexplode(col).alias("match_id", "_m"))
+    # The outer form keeps the optimiser from inferring a filter on the array's
+    # size, which would parse every response a second time below the scan.
+    rows = df.select(*keep, F.posexplode_outer(col).alias("match_id", "_m")).filter(F.col("match_id").isNotNull())
     return rows.select(*keep, "match_id", "_m.*")
 
 

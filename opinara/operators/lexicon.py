@@ -57,43 +57,53 @@ def _lookup(seeds: Mapping[str, Seed], span: Column, attr: str) -> Column:
 
 
 def _strongest(candidates: Iterable[tuple[str, float, Column]]) -> Column:
-    """Strongest word present; ties go to the longer word, then to the larger text."""
-    options = [
-        F.when(hit, F.struct(F.lit(float(w)).alias("w"), F.lit(len(word)).alias("n"), F.lit(word).alias("word")))
-        for word, w, hit in candidates
-    ]
-    if not options:
+    """Strongest word present; ties go to the longer word, then to the larger text.
+
+    Tested from strongest to weakest, so the first hit decides.
+    """
+    ordered = sorted(candidates, key=lambda c: (c[1], len(c[0]), c[0]), reverse=True)
+    if not ordered:
         return F.lit("")
-    best = F.array_max(F.filter(F.array(*options), lambda s: s.isNotNull()))
-    return F.coalesce(best["word"], F.lit(""))
+    chain = F.when(ordered[0][2], F.lit(ordered[0][0]))
+    for word, _, hit in ordered[1:]:
+        chain = chain.when(hit, F.lit(word))
+    return chain.otherwise("")
 
 
 def hits(df: DataFrame, text: str, rules: Rules, keep: Sequence[str]) -> DataFrame:
     """One row per seed occurrence: keep columns, ``match_id``, ``span``, ``before``, ``after``."""
-    clean = F.translate(F.col(text), OPEN + CLOSE + MASK, "   ")
+    clean = F.col(text)
+    for mark in (OPEN, CLOSE, MASK):
+        clean = F.replace(clean, F.lit(mark), F.lit(" "))
     marked = F.regexp_replace(clean, f"({rules.pattern()})", f"{OPEN}$1{CLOSE}")
-    pieces = df.select(*keep, F.split(marked, OPEN).alias("_p")).filter(F.size("_p") > 1)
+    pieces = df.select(*keep, F.split(marked, OPEN).alias("_p"))
     reach = rules.reach_after()
-    plain = F.transform("_p", lambda s: F.translate(s, CLOSE, ""))
-    pieces = pieces.select(*keep, "_p", plain.alias("_q"))
-
-    def at(i: Column) -> Column:
-        return F.coalesce(F.get(F.col("_q"), i), F.lit(""))
-
-    def one(i: Column) -> Column:
-        # Every piece after the first holds at least one character, so WINDOW
-        # pieces back and ``reach`` pieces ahead always cover the windows.
-        piece = F.get(F.col("_p"), i)
-        before = F.right(F.concat(*[at(i - d) for d in range(WINDOW, 0, -1)]), F.lit(WINDOW))
-        ahead = F.concat(F.substring_index(piece, CLOSE, -1), *[at(i + d) for d in range(1, reach + 1)])
+
+    def plain(x: Column) -> Column:
+        return F.replace(x, F.lit(CLOSE), F.lit(""))
+
+    def piece(i: Column) -> Column:
+        return F.coalesce(F.get(F.col("_p"), i), F.lit(""))
+
+    def one(this: Column, before_this: Column) -> Column:
+        i = before_this + 1
+        # Mostly the neighbouring piece covers a window. If not, every piece after
+        # the first holds at least one character, so WINDOW pieces back and
+        # ``reach`` pieces ahead always do.
+        last = F.right(plain(F.right(piece(i - 1), F.lit(WINDOW + 1))), F.lit(WINDOW))
+        back = plain(F.concat(*[piece(i - d) for d in range(WINDOW, 0, -1)]))
+        tail = F.substring_index(this, CLOSE, -1)
+        ahead = plain(F.concat(tail, *[piece(i + d) for d in range(1, reach + 1)]))
         return F.struct(
-            F.substring_index(piece, CLOSE, 1).alias("span"),
-            before.alias("before"),
-            F.left(ahead, F.lit(reach)).alias("after"),
+            F.substring_index(this, CLOSE, 1).alias("span"),
+            F.when(F.length(last) == WINDOW, last).otherwise(F.right(back, F.lit(WINDOW))).alias("before"),
+            F.left(F.when(F.length(tail) >= reach, tail).otherwise(ahead), F.lit(reach)).alias("after"),
         )
 
-    found = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), one)
-    rows = pieces.select(*keep, F.posexplode(found).alias("match_id", "_h"))
+    # The first piece precedes every hit; a null text gives no rows.
+    found = F.transform(F.slice("_p", F.lit(2), F.size("_p")), one)
+    # The outer form keeps the optimiser from testing the array's size first, which would search twice.
+    rows = pieces.select(*keep, F.posexplode_outer(found).alias("match_id", "_h")).filter(F.col("match_id").isNotNull())
     return rows.select(*keep, "match_id", "_h.*")
 
 

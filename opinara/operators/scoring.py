@@ -93,16 +93,12 @@ def fill_dims(df: DataFrame, cols: Sequence[str], value: float = 0.0) -> DataFra
     )
 
 
-def product_dim_cells(
+def comment_cells(
     matches: DataFrame, key: str = "product_id", comment: str = "comment_id", dim: str = "code"
 ) -> DataFrame:
-    """Per (product, dimension): sum of comment means and number of mentioning comments.
-
-    Both come from one comment-level aggregate: grouping by (product, comment,
-    dimension) already makes comments distinct, so no second pass is needed.
-    """
-    cells = matches.dropna(subset=[key, comment, dim]).groupBy(key, comment, dim).agg(F.avg("final_value").alias("v"))
-    return cells.groupBy(key, dim).agg(F.sum("v").alias("sum_value"), F.count(F.lit(1)).alias("n_mentioning"))
+    """Mean value ``v`` per (product, comment, dimension); rows with a null key are dropped."""
+    keys = [key, comment, dim]
+    return matches.dropna(subset=keys).groupBy(*keys).agg(F.avg("final_value").alias("v"))
 
 
 def wide_scores(
@@ -113,20 +109,49 @@ def wide_scores(
     comment: str = "comment_id",
     dim: str = "code",
 ) -> DataFrame:
-    """Scores and coverages of all dimensions, every product of ``totals``, absent = 0."""
-    cells = product_dim_cells(matches, key, comment, dim)
+    """Scores and coverages of all dimensions, every product of ``totals``, absent = 0.
+
+    Two shuffles: comment cells, then products. A cell already stands for one
+    comment, so counting cells is the distinct count and the pivot is a set of
+    conditional sums in the same aggregate.
+    """
     aggs: list[Column] = []
     for d in dims:
         hit = F.col(dim) == d
-        aggs += [
-            F.sum(F.when(hit, F.col("sum_value"))).alias(d),
-            F.sum(F.when(hit, F.col("n_mentioning"))).alias(f"cov_{d}"),
-        ]
-    wide = totals.join(cells.groupBy(key).agg(*aggs), key, "left")
+        aggs += [F.sum(F.when(hit, F.col("v"))).alias(d), F.count_if(hit).alias(f"cov_{d}")]
+    per_product = comment_cells(matches, key, comment, dim).groupBy(key).agg(*aggs)
+    wide = totals.join(per_product, key, "left")
     cols = [*dims, *[f"cov_{d}" for d in dims]]
     return wide.withColumns({c: F.coalesce(S.ratio(F.col(c), F.col("n_total")), F.lit(0.0)) for c in cols})
 
 
+def product_profile(
+    matches: DataFrame,
+    totals: DataFrame,
+    dims: Sequence[str],
+    key: str = "product_id",
+    comment: str = "comment_id",
+    dim: str = "code",
+) -> DataFrame:
+    """Per product: ``n_any`` and per dimension ``<d>_sum``, ``<d>_abs``, ``<d>_h`` over comment means.
+
+    One scan and two shuffles for every measure: one row per comment holds the
+    means of all dimensions, so distinct comments are a plain count.
+    """
+    rows = matches.dropna(subset=[key, comment, dim])
+    means = [F.avg(F.when(F.col(dim) == d, F.col("final_value"))).alias(d) for d in dims]
+    comments = rows.groupBy(key, comment).agg(*means)
+    aggs = [F.count(F.lit(1)).alias("n_any")]
+    for d in dims:
+        aggs += [
+            F.coalesce(F.sum(d), F.lit(0.0)).alias(f"{d}_sum"),
+            F.coalesce(F.sum(F.abs(d)), F.lit(0.0)).alias(f"{d}_abs"),
+            F.count(d).alias(f"{d}_h"),
+        ]
+    out = totals.join(comments.groupBy(key).agg(*aggs), key, "left")
+    return out.fillna(0, subset=[c for c in out.columns if c not in (key, "n_total")])
+
+
 def decompose(
     matches: DataFrame,
     totals: DataFrame,
@@ -139,7 +164,7 @@ def decompose(
 
     Polarity and intensity stay null where the product has no match.
     """
-    cells = matches.dropna(subset=[key, comment, dim]).groupBy(key, comment, dim).agg(F.avg("final_value").alias("v"))
+    cells = comment_cells(matches, key, comment, dim)
     stats = cells.groupBy(key, dim).agg(
         F.sum("v").alias("sum_signed"),
         F.count("v").alias("h"),
@@ -171,7 +196,7 @@ def pooled(
     dim: str = "code",
 ) -> DataFrame:
     """Measures pooled over all (comment, dimension) cells of a product."""
-    cells = matches.dropna(subset=[key, comment, dim]).groupBy(key, comment, dim).agg(F.avg("final_value").alias("v"))
+    cells = comment_cells(matches, key, comment, dim)
     agg = cells.groupBy(key).agg(
         F.count("v").alias("pooled_h"),
         F.avg("v").alias("polarity_pooled"),

@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite
 
 ON_CONSTANT = ("zero", "zero_observed", "raise", "null")
 
@@ -20,16 +19,19 @@ ON_CONSTANT = ("zero", "zero_observed", "raise", "null")
 NOISE = 1e-13
 
 
+def _finite(c: str) -> str:
+    """SQL text: the column as double, NaN and infinities as null."""
+    x = f"cast(`{c}` AS double)"
+    return f"CASE WHEN abs({x}) < double('infinity') THEN {x} END"
+
+
 def column_stats(df: DataFrame, cols: Sequence[str], ddof: int = 0) -> DataFrame:
     """One row with ``stats`` = struct of mean m_i and sd s_i per column; s_i is null without variance."""
-    sd = F.stddev_pop if ddof == 0 else F.stddev_samp
-    rows = df.select(*[finite(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
-    aggs = [a for i in range(len(cols)) for a in (F.avg(f"x{i}").alias(f"m{i}"), sd(f"x{i}").alias(f"d{i}"))]
-    fields = []
-    for i in range(len(cols)):
-        varies = F.col(f"d{i}") > F.abs(F.col(f"m{i}")) * NOISE
-        fields += [F.col(f"m{i}"), F.when(varies, F.col(f"d{i}")).alias(f"s{i}")]
-    return rows.agg(*aggs).select(F.struct(*fields).alias("stats"))
+    sd = "stddev_pop" if ddof == 0 else "stddev_samp"
+    rows = df.selectExpr(*[f"{_finite(c)} AS x{i}" for i, c in enumerate(cols)])
+    aggs = [a for i in range(len(cols)) for a in (F.expr(f"avg(x{i}) AS m{i}"), F.expr(f"{sd}(x{i}) AS d{i}"))]
+    fields = [f"m{i}, CASE WHEN d{i} > abs(m{i}) * {NOISE} THEN d{i} END AS s{i}" for i in range(len(cols))]
+    return rows.agg(*aggs).selectExpr(f"struct({', '.join(fields)}) AS stats")
 
 
 def zscore(
@@ -50,20 +52,16 @@ def zscore(
     names = names or {c: f"{c}_z" for c in cols}
     source = df if stats_from is None else stats_from
     with_stats = df.withColumn("_stats", column_stats(source, cols, ddof).scalar())
-    stats = F.col("_stats")
     out = {}
     for i, c in enumerate(cols):
-        x = finite(F.col(c).cast("double"))
-        m, s = stats[f"m{i}"], stats[f"s{i}"]
-        if on_constant == "zero":
-            alt = F.lit(0.0)
-        elif on_constant == "zero_observed":
-            alt = F.when(x.isNotNull(), 0.0)
-        elif on_constant == "raise":
-            alt = F.raise_error(F.lit(f"cannot standardise {c}: invalid standard deviation")).cast("double")
-        else:
-            alt = F.lit(None).cast("double")
-        out[names[c]] = F.when(s.isNull(), alt).otherwise((x - m) / s)
+        x = _finite(c)
+        flat = {
+            "zero": "0.0D",
+            "zero_observed": f"CASE WHEN {x} IS NOT NULL THEN 0.0D END",
+            "raise": f"cast(raise_error('cannot standardise {c}: invalid standard deviation') AS double)",
+            "null": "cast(NULL AS double)",
+        }[on_constant]
+        out[names[c]] = F.expr(f"CASE WHEN _stats.s{i} IS NULL THEN {flat} ELSE ({x} - _stats.m{i}) / _stats.s{i} END")
     return with_stats.withColumns(out).drop("_stats")
 
 

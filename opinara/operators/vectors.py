@@ -15,6 +15,7 @@ from ..functions.vectors import as_double, l2_normalize, vec_check
 from .rows import stack_rows
 
 CENTROID_BLOCK_BYTES = 32 << 20
+FEW_CENTROIDS = 1024
 
 
 def centroids(df: DataFrame, vec: str, keys: Sequence[str], out: str = "centroid") -> DataFrame:
@@ -29,9 +30,12 @@ def centroids(df: DataFrame, vec: str, keys: Sequence[str], out: str = "centroid
 
 
 def _centroid_blocks(cents: DataFrame, keys: Sequence[str], vec: str) -> Iterator[list]:
-    """Centroid rows in blocks that fit the closure size bound."""
+    """Centroid rows in blocks that fit the closure size bound; one block is held at a time."""
+    rows = cents.select(*keys, vec)
+    few = rows.limit(FEW_CENTROIDS + 1).collect()
+    source = few if len(few) <= FEW_CENTROIDS else rows.toLocalIterator()
     block, used = [], 0
-    for row in cents.select(*keys, vec).orderBy(*keys).toLocalIterator():
+    for row in source:
         size = 8 * len(row[vec])
         if block and used + size > CENTROID_BLOCK_BYTES:
             yield block
@@ -91,9 +95,9 @@ def concept_scores(
     negative: str = "negative",
 ) -> DataFrame:
     """Rows (id, concept, sim_pos, sim_neg, score = sim_pos - sim_neg), no shuffle of the vectors."""
-    pos = cents.filter(F.col(polarity) == positive).select(concept, F.col("centroid").alias("_pos"))
-    neg = cents.filter(F.col(polarity) == negative).select(concept, F.col("centroid").alias("_neg"))
-    pairs = pos.join(neg, concept).select(concept, F.concat("_pos", "_neg").alias("_both"))
+    side = lambda p: F.max(F.when(F.col(polarity) == p, F.col("centroid")))
+    pairs = cents.groupBy(concept).agg(side(positive).alias("_pos"), side(negative).alias("_neg"))
+    pairs = pairs.dropna(subset=["_pos", "_neg"]).select(concept, F.concat("_pos", "_neg").alias("_both"))
     ctype = cents.schema[concept].dataType.simpleString()
     id_type = vectors.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, {concept} {ctype}, sim_pos double, sim_neg double, score double"

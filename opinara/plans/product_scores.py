@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DEFAULT_DEGREE_WEIGHT, row_mean, row_nonnull
 from ..operators.joins import full_outer
-from ..operators.scoring import any_coverage, decompose, map_codes, pooled, wide_scores, with_final_value
+from ..operators.scoring import map_codes, product_profile, wide_scores, with_final_value
 from ..operators.standardize import zscore
 from ..session import pin
 
@@ -60,11 +60,31 @@ def complete_metrics(
     and balanced means skip those dimensions. Columns ending in ``_s`` are the
     final measures, standardised where observed.
     """
-    dec = decompose(valued, totals, codes, key, comment)
-    aggs = [F.max(F.when(F.col("code") == c, F.col(m))).alias(f"{c}_{m}") for c in codes for m in METRICS]
-    blocks = dec.groupBy(key).agg(*aggs)
-    base = any_coverage(valued, totals, key, comment).join(blocks, key, "left")
-    base = pin(base.join(pooled(valued, totals, key, comment), key, "left"))
+    profile = product_profile(valued, totals, codes, key, comment)
+    blocks = []
+    for c in codes:
+        blocks += [
+            f"`{c}_sum` / n_total AS `{c}_density`",
+            f"`{c}_abs` / n_total AS `{c}_abs_density`",
+            f"`{c}_h` / n_total AS `{c}_coverage`",
+            f"try_divide(`{c}_sum`, `{c}_h`) AS `{c}_polarity`",
+            f"try_divide(`{c}_abs`, `{c}_h`) AS `{c}_intensity`",
+        ]
+    h, total, absolute = (" + ".join(f"`{c}_{part}`" for c in codes) for part in ("h", "sum", "abs"))
+    base = pin(
+        profile.selectExpr(
+            key,
+            "n_total",
+            "n_any",
+            "n_any / n_total AS coverage_any",
+            f"{h} AS pooled_h",
+            f"try_divide({total}, {h}) AS polarity_pooled",
+            f"try_divide({absolute}, {h}) AS intensity_pooled",
+            f"({h}) / n_total AS match_frequency",
+            f"({total}) / n_total AS signed_match_density",
+            *blocks,
+        )
+    )
     cells = [f"{c}_{m}" for c in codes for m in METRICS]
     z = zscore(base, cells, ddof=0, on_constant="zero_observed")
     balanced = {f"{m}_balanced": row_mean([F.col(f"{c}_{m}_z") for c in codes]) for m in METRICS}

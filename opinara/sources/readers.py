@@ -16,6 +16,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Parquet rows for heavy per-row work.
+
+    A file with few row groups gives few tasks; then rows are spread over the
+    cores by ``key``. Inputs that already have enough splits are not shuffled.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with header; a UTF-8 byte-order mark is dropped. Without schema all columns are text."""
     reader = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", False)

@@ -97,5 +97,5 @@ def test_scan_is_pruned_and_pushed(spark):
 
 
 def test_scores_need_no_python_workers(spark):
-    cells = SC.product_dim_cells(fmatches(spark, SF))
+    cells = SC.comment_cells(fmatches(spark, SF))
     assert "Python" not in plan(cells) and plan(cells).count("Exchange hashpartitioning") <= 2
