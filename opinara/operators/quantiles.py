@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import pin
+
 MAX_BLOCKS = 2048
 
 
@@ -47,7 +49,8 @@ def running_counts(
     """
     rows = df.filter(F.col(value).isNotNull())
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    d = rows.groupBy(*groups, value).agg(n.alias("n"))
+    # Pinned: the cut points and the windows both read it, the source is read once.
+    d = pin(rows.groupBy(*groups, value).agg(n.alias("n")))
     b = with_value_blocks(d, value, blocks)
     inside = Window.partitionBy(*groups, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumn("_in", F.sum("n").over(inside))
@@ -67,19 +70,44 @@ def running_counts(
 def exact_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], blocks: int | None = None
 ) -> DataFrame:
-    """Linearly interpolated quantiles ``q_0..`` per group, exact at any group size."""
-    rc = running_counts(df.select(*groups, F.col(value).cast("double").alias(value)), groups, value, blocks=blocks)
-    lo_edge, hi_edge = F.col("cum_n") - F.col("n"), F.col("cum_n")
+    """Linearly interpolated quantiles ``q_0..`` per group, exact at any group size.
+
+    A histogram over the blocks (one small row per group and block) tells which
+    blocks hold the wanted ranks. Only the values of those blocks are shuffled
+    and ordered. The target table is written first, so the join knows its size
+    and is broadcast only when that is small.
+    """
+    rows = df.select(*groups, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    b = with_value_blocks(rows, value, blocks)
+    hist = b.groupBy(*groups, "_block").agg(F.count(F.lit(1)).alias("_c"))
+    across = Window.partitionBy(*_by(groups)).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*_by(groups))
+    hist = hist.withColumns({"_upto": F.sum("_c").over(across), "total": F.sum("_c").over(whole)})
+    before = F.col("_upto") - F.col("_c")
+    holds = F.lit(False)
+    for p in probs:
+        for rank in _ranks(p):
+            holds = holds | ((before <= rank) & (rank < F.col("_upto")))
+    targets = pin(hist.filter(holds).select(*groups, "_block", before.alias("_before"), "total"))
+    fine = b.join(targets, [*groups, "_block"]).groupBy(*groups, "_block", "_before", "total", value)
+    fine = fine.agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(*groups, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = fine.withColumn("_hi", F.col("_before") + F.sum("n").over(inside))
     aggs = [F.max("total").alias("_total")]
     for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("total") - 1)
-        for name, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (lo_edge <= rank) & (rank < hi_edge)
+        for name, rank in zip(("lo", "hi"), _ranks(p)):
+            hit = (F.col("_hi") - F.col("n") <= rank) & (rank < F.col("_hi"))
             aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{i}"))
-    q = rc.groupBy(*groups).agg(*aggs)
+    q = placed.groupBy(*groups).agg(*aggs)
     out = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_total") - 1)
         frac = pos - F.floor(pos)
         out.append((F.col(f"_lo_{i}") + frac * (F.col(f"_hi_{i}") - F.col(f"_lo_{i}"))).alias(f"q_{i}"))
     return q.select(*groups, *out)
+
+
+def _ranks(p: float) -> tuple[Column, Column]:
+    """0-based ranks on either side of the quantile position."""
+    pos = F.lit(float(p)) * (F.col("total") - 1)
+    return F.floor(pos), F.ceil(pos)

@@ -89,25 +89,27 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return basic.join(medians, "variable")
 
 
-def corr_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson correlation of each pair over its complete rows, one pass."""
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = S.finite(F.col(a).cast("double")), S.finite(F.col(b).cast("double"))
-        both = x.isNotNull() & y.isNotNull()
-        aggs.append(F.corr(F.when(both, x), F.when(both, y)).alias(f"r{i}"))
-    row = df.agg(*aggs)
-    items = F.array(
-        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    )
-    return row.select(F.inline(items))
+def corr_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], mirror: bool = False) -> DataFrame:
+    """Pearson correlation of each pair over its complete rows, one pass.
+
+    ``mirror`` also lists every pair the other way round.
+    """
+    used = list(dict.fromkeys(c for p in pairs for c in p))
+    clean = df.select(*[S.finite(F.col(c).cast("double")).alias(c) for c in used])
+    # corr skips rows where either side is null.
+    row = clean.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    entry = lambda a, b, i: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
+    items = [entry(a, b, i) for i, (a, b) in enumerate(pairs)]
+    if mirror:
+        items += [entry(b, a, i) for i, (a, b) in enumerate(pairs) if a != b]
+    return row.select(F.inline(F.array(*items)))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], complete: bool = False) -> DataFrame:
     """Long correlation matrix; pairwise complete, or on the rows complete in all columns."""
     if complete:
         df = df.dropna(subset=list(cols))
-    return corr_pairs(df, [(a, b) for a in cols for b in cols])
+    return corr_pairs(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]], mirror=True)
 
 
 def sample_sizes(df: DataFrame, col: str, thresholds: Sequence[int]) -> DataFrame:
