@@ -9,7 +9,7 @@ from opinara.sources import readers as RD
 from opinara.sources import writers as W
 from opinara.streaming import ingest as ST
 
-from .base import WEIGHTS, Catalog, rd, rounded, table
+from .base import TABLES, WEIGHTS, Catalog, rd, rounded, table
 from .texts import CHECKPOINT_COLS, CHECKPOINT_SQL, DIMS, ITEMS, PARSED
 
 C = Catalog()
@@ -67,10 +67,11 @@ def _(spark, sf):
     return RD.read_seed_lexicon(spark, path, "type")
 
 
-@C.add("src_image_inventory")
+@C.add("src_image_inventory", f"SELECT unnest({sorted(TABLES)}) AS item_id, '.parquet' AS suffix")
 def _(spark, sf):
-    """Files of the data folder itself; no SQL twin because the folder is not a table."""
-    return RD.file_inventory(spark, sf, [".parquet"])
+    """The data folder itself: one file per table."""
+    inv = RD.file_inventory(spark, sf, [".parquet"])
+    return inv.filter(F.col("n_bytes") > 0).select("item_id", "suffix")
 
 
 @C.add("prompt_table", """SELECT concept_id, prompt_polarity, (row_number() OVER (PARTITION BY concept_id, prompt_polarity ORDER BY prompt_text))::INT AS prompt_index, prompt_text
@@ -130,7 +131,7 @@ def _arrivals(spark, sf) -> str:
 def _(spark, sf):
     src, out, ck = _arrivals(spark, sf), scratch_path(spark, "out"), scratch_path(spark, "ck")
     schema = spark.read.parquet(src).schema
-    ST.stream_validate(spark, src, out, ck, DIMS, schema, max_files=2)
+    ST.stream_validate(spark, src, out, ck, DIMS, schema, max_files=4)
     return spark.read.parquet(out).select(*CHECKPOINT_COLS)
 
 
@@ -143,6 +144,6 @@ def _(spark, sf):
 def _(spark, sf):
     src, out, ck = _arrivals(spark, sf), scratch_path(spark, "out"), scratch_path(spark, "ck")
     schema = spark.read.parquet(src).schema
-    ST.stream_scores(spark, src, out, ck, {d: d for d in DIMS}, WEIGHTS, apply_negation=False, schema=schema, max_files=2)
+    ST.stream_scores(spark, src, out, ck, {d: d for d in DIMS}, WEIGHTS, apply_negation=False, schema=schema, max_files=4)
     totals = SC.n_total(table(spark, sf, "documents").withColumnRenamed("lang", "product_id"))
     return rounded(ST.running_scores(spark, out, totals))

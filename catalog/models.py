@@ -337,7 +337,7 @@ def prepared(spark, sf):
 @shared("complete")
 def complete(spark, sf):
     """Products with component scores: the model sample."""
-    return pin(prepared(spark, sf).dropna(subset=[f"{c}_s" for c in PCS]))
+    return prepared(spark, sf).dropna(subset=[f"{c}_s" for c in PCS])
 
 
 @C.add("main_models")

@@ -32,12 +32,12 @@ def _(spark, sf):
     return rounded(u.select("vec_id", (F.col("i") + 1).alias("i"), "x"))
 
 
-@C.add("vec_columns", "SELECT vec_id, " + ", ".join(rd(f"embedding[{i + 1}]", f"clip_dim_{i:03d}") for i in range(DIM)) + " FROM {vectors}")
+@C.add("vec_columns", "SELECT vec_id, " + ", ".join(rd(f"embedding[{i + 1}]", f"dim_{i:03d}") for i in range(DIM)) + " FROM {vectors}")
 def _(spark, sf):
     v = table(spark, sf, "vectors").select("vec_id", "embedding")
-    wide = V.vec_to_cols(v, "embedding", DIM, "clip_dim_")
-    back = V.cols_to_vec(wide, [c for c in wide.columns if c.startswith("clip_dim_")], "embedding")
-    return rounded(V.vec_to_cols(back, "embedding", DIM, "clip_dim_"))
+    wide = V.vec_to_cols(v, "embedding", DIM, "dim_")
+    back = V.cols_to_vec(wide, [c for c in wide.columns if c.startswith("dim_")], "embedding")
+    return rounded(V.vec_to_cols(back, "embedding", DIM, "dim_"))
 
 
 @C.add("vec_centroid", f"WITH {UNIT}, {CENT} SELECT concept_id, prompt_polarity, i, {rd('x', 'x')} FROM (SELECT concept_id, prompt_polarity, generate_subscripts(c, 1)::INT AS i, unnest(c) AS x FROM cent)")

@@ -35,19 +35,30 @@ def _adjusted(df: DataFrame, p: str, family: Sequence[str], out: str, blocks: in
     )
 
 
+def _attach(df: DataFrame, q: DataFrame, p: str, family: Sequence[str]) -> DataFrame:
+    """Back to the rows; one adjusted value per (family, p), so only the row side can be skewed and AQE splits it."""
+    return df.join(q, [*family, p], "left")
+
+
+def fdr(
+    df: DataFrame, p: str, family: Sequence[str] = (), bh: str = "p_bh", by: str = "p_by", blocks: int | None = None
+) -> DataFrame:
+    """Benjamini-Hochberg and Benjamini-Yekutieli adjusted p-values in one pass; a null p gives nulls."""
+    q = _adjusted(df, p, family, bh, blocks)
+    # BH is capped at 1 before scaling; scaling by at least 1 and capping again gives the same value.
+    q = q.withColumn(by, F.least(F.col(bh) * harmonic(F.col("_m")), F.lit(1.0)))
+    return _attach(df, q.drop("_m"), p, family)
+
+
 def fdr_bh(
     df: DataFrame, p: str, family: Sequence[str] = (), out: str = "p_bh", blocks: int | None = None
 ) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values per family; a null p gives null."""
-    q = _adjusted(df, p, family, out, blocks).drop("_m")
-    return df.join(q, [*family, p], "left")
+    return _attach(df, _adjusted(df, p, family, out, blocks).drop("_m"), p, family)
 
 
 def fdr_by(
     df: DataFrame, p: str, family: Sequence[str] = (), out: str = "p_by", blocks: int | None = None
 ) -> DataFrame:
-    """Benjamini-Yekutieli: the BH minimum scaled by the harmonic number, at most 1."""
-    rc = _adjusted(df, p, family, "_bh", blocks)
-    # BH caps at 1 before scaling; scaling by >= 1 then capping gives the same value.
-    q = rc.withColumn(out, F.least(F.col("_bh") * harmonic(F.col("_m")), F.lit(1.0))).drop("_bh", "_m")
-    return df.join(q, [*family, p], "left")
+    """Benjamini-Yekutieli: the BH value scaled by the harmonic number of the family size, at most 1."""
+    return fdr(df, p, family, "_bh", out, blocks).drop("_bh")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..session import pin
 
 MAX_BLOCKS = 2048
+# Tables up to this many distinct values need no cutting.
+SMALL = 100_000
 
 
 def block_count(df: DataFrame) -> int:
@@ -51,7 +53,10 @@ def running_counts(
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     # Pinned: the cut points and the windows both read it, the source is read once.
     d = pin(rows.groupBy(*groups, value).agg(n.alias("n")))
-    b = with_value_blocks(d, value, blocks)
+    if blocks is None and d.limit(SMALL + 1).count() <= SMALL:
+        b = d.withColumn("_block", F.lit(0.0))
+    else:
+        b = with_value_blocks(d, value, blocks)
     inside = Window.partitionBy(*groups, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumn("_in", F.sum("n").over(inside))
     totals = b.groupBy(*groups, "_block").agg(F.sum("n").alias("_tot"))

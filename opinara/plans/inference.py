@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import joint_p, log_plus, stars, verdict
 from ..operators.gram import CONST
 from ..operators.mediation import Components, Parallel, estimate
-from ..operators.multiple_testing import fdr_bh, fdr_by
+from ..operators.multiple_testing import fdr, fdr_bh
 from ..operators.regression import Spec, ols, ols_thresholds, pick_terms
 from ..operators.resampling import bca_ci, boot_p, boot_se, bootstrap, jackknife_moments, normal_p, percentile_ci
 from ..operators.rows import stack_rows
@@ -151,7 +151,7 @@ def joint_table(data: DataFrame, r: Roles, reps: int, seed: int, order: Sequence
     )
     rows = effects.join(a, ["channel", "x"]).join(b, "channel").withColumn("p_joint", joint_p(F.col("p_a"), F.col("p_b")))
     rows = pin(rows)
-    rows = fdr_by(fdr_bh(rows, "p_joint"), "p_joint")
+    rows = fdr(rows, "p_joint")
     rows = rows.withColumn("bh_significant", F.col("p_bh") <= 0.05)
     return rows.withColumn(
         "result", verdict(F.col("bh_significant"), "Survives BH-FDR (adjusted p < 0.05)", "Does not survive BH-FDR")
