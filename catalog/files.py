@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from opinara.operators import scoring as SC
-from opinara.operators import summary as SM
 from opinara.session import scratch_path
 from opinara.sources import readers as RD
 from opinara.sources import writers as W

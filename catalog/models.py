@@ -14,7 +14,7 @@ from opinara.plans import inference as I
 from opinara.plans.master import build_master, derived_controls
 from opinara.session import pin
 
-from .base import MF, ME, ORDER, Catalog, rd, rounded, table
+from .base import ME, MF, Catalog, rd, rounded, table
 from .scoring import _scored, metrics
 from .summaries import satisfaction
 

@@ -8,7 +8,7 @@ from opinara.operators import joins as J
 from opinara.operators.standardize import zscore
 from opinara.plans import product_scores as P
 
-from .base import A_DIMS, F_DIMS, ME, MF, ORDER, WEIGHTS, Catalog, rd, rounded, table
+from .base import A_DIMS, F_DIMS, ME, MF, WEIGHTS, Catalog, rd, rounded, table
 
 C = Catalog()
 

@@ -1,7 +1,5 @@
 """Satisfaction, distributions, correlations, quantiles and multiple testing."""
 
-from pyspark.sql import functions as F
-
 from opinara.operators import multiple_testing as MT
 from opinara.operators import summary as SM
 from opinara.plans.satisfaction import OUTPUT as SAT_COLS

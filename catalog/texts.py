@@ -6,7 +6,7 @@ from opinara.functions import responses as R
 from opinara.operators import lexicon as L
 from opinara.operators import joins as J
 
-from .base import Catalog, rd, rounded, table
+from .base import Catalog, table
 
 C = Catalog()
 DIMS = ["en", "fr", "de"]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import normal_cdf, normal_quantile, normal_two_sided
 from ..functions.hashing import MOD, hash_np, poisson_np
-from .gram import gram, partial_schema, sum_partials
+from .gram import gram, sum_partials
 from .mediation import estimate, gram_estimates
 from .rows import dense_index
 from .standardize import complete_cases
@@ -64,6 +64,8 @@ def poisson_grams(df: DataFrame, cols: Sequence[str], row_id: str, reps: int, se
     """Gram per replicate with independent Poisson(1) row counts, in one pass."""
     rows = complete_cases(df, list(cols)).select(F.col(row_id).cast("long").alias("_id"), *cols)
     schema = "rep int, n long, sw double, g array<double>"
+    # Every task emits one matrix per replicate: more tasks than cores would only add to the shuffle.
+    rows = rows.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     partial = rows.mapInPandas(_poisson_task(list(cols), reps, seed), schema)
     return sum_partials(partial, ["rep"])
 

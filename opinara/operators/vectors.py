@@ -55,15 +55,24 @@ def cross_concepts(vectors: DataFrame, cents: DataFrame, id_col: str, vec: str,
     key_types = ", ".join(f"{k} {cents.schema[k].dataType.simpleString()}" for k in keys)
     id_type = vectors.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, {key_types}, similarity double"
-    unit = vectors.select(id_col, l2_normalize(F.col(vec)).alias("_v"))
+    raw = vectors.select(id_col, F.col(vec).alias("_v"))
     parts = []
     for block in _centroid_blocks(cents, keys, "centroid"):
         matrix = np.array([r["centroid"] for r in block], dtype=float)
         names = {k: [r[k] for r in block] for k in keys}
-        parts.append(unit.mapInPandas(_similarity_task(matrix, names, id_col, list(keys)), schema))
+        parts.append(raw.mapInPandas(_similarity_task(matrix, names, id_col, list(keys)), schema))
     return _stack(parts)
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Rows scaled to unit length in double precision; a zero vector is an error."""
+    v = np.stack(vectors.to_numpy()).astype(float)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    if (n == 0).any():
+        raise ValueError("zero vector cannot be normalised")
+    return v / n
+
+
 def _stack(parts: list[DataFrame]) -> DataFrame:
     if not parts:
         raise ValueError("no centroids given")
@@ -75,7 +84,7 @@ def _similarity_task(matrix: np.ndarray, names: dict, id_col: str, keys: list[st
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            sims = np.stack(pdf["_v"].to_numpy()) @ matrix.T
+            sims = _unit(pdf["_v"]) @ matrix.T
             out = {id_col: np.repeat(pdf[id_col].to_numpy(), len(matrix))}
             out.update({k: np.tile(np.asarray(names[k], dtype=object), len(pdf)) for k in keys})
             out["similarity"] = sims.ravel()
@@ -101,11 +110,11 @@ def concept_scores(
     ctype = cents.schema[concept].dataType.simpleString()
     id_type = vectors.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, {concept} {ctype}, sim_pos double, sim_neg double, score double"
-    unit = vectors.select(id_col, l2_normalize(F.col(vec)).alias("_v"))
+    raw = vectors.select(id_col, F.col(vec).alias("_v"))
     parts = []
     for block in _centroid_blocks(pairs, [concept], "_both"):
         p, n = np.split(np.array([r["_both"] for r in block], dtype=float), 2, axis=1)
-        parts.append(unit.mapInPandas(_score_task(p, n, [r[concept] for r in block], id_col, concept), schema))
+        parts.append(raw.mapInPandas(_score_task(p, n, [r[concept] for r in block], id_col, concept), schema))
     return _stack(parts)
 
 
@@ -114,7 +123,7 @@ def _score_task(pos: np.ndarray, neg: np.ndarray, names: list, id_col: str, conc
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            v = np.stack(pdf["_v"].to_numpy())
+            v = _unit(pdf["_v"])
             sp, sn = v @ pos.T, v @ neg.T
             yield pd.DataFrame(
                 {
