@@ -1,6 +1,7 @@
 """Models, resampling and multiple testing against numpy."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -174,6 +175,36 @@ def test_bca_centred_symmetric_is_percentile(spark):
     assert (row["ci_low"], row["ci_high"]) == (pytest.approx(np.quantile(v, 0.025)), pytest.approx(np.quantile(v, 0.975)))
 
 
+def test_bca_formula(spark):
+    """Skewed draws with ties: bias and acceleration move both ends as the textbook formula says."""
+    nd = NormalDist()
+    rng = np.random.default_rng(8)
+    v = rng.exponential(size=500).round(2)
+    theta, n, s1, s2, s3 = 0.8, 120, 0.4, 0.09, 0.004
+    draws = spark.createDataFrame(pd.DataFrame({"rep": range(500), "stat": "s", "value": v}))
+    point = spark.createDataFrame([("s", theta)], "stat string, value double")
+    moments = spark.createDataFrame([("s", n, s1, s2, s3)], "stat string, n long, s1 double, s2 double, s3 double")
+    m = s1 / n
+    central2, central3 = s2 - n * m**2, s3 - 3 * m * s2 + 3 * m**2 * s1 - n * m**3
+    a = -central3 / (6 * central2**1.5)
+    z0 = nd.inv_cdf(((v < theta).sum() + (v == theta).sum() / 2) / 500)
+    ends = [np.quantile(v, nd.cdf(z0 + (z0 + z) / (1 - a * (z0 + z)))) for z in (nd.inv_cdf(0.025), nd.inv_cdf(0.975))]
+    row = B.bca_ci(draws, point, moments).first()
+    assert (row["z0"], row["accel"]) == (pytest.approx(z0), pytest.approx(a))
+    assert (row["ci_low"], row["ci_high"]) == (pytest.approx(ends[0]), pytest.approx(ends[1]))
+
+
+def test_zero_vector_fails(spark):
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id int, v array<float>")
+    cents = spark.createDataFrame(
+        [("c", "positive", [1.0, 0.0]), ("c", "negative", [0.0, 1.0])], "concept_id string, prompt_polarity string, centroid array<double>"
+    )
+    good = OV.concept_scores(vecs.filter("id = 1"), cents, "id", "v").first()
+    assert (good["sim_pos"], good["sim_neg"], good["score"]) == (1.0, 0.0, 1.0)
+    with pytest.raises(Exception, match="zero vector"):
+        OV.concept_scores(vecs, cents, "id", "v").collect()
+
+
 def bh(p):
     p = np.asarray(p)
     order = np.argsort(p)[::-1]
