@@ -37,32 +37,46 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([np.stack([p.mean(1), p.std(1)], 1) * np.sqrt(p.shape[1]) for p in parts], 1)
 
 
-def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's k best candidates with another id, ties to smaller ids."""
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """k-th largest of each row, or minus infinity where a row has fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
+def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of the candidates with another id that can be among a query's k best.
+
+    ``floor`` holds a score per query that k candidates are known to reach; it is raised in place, and candidates
+    below it are left out. Per block at most k come out for each query, ties to smaller ids.
+    """
+    floor = np.full(len(queries), -np.inf) if floor is None else floor
     largest = np.abs(queries).max(initial=0.0) * np.abs(vectors).max(initial=0.0) * max(1, queries.shape[1])
     if largest >= _EXACT:
         return _best_of_large(query_ids, queries, ids, vectors, k)
-    floor = np.full(len(queries), -np.inf)
     alive = query_ids[:, None] != ids[None, :]
+    left = np.arange(len(ids))
     for segments in RESOLUTIONS:
         # A hair of slack covers rounding of the bounds; products themselves are exact.
-        bound = statistics(queries, segments) @ statistics(vectors, segments).T
-        slack = 1e-9 * (np.abs(bound) + 1.0) + 1e-12 * largest
-        if segments == RESOLUTIONS[0]:
-            n = min(2 * k, len(ids))
-            first = np.argpartition(-np.where(alive, bound, -np.inf), n - 1, axis=1)[:, :n]
-            sure = np.einsum("qd,qnd->qn", queries, vectors[first])
-            sure[~np.take_along_axis(alive, first, 1)] = -np.inf
-            if n >= k:
-                floor = np.partition(sure, n - k, axis=1)[:, n - k]
-        alive &= bound + slack >= floor[:, None]
-    rows, at = np.nonzero(alive)
-    scores = np.empty(len(rows))
-    for a in range(0, len(rows), 1 << 16):
-        b = a + (1 << 16)
-        scores[a:b] = np.einsum("nd,nd->n", queries[rows[a:b]], vectors[at[a:b]])
-    order = np.lexsort((ids[at], -scores, rows))
-    rows, at, scores = rows[order], at[order], scores[order]
+        bound = statistics(queries, segments) @ statistics(vectors[left], segments).T
+        bound += 1e-9 * largest + 1e-9
+        bound[~alive[:, left]] = -np.inf
+        n = min(2 * k, len(left))
+        if n:
+            # The most promising candidates of this resolution are tried at once and raise the floor.
+            first = np.argpartition(bound, len(left) - n, axis=1)[:, len(left) - n :]
+            sure = np.einsum("qd,qnd->qn", queries, vectors[left[first]])
+            sure[np.isneginf(np.take_along_axis(bound, first, 1))] = -np.inf
+            np.maximum(floor, _kth(sure, k), out=floor)
+        alive[:, left] &= bound >= floor[:, None]
+        left = left[alive[:, left].any(0)]
+    scores = queries @ vectors[left].T
+    scores[~alive[:, left]] = -np.inf
+    np.maximum(floor, _kth(scores, k), out=floor)
+    rows, at = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+    scores = scores[rows, at]
+    order = np.lexsort((ids[left[at]], -scores, rows))
+    rows, at, scores = rows[order], left[at[order]], scores[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
     return rows[place < k], at[place < k], scores[place < k].astype(np.int64)
 
@@ -135,12 +149,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     met = left.join(right.hint("shuffle_merge"), ["block", "slot", "dim"]).select("dim", "n", "ids", "vectors", "q_n", "q_ids", "q_vectors")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Blocks of one slot come one after another, so a query block's floor serves its next candidates too.
+        own, floor = b"", None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 ids, matrix = _matrix(row)
                 query_ids, asked = _matrix({"dim": row["dim"], "n": row["q_n"], "ids": row["q_ids"], "vectors": row["q_vectors"]})
-                q, at, score = best_of_block(query_ids, asked, ids, matrix, k)
+                if row["q_ids"] != own:
+                    own, floor = row["q_ids"], np.full(len(asked), -np.inf)
+                q, at, score = best_of_block(query_ids, asked, ids, matrix, k, floor)
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(query_ids[q], pa.int64()), "vec_id": pa.array(ids[at], pa.int64()), "score": pa.array(score, pa.int64())})
 
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
