@@ -54,30 +54,33 @@ def best_of_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, v
     largest = np.abs(queries).max(initial=0.0) * np.abs(vectors).max(initial=0.0) * max(1, queries.shape[1])
     if largest >= _EXACT:
         return _best_of_large(query_ids, queries, ids, vectors, k)
-    alive = query_ids[:, None] != ids[None, :]
-    left = np.arange(len(ids))
+    left, kept, dead = np.arange(len(ids)), vectors, None
     for segments in RESOLUTIONS:
         # A hair of slack covers rounding of the bounds; products themselves are exact.
-        bound = statistics(queries, segments) @ statistics(vectors[left], segments).T
+        bound = statistics(queries, segments) @ statistics(kept, segments).T
         bound += 1e-9 * largest + 1e-9
-        bound[~alive[:, left]] = -np.inf
+        bound[query_ids[:, None] == ids[left][None, :]] = -np.inf
         n = min(2 * k, len(left))
-        if n:
-            # The most promising candidates of this resolution are tried at once and raise the floor.
+        if n and (segments == RESOLUTIONS[-1] or np.isneginf(floor).any()):
+            # The most promising candidates are tried at once and raise the floor.
             first = np.argpartition(bound, len(left) - n, axis=1)[:, len(left) - n :]
-            sure = np.einsum("qd,qnd->qn", queries, vectors[left[first]])
+            sure = np.einsum("qd,qnd->qn", queries, kept[first])
             sure[np.isneginf(np.take_along_axis(bound, first, 1))] = -np.inf
             np.maximum(floor, _kth(sure, k), out=floor)
-        alive[:, left] &= bound >= floor[:, None]
-        left = left[alive[:, left].any(0)]
-    scores = queries @ vectors[left].T
-    scores[~alive[:, left]] = -np.inf
-    np.maximum(floor, _kth(scores, k), out=floor)
-    rows, at = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+        # Segments nest, so a finer bound is never above a coarser one and the last tells all.
+        dead = (bound < floor[:, None]) | np.isneginf(bound)
+        some = ~dead.all(0)
+        if not some.all():
+            left, kept, dead = left[some], kept[some], dead[:, some]
+    scores = queries @ kept.T
+    scores[dead] = -np.inf
+    rows, at = np.nonzero((scores >= floor[:, None]) & ~dead)
     scores = scores[rows, at]
     order = np.lexsort((ids[left[at]], -scores, rows))
     rows, at, scores = rows[order], left[at[order]], scores[order]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    last = place == k - 1
+    floor[rows[last]] = np.maximum(floor[rows[last]], scores[last])
     return rows[place < k], at[place < k], scores[place < k].astype(np.int64)
 
 
