@@ -70,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     third = F.crc32(F.col("doc_id").cast("string")) % 3
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(F.coalesce(third != 1, F.lit(False)))
-    machine = toxicity.train(docs.join(labels, "doc_id"))
+    machine = toxicity.train(docs, labels)
     scored = docs.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), toxicity.toxicity(docs, machine).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 

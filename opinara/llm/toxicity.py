@@ -112,19 +112,23 @@ def fit(sets: list[np.ndarray], labels: np.ndarray) -> Machine:
     return Machine(terms[best], w.astype(float), v.astype(float), float(b))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Machine:
-    """Fit on a sample of ``labelled`` that expects at most the given rows of each class (all rows if fewer).
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Machine:
+    """Fit on a sample of ``labels`` (key, label) that expects at most the given rows of each class.
 
-    The share of each class follows from its count, and a row is in or out by the hash of its key. Rows with a
-    null label are left out. Only term sets reach the one task that fits, and the model's bytes the driver.
+    The share of each class follows from its count, and a row is in or out by the hash of its key; all rows of a
+    class are in if there are fewer. Null labels are left out. The sample of keys meets the documents in a
+    broadcast, so texts stay where they are; only term sets reach the one task that fits, and the model's bytes
+    the driver.
     """
-    known = labelled.filter(quoted(label).isin(0, 1))
-    n = {r[0]: r[1] for r in known.groupBy(quoted(label)).count().collect()}
+    known = labels.select(quoted(key).alias("label_key"), quoted(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1))
+    n = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     ceiling = 1 << 30
     keep = {c: min(ceiling, int(ceiling * m / max(1, n.get(c, 0)))) for c, m in ((1, max_positive), (0, max_negative))}
-    place = F.pmod(F.xxhash64(quoted(key), F.lit(SEED)), F.lit(ceiling))
-    sample = known.filter(place < F.when(quoted(label) == 1, keep[1]).otherwise(keep[0]))
-    sets = sample.select(quoted(key).cast("string").alias("key"), quoted(label).cast("int").alias("label"), term_set(quoted(text)).alias("terms"))
+    place = F.pmod(F.xxhash64("label_key", F.lit(SEED)), F.lit(ceiling))
+    chosen = known.filter(place < F.when(F.col("label") == 1, keep[1]).otherwise(keep[0]))
+    side = F.broadcast(chosen) if chosen.count() <= 4 * (max_positive + max_negative) else chosen
+    sample = docs.select(quoted(key).alias("doc_key"), quoted(text).alias("doc_text")).join(side, F.col("doc_key") == F.col("label_key"))
+    sets = sample.select(F.col("doc_key").cast("string").alias("key"), "label", term_set(F.col("doc_text")).alias("terms"))
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("label", "ascending")])

@@ -193,10 +193,10 @@ def test_toxicity_holds_out_a_third_and_finds_it(spark):
 
 def test_toxicity_of_awkward_rows(spark):
     docs = cases.table(spark).withColumn("toxic", F.when(F.col("doc_id") % 2 == 0, 1).when(F.col("doc_id") % 7 > 0, 0))
-    machine = toxicity.train(docs)
+    machine = toxicity.train(docs, docs)
     rows = docs.select(toxicity.toxicity(docs, machine).alias("s")).collect()
     assert len(rows) == len(cases.rows()) and all(0 <= r.s <= 1 for r in rows)
-    none = toxicity.train(cases.empty(spark).withColumn("toxic", F.lit(1)))
+    none = toxicity.train(cases.empty(spark), cases.empty(spark).withColumn("toxic", F.lit(1)))
     assert cases.empty(spark).select(toxicity.toxicity(docs, none)).count() == 0
 
 
