@@ -100,7 +100,7 @@ class Encoder:
     and no ids. The cache is emptied at ``max_entries``.
     """
 
-    def __init__(self, path: str, lengths_only: bool = False, known: tuple[np.ndarray, np.ndarray] | None = None, max_entries: int = 600_000):
+    def __init__(self, path: str, lengths_only: bool = False, known: tuple[np.ndarray, np.ndarray] | None = None, max_entries: int = 250_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 

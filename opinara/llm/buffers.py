@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass handles; a longer single text is its own chunk.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+
+#: Rows of an Arrow batch; texts are long, and each task holds a batch on both sides.
+BATCH_ROWS = 1_000
 
 U = np.uint64
 RADIX = U(0x9E3779B97F4A7C15)
@@ -45,16 +48,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """RADIX**i and RADIX**-i for i < n (modulo 2**64); a few rounded sizes are kept."""
-    size, known = 1 << max(16, int(n).bit_length()), process_cache("powers")
-    if size not in known:
-        if len(known) > 6:
-            known.clear()
-        up, down = np.full(size, RADIX, U), np.full(size, INVERSE, U)
+    """RADIX**i and RADIX**-i for i < n (modulo 2**64), from one table that grows when it must."""
+    known = process_cache("powers")
+    if n > len(known.get("up", ())):
+        up, down = np.full(max(n, 1 << 16), RADIX, U), np.full(max(n, 1 << 16), INVERSE, U)
         up[0] = down[0] = 1
-        known[size] = np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
-    up, down = known[size]
-    return up[:n], down[:n]
+        known["up"], known["down"] = np.cumprod(up, dtype=U, out=up), np.cumprod(down, dtype=U, out=down)
+    return known["up"][:n], known["down"][:n]
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
@@ -179,6 +179,14 @@ def head_words(column: Column, n: Column) -> Column:
     return head(column, n)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have the session send Arrow batches of at most ``BATCH_ROWS`` rows, unless it is set lower; returns ``df``."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, whatever the case rules."""
     taken = {c.lower() for c in df.columns}

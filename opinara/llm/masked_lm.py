@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.buffers import chunks, mix, quoted, spans, text_buffer, word_hashes
+from opinara.llm.buffers import chunks, mix, quoted, small_batches, spans, text_buffer, word_hashes
 
 CLASSES, PLACES, WIDTH, SIDE = 64, 64, 16, 2
 BUCKETS = CLASSES * PLACES
@@ -128,7 +128,7 @@ def log_probabilities(model: Model, bucket: np.ndarray, around: np.ndarray) -> n
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
     """Train on all texts; an empty corpus gives the initial parameters. One job per round."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     model = initial()
     for r in range(rounds):
         held = spark.sparkContext.broadcast(flat(model))

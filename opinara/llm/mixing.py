@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from opinara.llm.buffers import count_words, fresh, head_words, quoted, rows_join
+from opinara.llm.buffers import count_words, fresh, head_words, quoted, rows_join, small_batches
 
 BLOCK, SHARD_WORDS, SEED = 32, 1 << 20, 17
 WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -84,7 +84,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     Two jobs run while the plan is built: words by source come to the driver, one row per source, and shards are
     counted. One task deals a source's blocks to its shards: one row per ``SHARD_WORDS`` words.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     out = {c: (names or {}).get(c, c) for c in ("size", "source_size", "target", "taken")}
     sized = docs.withColumn(out["size"], count_words(quoted(text)))
     kind = docs.schema[source].dataType

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from opinara.llm.bpe import encoder, vocabulary_path
-from opinara.llm.buffers import quoted, text_buffer
+from opinara.llm.buffers import quoted, small_batches, text_buffer
 
 WINDOW, MAX_OPEN = 2048, 2048
 #: A piece: document's id, its ids before the piece, the ids, all ids of the document.
@@ -150,5 +150,5 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1
         if rows:
             yield flush()
 
-    chosen = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
+    chosen = small_batches(docs).select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).alias("text"))
     return chosen.mapInArrow(packed, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

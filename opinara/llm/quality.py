@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm.bpe import encoder, vocabulary_path
-from opinara.llm.buffers import BYTE_VALUES, U, chunks, fresh, mix, prefix, process_cache, quoted, row_of, rows_join, span_hash, spans, text_buffer, window_hashes, word_hashes
+from opinara.llm.buffers import BYTE_VALUES, U, chunks, fresh, mix, prefix, process_cache, quoted, row_of, rows_join, small_batches, span_hash, spans, text_buffer, window_hashes, word_hashes
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SPREAD = 4.0
@@ -104,7 +104,7 @@ def measures(docs: DataFrame, text: str = "text", bpe: str = "byte_bpe_50k.json"
         whole = {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0) for c in (*COUNTS, *MEASURES)}
         return pa.StructArray.from_arrays([pa.array(whole[c], pa.int64()) for c in COUNTS] + [pa.array(whole[c], pa.float64()) for c in MEASURES], [*COUNTS, *MEASURES])
 
-    return docs.withColumn(column, quality(quoted(text)))
+    return small_batches(docs).withColumn(column, quality(quoted(text)))
 
 
 def base_failed(q: Column) -> Column:

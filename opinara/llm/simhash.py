@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from opinara.llm.buffers import chunks, expand, fresh, quoted, spans, text_buffer
+from opinara.llm.buffers import chunks, expand, fresh, quoted, small_batches, spans, text_buffer
 from opinara.session import pin
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     (doc_id, text hash), which only repeated rows share. Empty, null and wordless texts have fingerprint 0 and link
     like any other. An empty table gives an empty result. Writes the small fingerprint tables to the shared folder.
     """
-    rows = pin(docs.select(quoted(doc_id).alias("doc_id"), F.xxhash64(quoted(text)).alias("text_hash"), fingerprint(quoted(text), shingle).alias("fp")))
+    rows = pin(small_batches(docs).select(quoted(doc_id).alias("doc_id"), F.xxhash64(quoted(text)).alias("text_hash"), fingerprint(quoted(text), shingle).alias("fp")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     distinct = pin(rows.groupBy("fp").agg(least.alias("least")))
     roots = components(links(distinct.select("fp"), distance))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.buffers import U, expand, first_in_row, fresh, mix, quoted, spans, text_buffer, window_hashes, word_hashes
+from opinara.llm.buffers import U, expand, first_in_row, fresh, mix, quoted, small_batches, spans, text_buffer, window_hashes, word_hashes
 
 WINDOW = 35
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -143,7 +143,7 @@ def drop_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     null keys and repeated rows are rows like any other, so each of two equal long rows is emptied. One small
     job sums the text's bytes to set the number of blocks.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     total = docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     n_parts, n_tasks = max(1, -(-n_blocks // PER_RANGE)), max(1, -(-n_blocks // PER_PARTITION))

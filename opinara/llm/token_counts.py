@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm.bpe import Encoder, encoder, vocabulary_path
-from opinara.llm.buffers import chunks, quoted, text_buffer
+from opinara.llm.buffers import chunks, quoted, small_batches, text_buffer
 
 TABLE_SIZE, TASK_TOP, SUMMARY = 32_768, 4_096, 131_072
 
@@ -52,6 +52,7 @@ def token_counter(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", text:
 
     Building the column runs one job over ``docs`` for the table of frequent pre-tokens.
     """
+    small_batches(docs)
     path = vocabulary_path(vocabulary)
     words = frequent_pretokens(docs, path, text, top)
     coder = Encoder(path, lengths_only=True)

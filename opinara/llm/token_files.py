@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from opinara.llm.bpe import encoder, vocabulary_path
-from opinara.llm.buffers import quoted, text_buffer
+from opinara.llm.buffers import quoted, small_batches, text_buffer
 
 #: Ids after which a frame closes; text bytes of a shard.
 FRAME_IDS, SHARD_BYTES = 1 << 17, 32 << 20
@@ -122,7 +122,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_
     own and renames the file when it is whole, so a task that runs twice leaves one shard. The manifest
     (``shard, path, n_docs, n_tokens, first_token``) is written to ``folder/manifest`` and read back.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     path = vocabulary_path(vocabulary)
     total = docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
     n = max(1, -(-total // shard_bytes))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.buffers import BYTE_VALUES, chunks, prefix, quoted, row_of, span_hash, spans, text_buffer
+from opinara.llm.buffers import BYTE_VALUES, chunks, prefix, quoted, row_of, small_batches, span_hash, spans, text_buffer
 
 MAX_POSITIVE, MAX_NEGATIVE = 5_000, 10_000
 MAX_TERMS, MIN_TEXTS, FACTORS = 1_024, 3, 8
@@ -120,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     broadcast, so texts stay where they are; only term sets reach the one task that fits, and the model's bytes
     the driver.
     """
+    small_batches(docs)
     known = labels.select(quoted(key).alias("label_key"), quoted(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1))
     n = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     ceiling = 1 << 30
