@@ -104,7 +104,8 @@ def measures(docs: DataFrame, text: str = "text", bpe: str = "byte_bpe_50k.json"
         whole = {c: np.concatenate([p[c] for p in parts]) if parts else np.zeros(0) for c in (*COUNTS, *MEASURES)}
         return pa.StructArray.from_arrays([pa.array(whole[c], pa.int64()) for c in COUNTS] + [pa.array(whole[c], pa.float64()) for c in MEASURES], [*COUNTS, *MEASURES])
 
-    return small_batches(docs).withColumn(column, quality(quoted(text)))
+    # Marked so that filters on its fields do not make the optimiser evaluate it again.
+    return small_batches(docs).withColumn(column, quality.asNondeterministic()(quoted(text)))
 
 
 def base_failed(q: Column) -> Column:
