@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = "[\\s　 \u0085]"
+#: White space that is stripped, ideographic and no-break spaces included.
+SPACES = " \t\n\x0b\f\r\u3000\u00a0\u0085"
 
 
 def strip_ws(col: Column) -> Column:
     """Strip whitespace including ideographic and no-break spaces at both ends."""
-    return F.regexp_replace(F.regexp_replace(col, f"^{WS}+", ""), f"{WS}+$", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def strip_fence(text: Column) -> Column:

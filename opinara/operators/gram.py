@@ -113,6 +113,13 @@ def solve(g: np.ndarray, cols: Sequence[str], y: str, x: Sequence[str]) -> np.nd
     return np.einsum("...ij,...j->...i", inv, b)
 
 
+def rank_of(a: np.ndarray) -> int:
+    """Independent columns of one Gram, by the measure of :func:`scaled_inverse`."""
+    d = np.sqrt(np.maximum(np.diagonal(a), 1e-300))
+    values = np.abs(np.linalg.eigvalsh(a / np.outer(d, d)))
+    return int((values > 1e-12 * values.max()).sum())
+
+
 def scaled_inverse(a: np.ndarray) -> np.ndarray:
     """Pseudo-inverse after scaling to unit diagonal, so units do not decide the rank."""
     d = np.sqrt(np.maximum(np.diagonal(a, axis1=-2, axis2=-1), 1e-300))

@@ -43,7 +43,7 @@ def _attach(df: DataFrame, q: DataFrame, p: str, family: Sequence[str]) -> DataF
 def fdr(
     df: DataFrame, p: str, family: Sequence[str] = (), bh: str = "p_bh", by: str = "p_by", blocks: int | None = None
 ) -> DataFrame:
-    """Benjamini-Hochberg and Benjamini-Yekutieli adjusted p-values in one pass; a null p gives nulls."""
+    """Benjamini-Hochberg and Benjamini-Yekutieli adjusted p-values in one pass; a null or NaN p gives nulls and does not count."""
     q = _adjusted(df, p, family, bh, blocks)
     # BH is capped at 1 before scaling; scaling by at least 1 and capping again gives the same value.
     q = q.withColumn(by, F.least(F.col(bh) * harmonic(F.col("_m")), F.lit(1.0)))
@@ -53,7 +53,7 @@ def fdr(
 def fdr_bh(
     df: DataFrame, p: str, family: Sequence[str] = (), out: str = "p_bh", blocks: int | None = None
 ) -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values per family; a null p gives null."""
+    """Benjamini-Hochberg adjusted p-values per family; a null or NaN p gives null and does not count."""
     return _attach(df, _adjusted(df, p, family, out, blocks).drop("_m"), p, family)
 
 

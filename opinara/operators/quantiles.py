@@ -15,16 +15,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import finite
 from ..session import pin
 
-MAX_BLOCKS = 2048
-# Tables up to this many distinct values need no cutting.
-SMALL = 100_000
-
 
 def block_count(df: DataFrame) -> int:
-    """Blocks per group: the shuffle parallelism of the session, bounded."""
-    return max(2, min(MAX_BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Blocks per group: the shuffle parallelism of the session, which follows the data."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_value_blocks(df: DataFrame, value: str, blocks: int | None = None) -> DataFrame:
@@ -47,16 +44,13 @@ def running_counts(
 ) -> DataFrame:
     """Distinct values per group with ``n``, inclusive ``cum_n`` and group ``total``.
 
-    Duplicates collapse map-side first. Null values are dropped.
+    Duplicates collapse map-side first. Null, NaN and infinite values are dropped.
     """
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df.filter(finite(F.col(value)).isNotNull())
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     # Pinned: the cut points and the windows both read it, the source is read once.
     d = pin(rows.groupBy(*groups, value).agg(n.alias("n")))
-    if blocks is None and d.limit(SMALL + 1).count() <= SMALL:
-        b = d.withColumn("_block", F.lit(0.0))
-    else:
-        b = with_value_blocks(d, value, blocks)
+    b = with_value_blocks(d, value, blocks)
     inside = Window.partitionBy(*groups, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumn("_in", F.sum("n").over(inside))
     totals = b.groupBy(*groups, "_block").agg(F.sum("n").alias("_tot"))
@@ -82,7 +76,7 @@ def exact_quantiles(
     and ordered. The target table is written first, so the join knows its size
     and is broadcast only when that is small.
     """
-    rows = df.select(*groups, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    rows = df.select(*groups, finite(F.col(value).cast("double")).alias(value)).filter(F.col(value).isNotNull())
     b = with_value_blocks(rows, value, blocks)
     hist = b.groupBy(*groups, "_block").agg(F.count(F.lit(1)).alias("_c"))
     across = Window.partitionBy(*_by(groups)).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)

@@ -17,12 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import f_upper, normal_two_sided, t_quantile, t_two_sided
-from ..functions.scalars import vif_flag
-from .gram import CONST, correlation, gram, index_of, partial_schema, scaled_inverse, sum_partials, vif_values
+from ..functions.scalars import finite, vif_flag
+from .gram import CONST, correlation, gram, index_of, partial_schema, rank_of, scaled_inverse, sum_partials, vif_values
 from .standardize import complete_cases, zscore_complete
 
-MAX_FITS = 20_000
-
 RESULT = (
     "spec string, outcome string, term string, beta double, se double, t double, p double, "
     "ci_low double, ci_high double, n long, k int, r2 double, adj_r2 double, f double, f_p double, vif double"
@@ -58,21 +56,35 @@ def ols(
 ) -> DataFrame:
     """Long coefficient table, one row per (group, spec, term).
 
-    ``weight``: analytic weights. ``cov``: HC1 or classic. ``dist``: t or normal.
-    ``by``: a column with few values (sample cuts). ``shared_mask``: use only rows
+    Columns are shifted by their means before the scans, so that a mean that is large against the spread costs no
+    digits; a first job takes the means. The constant is shifted back.
+
+    ``weight``: analytic weights; rows of weight 0 are left out, negative weights raise. ``cov``: HC1 or classic. ``dist``: t or normal.
+    ``by``: a column with few values (sample cuts); their matrices come to the driver. ``shared_mask``: use only rows
     complete in the columns of all models.
     """
     df = _with_shared_mask(df, models) if shared_mask else df
+    if weight:
+        bad = F.raise_error(F.lit("negative weight"))
+        df = df.filter(F.when(F.col(weight) < 0, bad).otherwise(F.col(weight) > 0))
+    df, means = _shifted(df, sorted({c for m in models for c in m.cols} - {by, weight}))
     frames = _frames(models, shared_mask)
     fits = _fit(df, models, frames, weight, by)
     if cov == "HC1":
         _robust(df, fits, weight, by)
     spark = df.sparkSession
     head = f"`{by}` {df.schema[by].dataType.simpleString()}, " if by else ""
-    rows = [((f.group,) if by else ()) + r for f in fits for r in _rows(f, cov, dist, vif)]
+    rows = [((f.group,) if by else ()) + r for f in fits for r in _rows(f, cov, dist, vif, means)]
     return spark.createDataFrame(rows, head + RESULT)
 
 
+def _shifted(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
+    """Columns less their means, and the means."""
+    row = df.agg(*[F.avg(finite(F.col(c).cast("double"))).alias(c) for c in cols]).first() if cols else {}
+    means = {c: float(row[c] or 0.0) for c in cols}
+    return df.withColumns({c: F.col(c) - F.lit(m) for c, m in means.items()}), means
+
+
 def _with_shared_mask(df: DataFrame, models: Sequence[Spec]) -> DataFrame:
     return complete_cases(df, sorted({c for m in models for c in m.cols}))
 
@@ -101,10 +113,7 @@ def _fit(df: DataFrame, models: Sequence[Spec], frames: dict, weight: str | None
     keys = [by] if by else []
     grams: dict = {}
     for cols in dict.fromkeys(frames.values()):
-        rows = gram(df, cols, weight, keys).limit(MAX_FITS + 1).collect()
-        if len(rows) > MAX_FITS:
-            raise ValueError(f"more than {MAX_FITS} groups in {by}: fit replicates with gram_estimates instead")
-        grams[cols] = rows
+        grams[cols] = gram(df, cols, weight, keys).collect()
     fits = []
     for m in models:
         cols = frames[m]
@@ -161,7 +170,7 @@ def _meat_task(plan: list, weight: str | None, by: str | None):
     return run
 
 
-def _rows(f: Fit, cov: str, dist: str, vif: bool) -> list[tuple]:
+def _rows(f: Fit, cov: str, dist: str, vif: bool, means: dict[str, float]) -> list[tuple]:
     n, k = f.n, len(f.beta)
     ix, iy = index_of(f.cols, [CONST, *f.model.x]), index_of(f.cols, [f.model.y])[0]
     gxx, gxy, gyy = f.g[np.ix_(ix, ix)], f.g[ix, iy], f.g[iy, iy]
@@ -169,7 +178,7 @@ def _rows(f: Fit, cov: str, dist: str, vif: bool) -> list[tuple]:
     ssr = max(float(gyy - 2 * f.beta @ gxy + f.beta @ gxx @ f.beta), 0.0)
     sst = float(gyy - f.g[0, iy] ** 2 / sw)
     r2 = 1 - ssr / sst if sst > 0 else math.nan
-    dof = n - k
+    dof = n - rank_of(gxx)
     adj = 1 - (1 - r2) * (n - 1) / dof if dof > 0 else math.nan
     if dof <= 0:
         v = np.full((k, k), math.nan)
@@ -177,7 +186,11 @@ def _rows(f: Fit, cov: str, dist: str, vif: bool) -> list[tuple]:
         v = n / dof * f.inv @ f.meat @ f.inv
     else:
         v = f.inv * (ssr / dof) * 1.0
-    se = np.sqrt(np.maximum(np.diag(v), 0.0))
+    back = np.eye(k)
+    back[0, 1:] = [-means.get(c, 0.0) for c in f.model.x]
+    beta = back @ f.beta
+    beta[0] += means.get(f.model.y, 0.0)
+    se = np.sqrt(np.maximum(np.diag(back @ v @ back.T), 0.0))
     crit = t_quantile(0.975, dof) if dist == "t" else 1.959963984540054
     wald, wald_p = math.nan, math.nan
     if k > 1 and dof > 0:
@@ -186,7 +199,7 @@ def _rows(f: Fit, cov: str, dist: str, vif: bool) -> list[tuple]:
     vifs = vif_values(f.g, f.cols, f.model.x) if vif else {}
     out = []
     for j, term in enumerate([CONST, *f.model.x]):
-        b, s = float(f.beta[j]), float(se[j])
+        b, s = float(beta[j]), float(se[j])
         t = b / s if s > 0 else math.nan
         p = t_two_sided(t, dof) if dist == "t" else normal_two_sided(t)
         out.append(
@@ -263,8 +276,8 @@ def pick_terms(fits: DataFrame, picks: Sequence[tuple[str, str, str]], by: Seque
 def vif(df: DataFrame, x: Sequence[str], spec: str = "all") -> DataFrame:
     """Variance inflation of every predictor, with tolerance and flag."""
     k = len(x) + 1
-    row = gram(df, list(x)).first()
-    values = vif_values(np.array(row["g"]).reshape(k, k), list(x), list(x))
+    row = gram(_shifted(df, list(x))[0], list(x)).first()
+    values = vif_values(np.array(row["g"]).reshape(k, k), list(x), list(x)) if row else {}
     out = df.sparkSession.createDataFrame([(spec, c, v, 1.0 / v) for c, v in values.items()],
                                           "spec string, variable string, vif double, tolerance double")
     return out.withColumn("flag", vif_flag(F.col("vif")))
@@ -274,6 +287,8 @@ def single_factor(df: DataFrame, cols: Sequence[str], threshold: float = 50.0) -
     """Share of variance of the first unrotated factor of the correlation matrix."""
     k = len(cols) + 1
     row = gram(zscore_complete(df, list(cols), names={c: c for c in cols}), list(cols)).first()
+    if row is None:
+        raise ValueError("no row is complete in " + ", ".join(cols))
     values = np.linalg.eigvalsh(correlation(np.array(row["g"]).reshape(k, k)))
     pct = float(values[-1] / values.sum() * 100)
     return df.sparkSession.createDataFrame(

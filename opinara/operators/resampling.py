@@ -10,12 +10,14 @@ large tables.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.distributions import normal_cdf, normal_quantile, normal_two_sided
 from ..functions.hashing import MOD, hash_np, poisson_np
@@ -60,12 +62,17 @@ def exact_grams(df: DataFrame, cols: Sequence[str], order: Sequence[str], reps:
     return gram(weighted, list(cols), weight="w", by=["rep"])
 
 
-def poisson_grams(df: DataFrame, cols: Sequence[str], row_id: str, reps: int, seed: int) -> DataFrame:
-    """Gram per replicate with independent Poisson(1) row counts, in one pass."""
-    rows = complete_cases(df, list(cols)).select(F.col(row_id).cast("long").alias("_id"), *cols)
+def poisson_grams(df: DataFrame, cols: Sequence[str], order: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """Gram per replicate with independent Poisson(1) row counts, in one pass.
+
+    A row is known by a single integer column itself, else by the hash of all ``order`` columns; null keys raise.
+    """
+    whole = len(order) == 1 and isinstance(df.schema[order[0]].dataType, T.IntegralType)
+    key = F.col(order[0]).cast("long") if whole else F.xxhash64(*order)
+    null = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in order])
+    key = F.when(null, F.raise_error(F.lit("null in the columns that identify the rows"))).otherwise(key)
+    rows = complete_cases(df, list(cols)).select(key.alias("_id"), *cols)
     schema = "rep int, n long, sw double, g array<double>"
-    # Every task emits one matrix per replicate: more tasks than cores would only add to the shuffle.
-    rows = rows.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     partial = rows.mapInPandas(_poisson_task(list(cols), reps, seed), schema)
     return sum_partials(partial, ["rep"])
 
@@ -111,7 +118,7 @@ def bootstrap(
     if method == "exact":
         grams = exact_grams(df, stat.cols(), order, reps, seed)
     elif method == "poisson":
-        grams = poisson_grams(df, stat.cols(), order[0], reps, seed)
+        grams = poisson_grams(df, stat.cols(), order, reps, seed)
     else:
         raise ValueError("method must be exact or poisson")
     return gram_estimates(grams, stat, ["rep"])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.text import strip_ws
 
 
 def with_degree_weight(
@@ -20,6 +21,18 @@ def with_degree_weight(
     return df.withColumn("degree_weight", S.degree_weight(F.col(word), weights, default))
 
 
+def with_degree_lexicon(
+    df: DataFrame, lexicon: DataFrame, word: str = "degree_word", default: float = S.DEFAULT_DEGREE_WEIGHT
+) -> DataFrame:
+    """Degree weights from a table (``word, weight``) of any size; a word listed twice takes its largest weight.
+
+    Null, empty and unknown words get ``default``. The plan decides whether the lexicon is broadcast.
+    """
+    known = lexicon.groupBy(strip_ws(F.col("word")).alias("_word")).agg(F.max("weight").cast("double").alias("_weight"))
+    joined = df.join(known, strip_ws(F.col(word)) == F.col("_word"), "left")
+    return joined.withColumn("degree_weight", F.coalesce("_weight", F.lit(default))).drop("_word", "_weight")
+
+
 def with_final_value(
     df: DataFrame,
     weights: Mapping[str, float],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +28,12 @@ def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header; a UTF-8 byte-order mark is dropped. Without schema all columns are text."""
-    reader = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", False)
+    """CSV with header as RFC 4180 has it: quotes are doubled and quoted fields may hold line breaks.
+
+    A UTF-8 byte-order mark is dropped. Without schema all columns are text; an empty field is null. A file that may hold quoted line
+    breaks cannot be split: one task reads it. Use many files, or Parquet, for large tables.
+    """
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.csv(path)
@@ -135,11 +139,3 @@ def clean_names(df: DataFrame) -> DataFrame:
     """Lower-case names; characters other than letters, digits and ``_`` become ``_``."""
     names = ["".join(ch if ch.isalnum() or ch == "_" else "_" for ch in c.lower()) for c in df.columns]
     return df.toDF(*names)
-
-
-def weights_dict(lexicon: DataFrame, limit: int = 10_000) -> Mapping[str, float]:
-    """A word-weight lexicon as a mapping; lexicons above ``limit`` words must be joined instead."""
-    rows = lexicon.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"lexicon has more than {limit} words; join it as a table")
-    return {r["word"]: r["weight"] for r in rows}

@@ -13,7 +13,7 @@ def write_table(
 ) -> None:
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
