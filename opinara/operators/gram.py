@@ -16,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .moments import salts
 from .standardize import complete_cases
 
 CONST = "_cons"
@@ -59,11 +60,12 @@ def partial_schema(df: DataFrame, by: Sequence[str]) -> str:
 
 
 def sum_partials(partials: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Add the partial matrices of all tasks per group."""
-    total = partials.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.sum("sw").alias("sw"), Summarizer.sum(array_to_vector("g")).alias("_g")
-    )
-    return total.filter(F.col("n") > 0).select(*by, "n", "sw", vector_to_array("_g").alias("g"))
+    """Add the partial matrices of all tasks per group, in two steps so that no task meets those of all others."""
+    sums = [F.sum("n").alias("n"), F.sum("sw").alias("sw")]
+    salted = partials.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts(partials))))
+    first = salted.groupBy(*by, "_salt").agg(*sums, Summarizer.sum(array_to_vector("g")).alias("_g"))
+    whole = first.groupBy(*by).agg(*sums, Summarizer.sum(F.col("_g")).alias("_g"))
+    return whole.filter(F.col("n") > 0).select(*by, "n", "sw", vector_to_array("_g").alias("g"))
 
 
 def _gram_task(cols: list[str], weight: str | None, by: list[str]):
@@ -113,13 +115,24 @@ def solve(g: np.ndarray, cols: Sequence[str], y: str, x: Sequence[str]) -> np.nd
     return np.einsum("...ij,...j->...i", inv, b)
 
 
+def scaled_eigenvalues(a: np.ndarray) -> np.ndarray:
+    """Sizes of the eigenvalues of one Gram after scaling to unit diagonal."""
+    d = np.sqrt(np.maximum(np.diagonal(a), 1e-300))
+    return np.abs(np.linalg.eigvalsh(a / np.outer(d, d)))
+
+
 def rank_of(a: np.ndarray) -> int:
     """Independent columns of one Gram, by the measure of :func:`scaled_inverse`."""
-    d = np.sqrt(np.maximum(np.diagonal(a), 1e-300))
-    values = np.abs(np.linalg.eigvalsh(a / np.outer(d, d)))
+    values = scaled_eigenvalues(a)
     return int((values > 1e-12 * values.max()).sum())
 
 
+def condition_of(a: np.ndarray) -> float:
+    """Smallest over largest of the scaled eigenvalues."""
+    values = scaled_eigenvalues(a)
+    return float(values.min() / values.max())
+
+
 def scaled_inverse(a: np.ndarray) -> np.ndarray:
     """Pseudo-inverse after scaling to unit diagonal, so units do not decide the rank."""
     d = np.sqrt(np.maximum(np.diagonal(a, axis1=-2, axis2=-1), 1e-300))

@@ -1,8 +1,7 @@
 """OLS with robust errors over any number of specifications, two scans in total.
 
-First scan: one Gram per distinct column set. Second scan: the robust meat of
-every specification. Executors do both; the driver only solves k x k systems
-(k = predictors), as Spark's own linear models do.
+First scan: centred moments of every distinct column set. Second scan: the robust meat of every specification.
+Executors do both; the driver only solves k x k systems (k = predictors), as Spark's own linear models do.
 """
 
 from __future__ import annotations
@@ -17,10 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import f_upper, normal_two_sided, t_quantile, t_two_sided
-from ..functions.scalars import finite, vif_flag
-from .gram import CONST, correlation, gram, index_of, partial_schema, rank_of, scaled_inverse, sum_partials, vif_values
+from ..functions.scalars import vif_flag
+from .gram import CONST, condition_of, correlation, gram, index_of, rank_of, scaled_inverse, sum_partials, vif_values
+from .moments import Moments, complete_sets, groups_of, matrix_rows, moments, of_row, total
 from .standardize import complete_cases, zscore_complete
 
+#: Smallest over largest eigenvalue of a design scaled to unit diagonal: below ``EXACT`` its columns count as
+#: dependent, and below ``CLOSE`` too few digits would be left.
+EXACT, CLOSE = 1e-13, 1e-10
+
 RESULT = (
     "spec string, outcome string, term string, beta double, se double, t double, p double, "
     "ci_low double, ci_high double, n long, k int, r2 double, adj_r2 double, f double, f_p double, vif double"
@@ -54,123 +58,121 @@ def ols(
     shared_mask: bool = False,
     vif: bool = False,
 ) -> DataFrame:
-    """Long coefficient table, one row per (group, spec, term).
-
-    Columns are shifted by their means before the scans, so that a mean that is large against the spread costs no
-    digits; a first job takes the means. The constant is shifted back.
+    """Long coefficient table, one row per (group, spec, term). Runs its one or two scans when it is called.
 
     ``weight``: analytic weights; rows of weight 0 are left out, negative weights raise. ``cov``: HC1 or classic. ``dist``: t or normal.
     ``by``: a column with few values (sample cuts); their matrices come to the driver. ``shared_mask``: use only rows
-    complete in the columns of all models.
+    complete in the columns of all models. Columns that depend on each other exactly share their effect
+    (pseudo-inverse); a design so close to that that digits would be lost raises.
     """
-    df = _with_shared_mask(df, models) if shared_mask else df
+    return _table(df, models, weight, cov, dist, by, shared_mask, vif, None)
+
+
+def _table(df, models, weight, cov, dist, by, shared_mask, vif, cuts: Sequence[int] | None) -> DataFrame:
+    """As :func:`ols`; with ``cuts``, ``by`` counts the cuts that a row meets and a group is all rows that meet one."""
+    if shared_mask:
+        df = complete_cases(df, sorted({c for m in models for c in m.cols}))
     if weight:
         bad = F.raise_error(F.lit("negative weight"))
         df = df.filter(F.when(F.col(weight) < 0, bad).otherwise(F.col(weight) > 0))
-    df, means = _shifted(df, sorted({c for m in models for c in m.cols} - {by, weight}))
-    frames = _frames(models, shared_mask)
-    fits = _fit(df, models, frames, weight, by)
+    fits = _fit(df, models, weight, by, cuts)
     if cov == "HC1":
-        _robust(df, fits, weight, by)
-    spark = df.sparkSession
-    head = f"`{by}` {df.schema[by].dataType.simpleString()}, " if by else ""
-    rows = [((f.group,) if by else ()) + r for f in fits for r in _rows(f, cov, dist, vif, means)]
-    return spark.createDataFrame(rows, head + RESULT)
-
-
-def _shifted(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
-    """Columns less their means, and the means."""
-    row = df.agg(*[F.avg(finite(F.col(c).cast("double"))).alias(c) for c in cols]).first() if cols else {}
-    means = {c: float(row[c] or 0.0) for c in cols}
-    return df.withColumns({c: F.col(c) - F.lit(m) for c, m in means.items()}), means
-
-
-def _with_shared_mask(df: DataFrame, models: Sequence[Spec]) -> DataFrame:
-    return complete_cases(df, sorted({c for m in models for c in m.cols}))
-
-
-def _frames(models: Sequence[Spec], shared: bool) -> dict[Spec, tuple[str, ...]]:
-    """Column set whose complete cases a model uses; models with one set share a Gram."""
-    if shared:
-        union = tuple(sorted({c for m in models for c in m.cols}))
-        return {m: union for m in models}
-    return {m: tuple(sorted(set(m.cols))) for m in models}
+        _robust(df, fits, weight, by, cuts is not None)
+    name, kind = ("cutoff", "int") if cuts is not None else (by, df.schema[by].dataType.simpleString() if by else "")
+    head = f"`{name}` {kind}, " if by else ""
+    label = (lambda g: int(cuts[g - 1])) if cuts is not None else (lambda g: g)
+    rows = [((label(f.group),) if by else ()) + r for f in fits for r in _rows(f, cov, dist, vif)]
+    return df.sparkSession.createDataFrame(rows, head + RESULT)
 
 
 @dataclass
 class Fit:
+    """A solved model; ``cols``, ``g`` and ``beta`` are centred at ``mean``."""
+
     model: Spec
     group: object
     cols: tuple[str, ...]
+    mean: np.ndarray
     g: np.ndarray
     n: int
     beta: np.ndarray
     inv: np.ndarray
     meat: np.ndarray | None = None
 
-
-def _fit(df: DataFrame, models: Sequence[Spec], frames: dict, weight: str | None, by: str | None) -> list[Fit]:
-    keys = [by] if by else []
-    grams: dict = {}
-    for cols in dict.fromkeys(frames.values()):
-        grams[cols] = gram(df, cols, weight, keys).collect()
+    def uncentred(self) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients of the columns as they are, and the matrix that moves the constant there."""
+        means = dict(zip(self.cols, self.mean))
+        back = np.eye(len(self.beta))
+        back[0, 1:] = [-means[c] for c in self.model.x]
+        beta = back @ self.beta
+        beta[0] += means[self.model.y]
+        return beta, back
+
+
+def _fit(df: DataFrame, models: Sequence[Spec], weight: str | None = None, by: str | None = None, cuts: Sequence[int] | None = None) -> list[Fit]:
+    """First scan: moments of each distinct column set, then one solve per (group, model)."""
+    frames = list(dict.fromkeys(tuple(sorted(set(m.cols))) for m in models))
+    held: dict[tuple, Moments] = {}
+    for r in moments(df, frames, weight, by).collect():
+        held[r["by"], r["frame"]] = of_row(r)
+    groups: list = sorted({g for g, _ in held}, key=lambda g: (g is None, g)) if cuts is None else list(range(1, len(cuts) + 1))
     fits = []
     for m in models:
-        cols = frames[m]
-        k = len(cols) + 1
-        for r in grams[cols]:
-            g = np.array(r["g"]).reshape(k, k)
-            ix, iy = index_of(cols, [CONST, *m.x]), index_of(cols, [m.y])[0]
-            inv = scaled_inverse(g[np.ix_(ix, ix)])
-            fits.append(Fit(m, r[by] if by else None, cols, g, r["n"], inv @ g[ix, iy], inv))
+        frame = frames.index(tuple(sorted(set(m.cols))))
+        cols = frames[frame]
+        ix, iy = index_of(cols, [CONST, *m.x]), index_of(cols, [m.y])[0]
+        for group in groups:
+            found = held.get((group, frame)) if cuts is None else total(v for (g, i), v in held.items() if i == frame and g >= group)
+            if found is None:
+                continue
+            g = found.matrix()
+            a = g[np.ix_(ix, ix)]
+            if EXACT < condition_of(a) < CLOSE:
+                raise ValueError(f"model {m.name}: the design is ill-conditioned")
+            inv = scaled_inverse(a)
+            fits.append(Fit(m, group, cols, found.mean, g, found.n, inv @ g[ix, iy], inv))
     return fits
 
 
-def _robust(df: DataFrame, fits: list[Fit], weight: str | None, by: str | None) -> None:
-    """Second scan: sum of (w e)^2 x x' for every fit, filled in place."""
+def _robust(df: DataFrame, fits: list[Fit], weight: str | None, by: str | None, nested: bool) -> None:
+    """Second scan: sum of (w e)^2 x x' for every fit, filled in place. ``nested``: a row counts in all groups up to its own."""
     cols = sorted({c for f in fits for c in f.cols})
-    plan = [(i, f.group, f.model.y, list(f.model.x), list(f.cols), f.beta) for i, f in enumerate(fits)]
-    keep = [*cols, *([weight] if weight else []), *([by] if by else [])]
-    schema = "fit int, " + partial_schema(df, [])
-    partial = df.select(*dict.fromkeys(keep)).mapInPandas(_meat_task(plan, weight, by), schema)
-    for r in sum_partials(partial, ["fit"]).collect():
-        k = len(fits[r["fit"]].beta)
-        fits[r["fit"]].meat = np.array(r["g"]).reshape(k, k)
-
-
-def _meat_task(plan: list, weight: str | None, by: str | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
+    if not fits:
+        return
+    place = {c: i for i, c in enumerate(cols)}
+    frames = list(dict.fromkeys(f.cols for f in fits))
+    where = [np.array([place[c] for c in f], int) for f in frames]
+    plan: dict = {}
+    for i, f in enumerate(fits):
+        means = dict(zip(f.cols, f.mean))
+        x, y = [place[c] for c in f.model.x], place[f.model.y]
+        plan.setdefault((f.group if by else 0, frames.index(f.cols)), []).append((i, x, np.array([means[c] for c in f.model.x]), y, means[f.model.y], f.beta))
+
+    def meats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict[int, tuple[int, np.ndarray]] = {}
         for pdf in batches:
-            if len(pdf) == 0:
+            if not len(pdf):
                 continue
-            w_all = pdf[weight].to_numpy(dtype=float) if weight else np.ones(len(pdf))
-            for i, group, y, x, cols, beta in plan:
-                data = pdf[cols].to_numpy(dtype=float)
-                rows = np.isfinite(data).all(axis=1) & np.isfinite(w_all)
-                if by:
-                    rows &= (pdf[by] == group).to_numpy()
-                if not rows.any():
-                    continue
-                z = np.column_stack([np.ones(int(rows.sum())), pdf.loc[rows, x].to_numpy(dtype=float)])
-                e = pdf.loc[rows, y].to_numpy(dtype=float) - z @ beta
-                ze = z * (w_all[rows] * e)[:, None]
-                n, part = state.get(i, (0, 0.0))
-                state[i] = (n + len(z), part + ze.T @ ze)
+            for key, data, weights, fine in groups_of(pdf):
+                for mask, sets in complete_sets(fine, where):
+                    rows, w = data[mask], weights[mask]
+                    own = [g for g in range(1, int(key) + 1)] if nested else [key]
+                    for i, x, mean, y, y_mean, beta in (f for g in own for s in sets for f in plan.get((g, s), ())):
+                        z = np.column_stack([np.ones(len(rows)), rows[:, x] - mean])
+                        ze = z * (w * (rows[:, y] - y_mean - z @ beta))[:, None]
+                        n, part = state.get(i, (0, 0.0))
+                        state[i] = (n + len(z), part + ze.T @ ze)
         if state:
-            yield pd.DataFrame(
-                {
-                    "fit": list(state),
-                    "n": [v[0] for v in state.values()],
-                    "sw": 0.0,
-                    "g": [v[1].ravel() for v in state.values()],
-                }
-            )
+            sums = list(state.values())
+            yield pd.DataFrame({"fit": list(state), "n": [v[0] for v in sums], "sw": 0.0, "g": [v[1].ravel() for v in sums]})
 
-    return run
+    partial = matrix_rows(df, cols, weight, by).mapInPandas(meats, "fit int, n long, sw double, g array<double>")
+    for r in sum_partials(partial, ["fit"]).collect():
+        k = len(fits[r["fit"]].beta)
+        fits[r["fit"]].meat = np.array(r["g"]).reshape(k, k)
 
 
-def _rows(f: Fit, cov: str, dist: str, vif: bool, means: dict[str, float]) -> list[tuple]:
+def _rows(f: Fit, cov: str, dist: str, vif: bool) -> list[tuple]:
     n, k = f.n, len(f.beta)
     ix, iy = index_of(f.cols, [CONST, *f.model.x]), index_of(f.cols, [f.model.y])[0]
     gxx, gxy, gyy = f.g[np.ix_(ix, ix)], f.g[ix, iy], f.g[iy, iy]
@@ -186,10 +188,7 @@ def _rows(f: Fit, cov: str, dist: str, vif: bool, means: dict[str, float]) -> li
         v = n / dof * f.inv @ f.meat @ f.inv
     else:
         v = f.inv * (ssr / dof) * 1.0
-    back = np.eye(k)
-    back[0, 1:] = [-means.get(c, 0.0) for c in f.model.x]
-    beta = back @ f.beta
-    beta[0] += means.get(f.model.y, 0.0)
+    beta, back = f.uncentred()
     se = np.sqrt(np.maximum(np.diag(back @ v @ back.T), 0.0))
     crit = t_quantile(0.975, dof) if dist == "t" else 1.959963984540054
     wald, wald_p = math.nan, math.nan
@@ -220,8 +219,10 @@ def fit_stats(fits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def residuals(df: DataFrame, model: Spec, fitted: str = "fitted", resid: str = "resid") -> DataFrame:
     """Complete rows with fitted values and residuals; the coefficients enter as literals."""
-    beta = _fit(df, [model], _frames([model], False), None, None)[0].beta
+    fits = _fit(df, [model])
     rows = complete_cases(df, model.cols)
+    # Without a complete row there is nothing to fit and no row to show.
+    beta = fits[0].uncentred()[0] if fits else np.zeros(len(model.x) + 1)
     fit = F.lit(float(beta[0]))
     for b, c in zip(beta[1:], model.x):
         fit = fit + F.lit(float(b)) * F.col(c)
@@ -257,11 +258,19 @@ def ols_standardized(df: DataFrame, y: str, x: Sequence[str], target: str | None
     return fits if target is None else fits.filter(F.col("term") == target)
 
 
-def ols_thresholds(df: DataFrame, models: Sequence[Spec], col: str, cuts: Sequence[int], **options) -> DataFrame:
-    """Models on the rows with ``col`` >= cut for every cut: one pass, rows fan out to the cuts they meet."""
-    meets = F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: F.col(col) >= c)
-    fanned = df.withColumn("cutoff", F.explode(meets))
-    return ols(fanned, models, by="cutoff", **options)
+def ols_thresholds(
+    df: DataFrame, models: Sequence[Spec], col: str, cuts: Sequence[int], weight: str | None = None, cov: str = "HC1", dist: str = "t",
+    shared_mask: bool = False, vif: bool = False,
+) -> DataFrame:
+    """Models on the rows with ``col`` >= cut for every cut (column ``cutoff``).
+
+    A row belongs to the bucket of its highest cut; moments of buckets add up to those of the cuts, so no row fans out.
+    """
+    cuts = sorted({int(c) for c in cuts})
+    met = "_cuts_met"
+    counted = sum((F.when(F.col(col) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    bucketed = df.withColumn(met, counted.cast("int")).filter(F.col(met) > 0)
+    return _table(bucketed, models, weight, cov, dist, met, shared_mask, vif, cuts)
 
 
 def pick_terms(fits: DataFrame, picks: Sequence[tuple[str, str, str]], by: Sequence[str] = ()) -> DataFrame:
@@ -275,9 +284,8 @@ def pick_terms(fits: DataFrame, picks: Sequence[tuple[str, str, str]], by: Seque
 
 def vif(df: DataFrame, x: Sequence[str], spec: str = "all") -> DataFrame:
     """Variance inflation of every predictor, with tolerance and flag."""
-    k = len(x) + 1
-    row = gram(_shifted(df, list(x))[0], list(x)).first()
-    values = vif_values(np.array(row["g"]).reshape(k, k), list(x), list(x)) if row else {}
+    row = moments(df, [tuple(x)]).first()
+    values = vif_values(of_row(row).matrix(), list(x), list(x)) if row else {}
     out = df.sparkSession.createDataFrame([(spec, c, v, 1.0 / v) for c, v in values.items()],
                                           "spec string, variable string, vif double, tolerance double")
     return out.withColumn("flag", vif_flag(F.col("vif")))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, l2_normalize, vec_check
+from .gram import sum_partials
 from .rows import stack_rows
 
 CENTROID_BLOCK_BYTES = 32 << 20
@@ -155,9 +156,9 @@ def pca_scores(df: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
     mean, std = row["mean"].toArray(), row["std"].toArray()
     scale = np.where(std > 0, 1.0 / np.where(std > 0, std, 1.0), 0.0)
     d = len(mean)
-    gram = base.select("_v").mapInPandas(_moment_task(mean, scale), "g array<double>, n long")
-    total = gram.agg(Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("n").alias("n")).first()
-    corr, n = total["g"].toArray(), total["n"]
+    gram = base.select("_v").mapInPandas(_moment_task(mean, scale), "n long, sw double, g array<double>")
+    total = sum_partials(gram, []).first()
+    corr, n = np.array(total["g"]), total["n"]
     values, vectors_ = np.linalg.eigh(corr.reshape(d, d) / max(n, 1))
     top = vectors_[:, ::-1][:, :k]
     lam = values[::-1][:k]
@@ -179,7 +180,7 @@ def _moment_task(mean: np.ndarray, scale: np.ndarray):
             total = z.T @ z if total is None else total + z.T @ z
             n += len(z)
         if total is not None:
-            yield pd.DataFrame({"g": [total.ravel()], "n": [n]})
+            yield pd.DataFrame({"n": [n], "sw": [float(n)], "g": [total.ravel()]})
 
     return run
 

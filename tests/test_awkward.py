@@ -109,3 +109,54 @@ def test_degree_lexicon_as_a_table(spark):
     rows = spark.createDataFrame([(" w5",), ("w19999　",), ("zzz",), ("",), (None,)], "degree_word string")
     few = with_degree_weight(rows, {w: lexicon[w] for w in ("w5", "w19999")}).collect()
     assert sorted(map(repr, with_degree_lexicon(rows, table).collect())) == sorted(map(repr, few))
+
+
+def test_seven_models_take_two_scans(spark):
+    """Rows that leave the source are counted: one pass for the moments of all models, one for their meats."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(rng.normal(size=(400, 9)), columns=[f"v{i}" for i in range(9)])
+    for i in range(9):
+        pdf.loc[rng.choice(400, 20, replace=False), f"v{i}"] = np.nan
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    frame = spark.createDataFrame(pdf)
+    models = [R.Spec(f"m{i}", f"v{i}", (f"v{i + 1}", f"v{i + 2}")) for i in range(7)]
+    got = R.ols(frame.mapInArrow(count, frame.schema), models).collect()
+    assert seen.value == 2 * 400
+    for m in models:
+        d = pdf[list(m.cols)].dropna()
+        z = np.column_stack([np.ones(len(d)), d[list(m.x)]])
+        beta = np.linalg.lstsq(z, d[m.y], rcond=None)[0]
+        rows = [r for r in got if r.spec == m.name]
+        assert [r.beta for r in rows] == pytest.approx(beta.tolist(), abs=1e-10) and {r.n for r in rows} == {len(d)}
+
+
+def test_design_close_to_dependent_raises(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=500)
+    pdf = pd.DataFrame({"x": x, "near": x + 1e-6 * rng.normal(size=500), "y": rng.normal(size=500), "flat": 0.1})
+    frame = spark.createDataFrame(pdf)
+    with pytest.raises(ValueError, match="ill-conditioned"):
+        R.ols(frame, [R.Spec("m", "y", ("x", "near"))])
+    rows = {r.term: r for r in R.ols(frame, [R.Spec("m", "y", ("x", "flat"))]).collect()}
+    assert rows["flat"].beta == pytest.approx(0.0) and rows["x"].beta == pytest.approx(np.polyfit(x, pdf.y, 1)[0])
+
+
+def test_thresholds_keep_rows_in_place(spark):
+    """Nested cuts, unsorted and repeated, equal one fit per filter; nothing is exploded."""
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"x": rng.normal(size=300), "k": rng.integers(0, 40, 300).astype(float)})
+    pdf["y"] = pdf.x * pdf.k + rng.normal(size=300)
+    pdf.loc[:4, "k"] = np.nan
+    frame = spark.createDataFrame(pdf).replace(float("nan"), None, subset=["k"])
+    got = {(r.cutoff, r.term): r for r in R.ols_thresholds(frame, [R.Spec("m", "y", ("x",))], "k", [20, 5, 30, 5, 100]).collect()}
+    assert sorted({c for c, _ in got}) == [5, 20, 30]
+    for cut in (5, 20, 30):
+        want = {r.term: r for r in R.ols(frame.filter(f"k >= {cut}"), [R.Spec("m", "y", ("x",))]).collect()}
+        for term, r in want.items():
+            assert (got[cut, term].beta, got[cut, term].se, got[cut, term].n) == (pytest.approx(r.beta), pytest.approx(r.se), r.n)
