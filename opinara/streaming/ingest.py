@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.responses import checkpoint_rows, explode_matches
@@ -62,13 +62,24 @@ def stream_scores(
     """Append per-batch partial sums (key, code, sum_value, n_mentioning).
 
     A response holds all matches of its comment, so the comment mean needs no
-    state. Repeated responses are dropped by row id. A batch writes to its own
-    folder, so a replayed batch overwrites itself.
+    state. A repeated response counts once: a batch leaves out the row ids that
+    the ledger beside ``out_dir`` holds from earlier batches, and of repeats
+    within a batch the one with the smallest hash stays. Nothing is kept in a
+    state store; the ledger holds ids only and grows with the stream on disk.
+    A batch writes sums and ids to folders of its own, so a replayed batch
+    overwrites itself.
     """
-    stream = read_responses(spark, in_dir, schema, max_files).dropDuplicates(["row_id"])
+    stream = read_responses(spark, in_dir, schema, max_files)
+    ledger = f"{out_dir}_ledger"
+    id_type = next(f.dataType.simpleString() for f in stream.schema.fields if f.name == "row_id")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        valid = checkpoint_rows(batch, list(dims))
+        new = batch
+        if batch_id > 0:
+            past = spark.read.schema(f"row_id {id_type}, batch_id long").parquet(ledger).filter(F.col("batch_id") < batch_id)
+            new = batch.join(past.select("row_id"), "row_id", "left_anti")
+        one = new.groupBy("row_id").agg(F.min_by(F.struct(*new.columns), F.xxhash64(*new.columns)).alias("r")).select("r.*")
+        valid = checkpoint_rows(one, list(dims))
         rows = explode_matches(valid, ["row_id", key])
         values = with_final_value(rows, weights, apply_negation, default)
         per_comment = values.groupBy(key, "row_id", "dimension").agg(F.avg("final_value").alias("v"))
@@ -76,6 +87,7 @@ def stream_scores(
             F.sum("v").alias("sum_value"), F.count(F.lit(1)).alias("n_mentioning")
         )
         part.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        batch.select("row_id").distinct().write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -86,11 +98,30 @@ def stream_scores(
     query.awaitTermination()
 
 
-def running_scores(spark: SparkSession, out_dir: str, totals: DataFrame, key: str = "product_id") -> DataFrame:
-    """Scores and coverage from all partial sums written so far."""
-    parts = spark.read.parquet(out_dir).groupBy(key, "dimension").agg(
-        F.sum("sum_value").alias("sum_value"), F.sum("n_mentioning").alias("n_mentioning")
-    )
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("sum_value", "n_mentioning")]
+
+
+def compact_scores(spark: SparkSession, out_dir: str, to_dir: str, key: str = "product_id") -> None:
+    """Write the sums of all batches so far to ``to_dir``, a new folder, with the last batch they cover."""
+    parts = spark.read.parquet(out_dir)
+    upto = parts.agg(F.max("batch_id")).first()[0]
+    sums = parts.filter(F.col("batch_id") <= upto).groupBy(key, "dimension").agg(*_sums())
+    sums.withColumn("upto", F.lit(upto)).write.parquet(to_dir)
+
+
+def running_scores(
+    spark: SparkSession, out_dir: str, totals: DataFrame, key: str = "product_id", compacted: str | None = None
+) -> DataFrame:
+    """Scores and coverage from all partial sums written so far; with ``compacted``, only later batches are read."""
+    parts = spark.read.parquet(out_dir)
+    if compacted:
+        whole = spark.read.parquet(compacted)
+        upto = whole.agg(F.max("upto")).first()[0]
+        if upto is not None:
+            later = parts.filter(F.col("batch_id") > upto)
+            parts = later.drop("batch_id").unionByName(whole.drop("upto"))
+    parts = parts.groupBy(key, "dimension").agg(*_sums())
     out = parts.join(totals, key, "left")
     n = F.col("n_total")
     return out.select(

@@ -1,5 +1,7 @@
 """Contracts, resumable streams, ordering and plan shape."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,28 @@ def test_stream_second_run_does_only_new_work(spark):
     ST.stream_scores(spark, whole_src, whole_out, whole_ck, *args)
     # Rows 50..99 arrive twice and count once.
     assert total == spark.read.parquet(whole_out).agg(F.sum("n_mentioning")).first()[0] > half
+    # No state is kept: repeats are found in the ledger.
+    assert not (Path(ck) / "state").exists()
+    ids = spark.read.parquet(f"{out}_ledger")
+    assert ids.select("row_id").distinct().count() == rows.select("row_id").distinct().count()
+
+
+def test_compacted_sums_and_later_batches_add_up(spark):
+    src, out, ck, small, smaller = (scratch_path(spark, n) for n in ("src", "out", "ck", "small", "smaller"))
+    rows = table(spark, SF, "responses").select("row_id", "product_id", "text", "raw", "usage")
+    rows.filter("row_id < 100").write.parquet(src)
+    args = ({d: d for d in DIMS}, WEIGHTS, False, spark.read.parquet(src).schema)
+    totals = rows.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_total"))
+    ST.stream_scores(spark, src, out, ck, *args)
+    ST.compact_scores(spark, out, small)
+    rows.filter("row_id >= 100").write.mode("append").parquet(src)
+    ST.stream_scores(spark, src, out, ck, *args)
+    ST.compact_scores(spark, out, smaller)
+    want = {r[:2]: r[2:] for r in ST.running_scores(spark, out, totals).collect()}
+    for place in (small, smaller):
+        got = {r[:2]: r[2:] for r in ST.running_scores(spark, out, totals, compacted=place).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_csv_and_inventory(spark):
