@@ -61,7 +61,32 @@ def two_x(src: str, y: str, x1: str, x2: str) -> str:
         1 - sum(e * e) / sum((y - my) * (y - my)) AS r2 FROM e GROUP BY n, b1, b2)"""
 
 
-COEF = ["term", "beta", "se", "t", "n", "r2"]
+def p_value(t: str, dof: str) -> str:
+    """Two-sided p of Student's t: with t = sqrt(dof) tan(a) it is an integral of cos(a)^(dof - 1), here by Simpson's rule."""
+    dof = f"({dof})"
+    low = f"atan(abs({t}) / sqrt({dof}))"
+    step = f"(least(pi() / 2 - {low}, 10 / sqrt({dof})) / 1000)"
+    area = f"(SELECT sum(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(({dof} - 1) * ln(greatest(cos({low} + i * {step}), 1e-300)))) FROM range(0, 1001) r(i))"
+    return f"(2 * exp(lgamma(({dof} + 1) / 2) - lgamma({dof} / 2)) / sqrt(pi()) * {area} * {step} / 3)"
+
+
+def last_x(src: str, y: str, xs: list[str]) -> str:
+    """CTEs for the last of ``xs`` in a model with all of them, by making each column orthogonal to those before: fit(n, b, se, r2)."""
+    names = [f"x{i}" for i in range(len(xs))]
+    sides = ", ".join(f"{x}::DOUBLE AS {v}" for x, v in zip(xs, names))
+    parts = [f"g AS (SELECT {y}::DOUBLE AS y, {sides} FROM {src} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [y, *xs])})"]
+    centred = ", ".join(f"{v} - avg({v}) OVER () AS {v}" for v in ["y", *names])
+    parts.append(f"g0 AS (SELECT *, y AS y0 FROM (SELECT {centred} FROM g))")
+    for i, u in enumerate(names):
+        rest = ", ".join(f"{v} - {u} * (sum({v} * {u}) OVER () / sum({u} * {u}) OVER ()) AS {v}" for v in ["y", *names[i + 1 :]])
+        parts.append(f"g{i + 1} AS (SELECT y0, {u}, {rest} FROM g{i})")
+    u = names[-1]
+    parts.append(f"""fit AS (SELECT count(*) AS n, sum({u} * y0) / sum({u} * {u}) AS b, sqrt(count(*) / (count(*) - {len(xs) + 1}) * sum({u} * {u} * y * y)) / sum({u} * {u}) AS se,
+      1 - sum(y * y) / sum(y0 * y0) AS r2 FROM g{len(xs)})""")
+    return ", ".join(parts)
+
+
+COEF = ["term", "beta", "se", "t", "p", "n", "r2"]
 
 
 def slope_rows(fits, *extra):
@@ -69,7 +94,7 @@ def slope_rows(fits, *extra):
 
 
 def two_rows(spec_cols: str, x1: str, x2: str) -> str:
-    row = lambda i, x: f"SELECT {spec_cols}'{x}' AS term, {rd(f'b{i}', 'beta')}, {rd(f'se{i}', 'se')}, {rd(f'b{i} / se{i}', 't')}, n, {rd('r2', 'r2')} FROM fit"
+    row = lambda i, x: f"SELECT {spec_cols}'{x}' AS term, {rd(f'b{i}', 'beta')}, {rd(f'se{i}', 'se')}, {rd(f'b{i} / se{i}', 't')}, {rd(p_value(f'b{i} / se{i}', 'n - 3'), 'p')}, n, {rd('r2', 'r2')} FROM fit"
     return f"{row(1, x1)} UNION ALL {row(2, x2)}"
 
 
@@ -111,7 +136,7 @@ def _(spark, sf):
     return rounded(R.fit_stats(fits).select("spec", "n", "r2", "adj_r2", "f"))
 
 
-@C.add("ols_weighted", f"WITH {one_x('{design}', 'spend', 'gap', 'n_reviews::DOUBLE')} SELECT 'gap' AS term, {rd('b', 'beta')}, {rd('se', 'se')}, {rd('b / se', 't')}, n, {rd('r2', 'r2')} FROM fit")
+@C.add("ols_weighted", f"WITH {one_x('{design}', 'spend', 'gap', 'n_reviews::DOUBLE')} SELECT 'gap' AS term, {rd('b', 'beta')}, {rd('se', 'se')}, {rd('b / se', 't')}, {rd(p_value('b / se', 'n - 2'), 'p')}, n, {rd('r2', 'r2')} FROM fit")
 def _(spark, sf):
     return slope_rows(R.ols(design(spark, sf), R.specs([("m", "spend", ["gap"])]), weight="n_reviews"))
 
@@ -124,18 +149,26 @@ def _(spark, sf):
     return slope_rows(R.ols_standardized(design(spark, sf), "spend", ["quantity", "gap"], target="gap"))
 
 
+# Not ``size``: ``gap`` is a multiple of it, and coefficients of dependent columns are not unique.
+EXTRA = ["tax", "n_reviews"]
 GRID = [(y, t) for y in ("spend", "price") for t in ("gap", "discount")]
 
 
+def grid_rows(y: str, target: str, kind: str, xs: list[str]) -> list[str]:
+    """A row for each predictor of one model, taken as the last one."""
+    cols = f"{rd('b', 'beta')}, {rd('se', 'se')}, {rd('b / se', 't')}, {rd(p_value('b / se', f'n - {len(xs) + 1}'), 'p')}, n, {rd('r2', 'r2')}"
+    return [
+        f"SELECT * FROM (WITH {last_x('{design}', y, [c for c in xs if c != x] + [x])} SELECT '{y}|{target}|{kind}' AS spec, '{x}' AS term, {cols} FROM fit)"
+        for x in xs
+    ]
+
+
 @C.add(
     "ols_grid",
-    " UNION ALL ".join(
-        f"SELECT * FROM (WITH {two_x('{design}', y, t, 'quantity')} {two_rows(f"'{y}|{t}|base' AS spec, ", t, 'quantity')})" for y, t in GRID
-    ),
+    " UNION ALL ".join(r for y, t in GRID for kind, extra in (("base", []), ("extended", EXTRA)) for r in grid_rows(y, t, kind, [t, "quantity", *extra])),
 )
 def _(spark, sf):
-    fits = R.ols_grid(design(spark, sf), ["spend", "price"], ["gap", "discount"], ["quantity"], extra=["tax", "size"])
-    return slope_rows(fits.filter(F.col("spec").endswith("|base")), "spec")
+    return slope_rows(R.ols_grid(design(spark, sf), ["spend", "price"], ["gap", "discount"], ["quantity"], extra=EXTRA), "spec")
 
 
 @C.add(
@@ -148,7 +181,7 @@ def _(spark, sf):
 
 @C.add(
     "ols_outcome_variants",
-    " UNION ALL ".join(f"SELECT * FROM (WITH {one_x('{design}', y, 'quantity')} SELECT '{y}' AS spec, 'quantity' AS term, {rd('b', 'beta')}, {rd('se', 'se')}, {rd('b / se', 't')}, n, {rd('r2', 'r2')} FROM fit)" for y in ("spend", "discount", "tax", "price", "gap")),
+    " UNION ALL ".join(f"SELECT * FROM (WITH {one_x('{design}', y, 'quantity')} SELECT '{y}' AS spec, 'quantity' AS term, {rd('b', 'beta')}, {rd('se', 'se')}, {rd('b / se', 't')}, {rd(p_value('b / se', 'n - 2'), 'p')}, n, {rd('r2', 'r2')} FROM fit)" for y in ("spend", "discount", "tax", "price", "gap")),
 )
 def _(spark, sf):
     return slope_rows(R.ols_multi(design(spark, sf), ["spend", "discount", "tax", "price", "gap"], ["quantity"]), "spec")
@@ -160,7 +193,7 @@ ZN = "zn AS (SELECT n_reviews, (spend - avg(spend) OVER ()) / stddev_samp(spend)
 
 @C.add(
     "ols_subsample",
-    f"WITH {ZN} " + " UNION ALL ".join(f"SELECT * FROM (WITH {one_x('zn', 'spend_s', 'tax_s', where=f'n_reviews >= {c}')} SELECT {c}::INT AS cutoff, 'tax_s' AS term, {rd('b', 'beta')}, {rd('se', 'se')}, {rd('b / se', 't')}, n, {rd('r2', 'r2')} FROM fit)" for c in CUTS),
+    f"WITH {ZN} " + " UNION ALL ".join(f"SELECT * FROM (WITH {one_x('zn', 'spend_s', 'tax_s', where=f'n_reviews >= {c}')} SELECT {c}::INT AS cutoff, 'tax_s' AS term, {rd('b', 'beta')}, {rd('se', 'se')}, {rd('b / se', 't')}, {rd(p_value('b / se', 'n - 2'), 'p')}, n, {rd('r2', 'r2')} FROM fit)" for c in CUTS),
 )
 def _(spark, sf):
     z = zscore(design(spark, sf), ["spend", "tax"], ddof=1, on_constant="raise", names={"spend": "spend_s", "tax": "tax_s"})
