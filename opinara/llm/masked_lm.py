@@ -5,8 +5,7 @@ either side of a position, each scaled by weights of its offset, add up to a hid
 class and the place. A text's score is the sum of the conditional log-probabilities of all its words.
 
 Training covers the whole corpus: in each round every task starts from the same parameters and learns by AdaGrad
-from one of ``STRIDE`` positions (by hash of the words around it) of all its texts; parameters are then averaged,
-weighted by positions, in a Spark aggregate. What is gathered grows with the number of tasks. The averaged model
+from every position of all its texts; parameters are then averaged, weighted by positions, in a Spark aggregate. What is gathered grows with the number of tasks. The averaged model
 has a fixed size (0.6 MB) and is broadcast.
 """
 
@@ -23,7 +22,7 @@ from opinara.llm.buffers import chunks, mix, quoted, small_batches, spans, text_
 
 CLASSES, PLACES, WIDTH, SIDE = 64, 64, 16, 2
 BUCKETS = CLASSES * PLACES
-ROUNDS, STRIDE, BATCH, RATE, SEED = 2, 16, 2048, 0.1, 5
+ROUNDS, STRIDE, BATCH, RATE, SEED = 2, 1, 8192, 0.1, 5
 SHAPES = {"embed": (BUCKETS + 1, WIDTH), "offset": (2 * SIDE, WIDTH), "class_w": (CLASSES, WIDTH), "class_b": (CLASSES,), "place_w": (CLASSES, PLACES, WIDTH), "place_b": (CLASSES, PLACES)}
 
 Model = dict[str, np.ndarray]
@@ -50,20 +49,24 @@ def shaped(values: np.ndarray) -> Model:
     return out
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word, buckets around it (``BUCKETS`` beyond the text's ends), word offsets, position hashes."""
+def contexts(data: np.ndarray, offsets: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each word, buckets around it (``BUCKETS`` beyond the text's ends), word offsets, position hashes.
+
+    Position hashes are those of the words alone unless ``places`` is set.
+    """
     starts, ends, rows = spans(data, offsets)
     hashes = word_hashes(data, starts, ends)
     bucket = (hashes >> np.uint64(52)).astype(np.int64)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     around = np.full((len(bucket), 2 * SIDE), BUCKETS, np.int64)
-    place = hashes.copy()
+    place = hashes.copy() if places else hashes
     for j, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         a, b = max(0, -d), len(bucket) - max(0, d)
         if b > a:
             same = row[a:b] == row[a + d : b + d]
             around[a:b, j] = np.where(same, bucket[a + d : b + d], BUCKETS)
-            place[a:b] = mix(place[a:b] ^ np.where(same, hashes[a + d : b + d], np.uint64(j)))
+            if places:
+                place[a:b] = mix(place[a:b] ^ np.where(same, hashes[a + d : b + d], np.uint64(j)))
     return bucket, around, rows, place
 
 
@@ -74,25 +77,31 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def learn(model: Model, bucket: np.ndarray, around: np.ndarray, memory: Model) -> None:
     """One AdaGrad step on a batch; ``memory`` holds the sums of squared gradients."""
-    n, kind, place = len(bucket), bucket // PLACES, bucket % PLACES
-    near = model["embed"][around]
-    hidden = np.tanh((near * model["offset"]).sum(1))
+    n, order = len(bucket), np.argsort(bucket // PLACES, kind="stable")
+    bucket, around = bucket[order], around[order]
+    kind, place = bucket // PLACES, bucket % PLACES
+    near = [model["embed"][around[:, j]] for j in range(2 * SIDE)]
+    hidden = np.tanh(sum(x * w for x, w in zip(near, model["offset"], strict=True)))
     p = _softmax(hidden @ model["class_w"].T + model["class_b"])
     p[np.arange(n), kind] -= 1
-    own = model["place_w"][kind]
-    q = _softmax(np.matmul(own, hidden[:, :, None])[:, :, 0] + model["place_b"][kind])
-    q[np.arange(n), place] -= 1
-    back = (p @ model["class_w"] + np.matmul(q[:, None, :], own)[:, 0, :]) * (1 - hidden**2)
+    back = p @ model["class_w"]
     grad = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
     grad["class_w"], grad["class_b"] = p.T @ hidden, p.sum(0)
-    order = np.argsort(kind, kind="stable")
-    for c, part in zip(*_groups(kind[order], order), strict=True):
-        grad["place_w"][c], grad["place_b"][c] = q[part].T @ hidden[part], q[part].sum(0)
-    grad["offset"] = (near * back[:, None, :]).sum(0)
-    step = back[:, None, :] * model["offset"]
-    index = around.ravel()
-    for f in range(WIDTH):
-        grad["embed"][:, f] = np.bincount(index, step[:, :, f].ravel(), BUCKETS + 1)
+    cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    for c, a, b in zip(range(CLASSES), cut[:-1], cut[1:], strict=True):
+        if a < b:
+            q = _softmax(hidden[a:b] @ model["place_w"][c].T + model["place_b"][c])
+            q[np.arange(b - a), place[a:b]] -= 1
+            grad["place_w"][c], grad["place_b"][c] = q.T @ hidden[a:b], q.sum(0)
+            back[a:b] += q @ model["place_w"][c]
+    back *= 1 - hidden**2
+    grad["offset"] = np.stack([(x * back).sum(0) for x in near])
+    step = np.concatenate([back * w for w in model["offset"]])
+    index = around.T.ravel()
+    order = np.argsort(index.astype(np.uint16), kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    grad["embed"][index[first]] = np.add.reduceat(step[order], first, axis=0)
     for k, g in grad.items():
         g = g / np.float32(n) ** 0.5
         memory[k] += g * g
@@ -127,7 +136,10 @@ def log_probabilities(model: Model, bucket: np.ndarray, around: np.ndarray) -> n
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
-    """Train on all texts; an empty corpus gives the initial parameters. One job per round."""
+    """Train on all texts; an empty corpus gives the initial parameters. One job per round.
+
+    Every round learns from all positions; a ``stride`` above 1 takes one of so many by hash of the words around.
+    """
     spark = small_batches(docs).sparkSession
     model = initial()
     for r in range(rounds):
@@ -144,11 +156,13 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int
 
             for batch in batches:
                 for _, _, part, bounds in chunks(*text_buffer(batch.column(0))):
-                    bucket, around, _, place = contexts(part, bounds)
-                    at = np.flatnonzero(place % np.uint64(stride) == np.uint64(r % stride))
-                    n += len(at)
-                    for a in range(0, len(at), BATCH):
-                        kept.append((bucket[at[a : a + BATCH]], around[at[a : a + BATCH]]))
+                    bucket, around, _, place = contexts(part, bounds, stride > 1)
+                    if stride > 1:
+                        at = np.flatnonzero(place % np.uint64(stride) == np.uint64(r % stride))
+                        bucket, around = bucket[at], around[at]
+                    n += len(bucket)
+                    for a in range(0, len(bucket), BATCH):
+                        kept.append((bucket[a : a + BATCH], around[a : a + BATCH]))
                         size += len(kept[-1][0])
                         if size >= BATCH:
                             step()

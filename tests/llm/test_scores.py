@@ -5,12 +5,14 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from opinara.llm import masked_lm, mixing, quality, queries, topk, toxicity
 from opinara.llm.bpe import Encoder, vocabulary_path
+from opinara.llm.buffers import text_buffer
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
@@ -236,3 +238,12 @@ def test_masked_training_helps_on_the_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     mean = lambda m: docs.select(masked_lm.pseudo_likelihood(docs, m).alias("s")).agg(F.sum("s.log_likelihood") / F.sum("s.n_words")).first()[0]
     assert mean(masked_lm.train(docs)) > mean(masked_lm.initial()) + 0.5
+
+
+def test_masked_training_learns_from_every_position(spark):
+    data, offsets = text_buffer(pa.array([f"lone{i}" for i in range(40)], pa.string()))
+    bucket = masked_lm.contexts(data, offsets)[0]
+    model = masked_lm.train(spark.createDataFrame([(f"lone{i}",) for i in range(40)], "text string").coalesce(1))
+    bias = model["place_b"]
+    untouched = bias[np.bincount(bucket // masked_lm.PLACES, minlength=masked_lm.CLASSES) == 0]
+    assert (untouched == 0).all() and (bias.ravel()[bucket] > 0).all()
