@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup of pre-token lengths, without a shuffle of pre-tokens.
 
 Tier one is a broadcast table of the corpus's frequent pre-tokens: 64-bit hash and length, at most ``TABLE_SIZE``
-entries of ten bytes. Tier two is the cache of each Python worker, which encodes what it has not seen. The table
+entries of sixteen bytes (a pre-token may have any length). Tier two is the cache of each Python worker, which encodes what it has not seen. The table
 only saves work: counts are the library's whatever it holds. It is chosen from counts over all texts: every task
 keeps a bounded summary of its pre-tokens and hands on its ``TASK_TOP`` largest counts.
 """
@@ -65,7 +65,7 @@ def token_counter(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", text:
         hashes[row:end][single] = got[rows[:-1][single]]
     usable = hashes != 0
     hashes, at = np.unique(hashes[usable], return_index=True)
-    table = docs.sparkSession.sparkContext.broadcast((hashes, sizes[usable][at].astype(np.uint16)))
+    table = docs.sparkSession.sparkContext.broadcast((hashes, sizes[usable][at]))
 
     @F.arrow_udf("long")
     def tokens(texts: pa.Array) -> pa.Array:

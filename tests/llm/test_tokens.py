@@ -51,6 +51,16 @@ def test_counts_against_the_library(spark, coder):
     assert token_counts.with_token_counts(cases.empty(spark)).count() == 0
 
 
+def test_counts_of_pretokens_longer_than_65535_tokens(spark, coder):
+    rng = np.random.default_rng(6)
+    texts = ["\n" * 200_000, "".join(map(chr, rng.integers(97, 123, 200_000)))]
+    docs = spark.createDataFrame([(i, texts[i % 2]) for i in range(6)], "doc_id long, text string").coalesce(1)
+    want = [len(x) for x in library(coder, texts)]
+    assert max(want) > 65_535
+    for r in token_counts.with_token_counts(docs, limit=60_000).collect():
+        assert (r.n_tokens, r.over_limit) == (want[r.doc_id % 2], want[r.doc_id % 2] > 60_000)
+
+
 def test_files_round_trip(spark, coder, tmp_path):
     folder = f"file://{tmp_path}/tokens"
     token_files.write_token_files(cases.table(spark), folder, shard_bytes=20_000)
