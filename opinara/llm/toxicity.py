@@ -3,8 +3,8 @@
 Terms are lower-cased runs of ASCII letters, digits and all non-ASCII characters; a text is the set of its terms'
 64-bit hashes. The machine adds a weight for each known term and, for each pair, the product of their factors, so a
 pair such as an insult with a group mention counts beyond both weights. The model is fitted on a bounded sample of
-labelled rows (``MAX_POSITIVE``, ``MAX_NEGATIVE`` expected, chosen by hash) and holds at most ``MAX_TERMS`` terms,
-so it is small enough to broadcast; every text is scored whole.
+labelled rows (``MAX_POSITIVE``, ``MAX_NEGATIVE`` expected, chosen by hash) and holds every term of that sample, so
+pairs of terms that say nothing alone are learned too; it is broadcast, and every text is scored whole.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.buffers import BYTE_VALUES, chunks, prefix, quoted, row_of, small_batches, span_hash, spans, text_buffer
+from opinara.llm.buffers import BYTE_VALUES, chunks, expand, prefix, quoted, row_of, small_batches, span_hash, spans, text_buffer
 
 MAX_POSITIVE, MAX_NEGATIVE = 5_000, 10_000
-MAX_TERMS, MIN_TEXTS, FACTORS = 1_024, 3, 8
-EPOCHS, BATCH, RATE, DECAY, SEED = 60, 256, 0.1, 1e-4, 11
+FACTORS = 8
+EPOCHS, BATCH, RATE, DECAY, LEAST, KNOWN, POWER, REIN, START_W, START_V, SEED = 60, 256, 0.1, 1e-4, 5e-2, 1.5, 8, 1.0, 1e-6, 1e-3, 11
 _GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _FOLDED = BYTE_VALUES.copy()
 _FOLDED[65:91] = BYTE_VALUES[97:123]
@@ -73,43 +73,64 @@ class Machine:
 
 
 def fit(sets: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Choose terms by how far their shares differ between the classes, then learn by AdaGrad on the logistic loss."""
+    """Learn weights and factors of all terms in ``sets`` by AdaGrad on the logistic loss.
+
+    No term is left out; terms are held back instead. Weights pay an absolute penalty that falls with how far a
+    term's shares differ between the classes, factors a quadratic one that grows with what a single text can add to a
+    direction of theirs (its terms over the number of texts). A step touches the terms of its batch only, with the
+    penalty of the batches a term was not in, so the pull per epoch is the same however rare it is. Classes weigh
+    the same, so the bias starts at 0.
+    """
     rng = np.random.default_rng(SEED)
     if not len(sets) or labels.min() == labels.max():
         share = float(labels.mean()) if len(sets) else 0.5
         return Machine(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    flat, size = np.concatenate(sets), np.array([len(s) for s in sets])
-    terms, back = np.unique(flat, return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    terms, back = np.unique(np.concatenate(sets), return_inverse=True)
     y = labels.astype(float)
-    seen = np.bincount(back)
-    toxic = np.bincount(back, np.repeat(y, size))
     n1, n0 = y.sum(), (1 - y).sum()
+    balance = np.where(y > 0, 0.5 * len(y) / n1, 0.5 * len(y) / n0)
+    seen, toxic = np.bincount(back), np.bincount(back, np.repeat(y, size))
     share = seen / len(y)
     apart = np.abs(toxic / n1 - (seen - toxic) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-    apart[seen < MIN_TEXTS] = 0
-    best = np.sort(np.lexsort((terms, -apart))[:MAX_TERMS])
-    best = best[apart[best] > 3.0]
-    spot = np.full(len(terms), -1)
-    spot[best] = np.arange(len(best))
-    x = np.zeros((len(sets), len(best)), np.float32)
-    column = spot[back]
-    x[np.repeat(np.arange(len(sets)), size)[column >= 0], column[column >= 0]] = 1.0
-    w, v, b = np.zeros(len(best), np.float32), rng.normal(0, 0.01, (len(best), FACTORS)).astype(np.float32), np.float32(np.log(n1 / n0))
-    gw, gv, gb = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
-    balance = np.where(y > 0, 0.5 * len(y) / n1, 0.5 * len(y) / n0).astype(np.float32)
+    least = (LEAST * np.minimum(1, KNOWN / np.maximum(apart * seen / (seen + 2), 1e-9)) ** POWER).astype(np.float32)
+    place = np.concatenate([[0], np.cumsum(size)])
+    order, batches = rng.permutation(len(sets)), []
+    for a in range(0, len(order), BATCH):
+        i = order[a : a + BATCH]
+        own, column = np.unique(back[expand(place[i], size[i])], return_inverse=True)
+        row, by_term = np.repeat(np.arange(len(i)), size[i]), np.argsort(column, kind="stable")
+        filled = np.flatnonzero(size[i])
+        starts = np.cumsum(size[i])[filled] - size[i][filled]
+        batches.append((y[i], balance[i] / len(i), own, column, row, row[by_term], np.searchsorted(column[by_term], np.arange(len(own))), filled, starts))
+    rein = REIN * size.mean() / len(sets)
+    often = len(batches) / np.maximum(1, np.bincount(np.concatenate([x[2] for x in batches]), minlength=len(terms))).astype(np.float32)
+    w, v, b = np.zeros(len(terms), np.float32), rng.normal(0, 0.01, (len(terms), FACTORS)).astype(np.float32), np.float32(0)
+    gw, gv, gb = np.full_like(w, START_W), np.full_like(v, START_V), START_W
     for _ in range(EPOCHS):
-        order = rng.permutation(len(sets))
-        for a in range(0, len(order), BATCH):
-            i = order[a : a + BATCH]
-            s = x[i] @ v
-            z = b + x[i] @ w + 0.5 * ((s**2).sum(1) - x[i] @ (v**2).sum(1))
-            g = (balance[i] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) / len(i)).astype(np.float32)
-            dw = x[i].T @ g + DECAY * w
-            dv = x[i].T @ (g[:, None] * s) - v * (x[i].T @ g)[:, None] + DECAY * v
+        for k in rng.permutation(len(batches)):
+            target, weight, own, column, row, row_by_term, cuts, filled, starts = batches[k]
+            if not len(own):
+                continue
+            wt, vt, rate = w[own], v[own], often[own]
+            z, s = np.full(len(target), b, np.float32), np.zeros((len(target), FACTORS), np.float32)
+            s[filled] = np.add.reduceat(vt[column], starts, axis=0)
+            z[filled] += np.add.reduceat((wt - 0.5 * (vt**2).sum(1))[column], starts)
+            z += 0.5 * (s**2).sum(1)
+            g = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)).astype(np.float32)
+            dw = np.add.reduceat(g[row_by_term], cuts)
+            dv = np.add.reduceat((g[:, None] * s)[row_by_term], cuts, axis=0) - vt * dw[:, None] + rein * rate[:, None] * vt
+            dw += DECAY * rate * wt
             db = float(g.sum())
-            gw, gv, gb = gw + dw**2, gv + dv**2, gb + db**2
-            w, v, b = w - RATE * dw / np.sqrt(gw), v - RATE * dv / np.sqrt(gv), b - np.float32(RATE * db / np.sqrt(gb))
-    return Machine(terms[best], w.astype(float), v.astype(float), float(b))
+            gw[own] += dw**2
+            gv[own] += dv**2
+            gb += db**2
+            step = RATE / np.sqrt(gw[own])
+            moved = wt - step * dw
+            w[own] = np.sign(moved) * np.maximum(np.abs(moved) - step * least[own] * rate, 0)
+            v[own] -= RATE * dv / np.sqrt(gv[own])
+            b -= np.float32(RATE * db / np.sqrt(gb))
+    return Machine(terms, w, v, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Machine:
@@ -133,7 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("label", "ascending")])
-        got = [np.array(t, np.int64).view(np.uint64) for t in table.column("terms").to_pylist()]
+        terms = table.column("terms").combine_chunks()
+        flat, cuts = terms.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy())])
+        got = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.table({"model": pa.array([pickle.dumps(fit(got, table.column("label").to_numpy()).__dict__)], pa.binary())})
 
     rows = sets.withColumn("sample", F.lit(1)).groupBy("sample").applyInArrow(learn, "model binary").collect()

@@ -183,6 +183,25 @@ def test_machine_learns_a_pair_that_weights_miss():
     assert machine.factors[pair[11]] @ machine.factors[pair[22]] > 0.3
 
 
+def test_machine_learns_a_pair_of_terms_equally_common_in_both_classes():
+    rng = np.random.default_rng(2)
+    sets, labels = [], []
+    for _ in range(1200):
+        a, b = rng.integers(0, 2, 2)
+        sets.append(np.array([t for t, on in ((11, a), (22, b)) if on] + list(100 + rng.choice(300, 20, replace=False)), np.uint64))
+        labels.append(int(a == b))
+    machine = toxicity.fit(sets[:900], np.array(labels[:900]))
+    held = sets[900:]
+    z = machine.raw(np.concatenate(held), np.concatenate([[0], np.cumsum([len(s) for s in held])]))
+    assert ((z > 0) == np.array(labels[900:])).mean() > 0.95
+
+
+def test_machine_knows_all_terms_of_its_sample():
+    sets = [np.array([i % 2, 10 + i, 10_000 + i], np.uint64) for i in range(2000)]
+    machine = toxicity.fit(sets, np.arange(2000) % 2)
+    assert len(machine.terms) == 4002
+
+
 def test_toxicity_holds_out_a_third_and_finds_it(spark):
     got = queries.op10_toxicity(spark, "/root/testdata/sf0.01").collect()
     truth = dict(duckdb.connect().execute("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall())
