@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import masked_lm, mixing, packing, quality, simhash, substring_dedup, token_counts, token_files, topk, toxicity
+from opinara.llm import masked_lm, mixing, packing, prefix_trie, quality, simhash, substring_dedup, token_counts, token_files, topk, toxicity
 from opinara.session import pin, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,13 +75,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), openings=100)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_substring_dedup, op2_token_files, op3_source_mix, op4_token_counts, op5_quality_rules, op6_packing, op7_masked_lm, op8_simhash, op9_topk, op10_toxicity, pipeline)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_substring_dedup, op2_token_files, op3_source_mix, op4_token_counts, op5_quality_rules, op6_packing, op7_masked_lm, op8_simhash, op9_topk, op10_toxicity, op11_prefix_trie, pipeline)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -104,4 +108,20 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    "op11_prefix_trie": """
+        WITH o AS (SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS p
+                   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+        bits AS (SELECT c, list_transform(range(0, 8 * strlen(CAST(c AS VARCHAR))), i -> CAST((ascii(CAST(c AS VARCHAR)[CAST(i // 8 AS BIGINT) + 1]) >> CAST(i % 8 AS INTEGER)) & 1 AS BIGINT)) AS b
+                 FROM (SELECT DISTINCT c FROM o)),
+        k AS (SELECT c, xor(list_reduce(list_concat([4294967295], b), (r, x) -> xor(r >> 1, 3988292384 * (xor(r, x) & 1))), 4294967295) % 6 AS h FROM bits),
+        part AS (SELECT k.c, 0 AS own, p, role, text FROM k JOIN o ON o.c = k.c - k.c % 100 AND p <= h
+                 UNION ALL SELECT k.c, 1, p, role, text FROM k JOIN o ON o.c = k.c AND p > h),
+        conv AS (SELECT k.c, coalesce(list({'r': role, 't': text} ORDER BY own, p) FILTER (WHERE part.c IS NOT NULL), []) AS turns FROM k LEFT JOIN part ON part.c = k.c GROUP BY k.c),
+        pre AS (SELECT c, d, list_slice(turns, 1, d) AS key, len(turns) = d AS last FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM conv)),
+        node AS (SELECT key, d, min(c) AS low, count(*) AS n, count(*) FILTER (WHERE last) AS n_end, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last) AS ends FROM pre GROUP BY key, d),
+        up AS (SELECT list_slice(key, 1, a) AS key, a, d, n, n_end, CASE WHEN d > 0 THEN length(key[d].t) ELSE 0 END AS size FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM node)),
+        tree AS (SELECT key, a, count(*) FILTER (WHERE d = a + 1) AS kids, count(*) FILTER (WHERE n = n_end) AS leaves, sum((n - 1) * size) AS saved FROM up GROUP BY key, a)
+        SELECT node.low AS conv_id, CAST(node.d AS BIGINT) AS depth, parent.low AS parent_conv_id, node.n AS n_convs, kids AS n_children, leaves AS n_leaves,
+               CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+        FROM node JOIN tree ON tree.key = node.key AND tree.a = node.d LEFT JOIN node parent ON node.d > 0 AND parent.d = node.d - 1 AND parent.key = list_slice(node.key, 1, node.d - 1)""",
 }
