@@ -111,9 +111,9 @@ ORACLE_SQL: dict[str, str] = {
     "op11_prefix_trie": """
         WITH o AS (SELECT conv_id AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS p
                    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
-        bits AS (SELECT c, list_transform(range(0, 8 * strlen(CAST(c AS VARCHAR))), i -> CAST((ascii(CAST(c AS VARCHAR)[CAST(i // 8 AS BIGINT) + 1]) >> CAST(i % 8 AS INTEGER)) & 1 AS BIGINT)) AS b
+        bits AS (SELECT c, list_transform(range(0, 8 * strlen(CAST(c AS VARCHAR))), lambda i: CAST((ascii(CAST(c AS VARCHAR)[CAST(i // 8 AS BIGINT) + 1]) >> CAST(i % 8 AS INTEGER)) & 1 AS BIGINT)) AS b
                  FROM (SELECT DISTINCT c FROM o)),
-        k AS (SELECT c, xor(list_reduce(list_concat([4294967295], b), (r, x) -> xor(r >> 1, 3988292384 * (xor(r, x) & 1))), 4294967295) % 6 AS h FROM bits),
+        k AS (SELECT c, xor(list_reduce(list_concat([4294967295], b), lambda r, x: xor(r >> 1, 3988292384 * (xor(r, x) & 1))), 4294967295) % 6 AS h FROM bits),
         part AS (SELECT k.c, 0 AS own, p, role, text FROM k JOIN o ON o.c = k.c - k.c % 100 AND p <= h
                  UNION ALL SELECT k.c, 1, p, role, text FROM k JOIN o ON o.c = k.c AND p > h),
         conv AS (SELECT k.c, coalesce(list({'r': role, 't': text} ORDER BY own, p) FILTER (WHERE part.c IS NOT NULL), []) AS turns FROM k LEFT JOIN part ON part.c = k.c GROUP BY k.c),
