@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import masked_lm, mixing, packing, prefix_trie, quality, simhash, substring_dedup, token_counts, token_files, topk, toxicity
+from opinara.llm import hard_negatives, language_mix, masked_lm, mixing, packing, prefix_trie, quality, simhash, substring_dedup, token_counts, token_files, topk, toxicity
 from opinara.session import pin, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,13 +79,33 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), openings=100)
 
 
+def op12_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    quarter = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language_mix.train(docs.filter(quarter != 2))
+    docs = docs.select("doc_id", "text")
+    found = docs.select("doc_id", F.coalesce(quarter == 2, F.lit(False)).alias("held_out"), language_mix.languages(docs, model).alias("s"))
+    return found.select("doc_id", "held_out", F.col("s.lang").alias("lang_pred"), "s.score", F.col("s.mix").alias("mix"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def scaled(x):
+        y = x.cast("double") * 256
+        # From 2**53 on a double is whole, and too large for floor's long; values that are not finite stay as they are.
+        return F.when(F.isnan(y) | (F.abs(y) >= float(1 << 53)), y).otherwise(F.floor(y).cast("double"))
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.transform("embedding", scaled).alias("vector"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_substring_dedup, op2_token_files, op3_source_mix, op4_token_counts, op5_quality_rules, op6_packing, op7_masked_lm, op8_simhash, op9_topk, op10_toxicity, op11_prefix_trie, pipeline)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_substring_dedup, op2_token_files, op3_source_mix, op4_token_counts, op5_quality_rules, op6_packing, op7_masked_lm, op8_simhash, op9_topk, op10_toxicity, op11_prefix_trie, op12_language_mix, op13_hard_negatives, pipeline)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -124,4 +144,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT node.low AS conv_id, CAST(node.d AS BIGINT) AS depth, parent.low AS parent_conv_id, node.n AS n_convs, kids AS n_children, leaves AS n_leaves,
                CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
         FROM node JOIN tree ON tree.key = node.key AND tree.a = node.d LEFT JOIN node parent ON node.d > 0 AND parent.d = node.d - 1 AND parent.key = list_slice(node.key, 1, node.d - 1)""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label AS own, c.label, c.vec_id, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+              FROM v a JOIN v c ON a.vec_id % 100 = 0 AND len(a.e) = len(c.e)),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own AND vec_id <> anchor_id
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND label <> own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5""",
 }
