@@ -8,6 +8,7 @@ from opinara.operators import mediation as M
 from opinara.operators import regression as R
 from opinara.operators import resampling as B
 from opinara.operators import vectors as OV
+from opinara.operators.stacks import evaluate_moments, replicate_sums
 from opinara.operators.standardize import zscore
 from opinara.operators.summary import group_mean_log
 from opinara.plans import inference as I
@@ -200,6 +201,19 @@ def _(spark, sf):
     return slope_rows(R.ols_thresholds(z, R.specs([("m", "spend_s", ["tax_s"])]), "n_reviews", CUTS), "cutoff")
 
 
+@C.add(
+    "ols_by_group",
+    f"""WITH mom AS (SELECT brand, count(*) AS n, avg(tax) AS mx, avg(spend) AS my FROM {{design}} GROUP BY brand),
+      fit0 AS (SELECT brand, n, mx, my, sum((tax - mx) * (spend - my)) / sum((tax - mx) * (tax - mx)) AS b, sum((tax - mx) * (tax - mx)) AS sxx, sum((spend - my) * (spend - my)) AS syy
+        FROM {{design}} JOIN mom USING (brand) GROUP BY brand, n, mx, my),
+      e AS (SELECT *, spend - my - b * (tax - mx) AS e FROM {{design}} JOIN fit0 USING (brand)),
+      fit AS (SELECT brand, n, b, sqrt(n / (n - 2) * sum((tax - mx) * (tax - mx) * e * e)) / sxx AS se, 1 - sum(e * e) / syy AS r2 FROM e GROUP BY brand, n, b, sxx, syy)
+      SELECT brand, 'tax' AS term, {rd('b', 'beta')}, {rd('se', 'se')}, {rd('b / se', 't')}, {rd(p_value('b / se', 'n - 2'), 'p')}, n, {rd('r2', 'r2')} FROM fit""",
+)
+def _(spark, sf):
+    return slope_rows(R.ols(design(spark, sf), R.specs([("m", "spend", ["tax"])]), by="brand"), "brand")
+
+
 @C.add("vif", f"""WITH d AS (SELECT * FROM {{design}} WHERE gap IS NOT NULL), v AS (SELECT 1 / (1 - corr(gap, quantity) * corr(gap, quantity)) AS v FROM d)
   SELECT variable, {rd('v', 'vif')}, {rd('1 / v', 'tolerance')}, '' AS flag FROM v, (SELECT unnest(['gap', 'quantity']) AS variable)""")
 def _(spark, sf):
@@ -281,10 +295,9 @@ MEAN, SLOPE = M.Mean(("spend",)), M.Slope(("quantity",), "spend")
 
 @shared("draws")
 def exact_draws(spark, sf):
-    grams = B.exact_grams(table(spark, sf, "design"), ["quantity", "spend"], ["product_id"], REPS, SEED)
-    means = M.Mean(("quantity", "spend"))
-    both = M.gram_estimates(grams, means, ["rep"]).filter(F.col("stat") == "mean|spend")
-    return pin(both.unionByName(M.gram_estimates(grams, SLOPE, ["rep"])))
+    found = pin(B.hashed_moments(table(spark, sf, "design"), ["quantity", "spend"], ["product_id"], REPS, SEED))
+    means = evaluate_moments(found, M.Mean(("quantity", "spend")), "rep").filter(F.col("stat") == "mean|spend")
+    return pin(means.unionByName(evaluate_moments(found, SLOPE, "rep")))
 
 
 @C.add("bootstrap_exact", f"WITH {EXACT} SELECT rep::INT AS rep, stat, {rd('value', 'value')} FROM draws")
@@ -292,6 +305,12 @@ def _(spark, sf):
     return rounded(exact_draws(spark, sf))
 
 
+@C.add("bootstrap_split", f"SELECT r.i::INT AS rep, count(*)::DOUBLE AS sw FROM range({REPS}) r(i) CROSS JOIN {{design}} WHERE spend IS NOT NULL AND quantity IS NOT NULL GROUP BY r.i")
+def _(spark, sf):
+    """Counts made by splitting add up to n in every replicate; the tests walk the tree row by row."""
+    return replicate_sums(B.split_moments(table(spark, sf, "design"), ["quantity", "spend"], ["product_id"], REPS, SEED)).select("rep", "sw")
+
+
 POISSON_COUNT = " + ".join(f"(h >= {c})::INT" for c in POISSON_CUTS)
 POISSON = f"""dr AS (SELECT r.i AS rep, o_orderkey, o_totalprice / 1000 AS v FROM range({REPS}) r(i) CROSS JOIN orders),
   hh AS (SELECT rep, v, {POISSON_COUNT} AS w FROM {hashed('dr', SEED, 'rep', 'o_orderkey', 'h')})"""

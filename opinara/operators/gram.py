@@ -20,6 +20,9 @@ from .moments import salts
 from .standardize import complete_cases
 
 CONST = "_cons"
+#: Smallest over largest eigenvalue of a design scaled to unit diagonal: below ``EXACT`` its columns count as
+#: dependent, and below ``CLOSE`` too few digits would be left.
+EXACT, CLOSE = 1e-13, 1e-10
 # Above this many columns (constant included) generated code gets too wide and
 # one matrix product per Arrow batch is faster than separate sums.
 NATIVE_COLUMNS = 12
@@ -108,11 +111,24 @@ def index_of(cols: Sequence[str], names: Sequence[str]) -> np.ndarray:
 
 
 def solve(g: np.ndarray, cols: Sequence[str], y: str, x: Sequence[str]) -> np.ndarray:
-    """Coefficients (constant first) for a stack of Grams; rank-deficient designs use the pseudo-inverse."""
+    """Coefficients (constant first) for a stack of centred Grams.
+
+    Exactly dependent columns share their effect (pseudo-inverse); a design so close to that that digits would be
+    lost raises.
+    """
     ix, iy = index_of(cols, [CONST, *x]), index_of(cols, [y])[0]
     a, b = g[..., ix[:, None], ix[None, :]], g[..., ix, iy]
-    inv = scaled_inverse(a)
-    return np.einsum("...ij,...j->...i", inv, b)
+    d = np.sqrt(np.maximum(np.diagonal(a, axis1=-2, axis2=-1), 1e-300))
+    values, vectors = np.linalg.eigh(a / (d[..., :, None] * d[..., None, :]))
+    size = np.abs(values)
+    largest = np.maximum(size.max(axis=-1, keepdims=True), 1e-300)
+    # A column without spread has an eigenvalue of 0 to the digit and is no sign of lost digits.
+    near = (size > EXACT * largest) & (size < CLOSE * largest)
+    if near.any():
+        raise ValueError(f"{y} on {', '.join(x)}: the design is ill-conditioned")
+    inverse = np.where(size > EXACT * largest, 1.0, 0.0) / np.where(size > EXACT * largest, values, 1.0)
+    beta = np.einsum("...ij,...j,...kj,...k->...i", vectors, inverse, vectors, b / d, optimize=True)
+    return beta / d
 
 
 def scaled_eigenvalues(a: np.ndarray) -> np.ndarray:

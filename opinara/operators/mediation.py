@@ -1,22 +1,24 @@
-"""Indirect effects as functions of a Gram stack.
+"""Indirect effects as functions of a stack of centred moments.
 
-Each statistic names its outputs and evaluates them for a whole stack of Grams
-at once, so the full sample, bootstrap replicates and leave-one-out samples all
-use the same code. With observed variables and a recursive system the path
-coefficients are equation-by-equation least squares on one shared sample.
+Each statistic names its outputs and evaluates them for a whole stack at once,
+so the full sample, bootstrap replicates and leave-one-out samples all use the
+same code. With observed variables and a recursive system the path coefficients
+are equation-by-equation least squares on one shared sample. Moments are
+centred, so means that are large against the spread cost no digits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .gram import gram, solve
+from .gram import solve
+from .moments import moments
+from .stacks import Stack, evaluate_moments
 
 
 def _coef(g: np.ndarray, cols: Sequence[str], y: str, x: Sequence[str], want: Sequence[str]) -> np.ndarray:
@@ -46,8 +48,8 @@ class Parallel:
                 out.append("diff_abs")
         return out
 
-    def evaluate(self, g: np.ndarray) -> np.ndarray:
-        cols, base = self.cols(), [*self.x, *self.controls]
+    def evaluate(self, m: Stack) -> np.ndarray:
+        g, cols, base = m.matrix(), self.cols(), [*self.x, *self.controls]
         b = _coef(g, cols, self.y, [*self.x, *self.mediators, *self.controls], self.mediators)
         ind = [_coef(g, cols, m, base, self.x) * b[..., [i]] for i, m in enumerate(self.mediators)]
         parts = list(ind)
@@ -74,8 +76,8 @@ class Serial:
     def names(self) -> list[str]:
         return [f"serial|{x}" for x in self.x] + ["d", "b_first", "b_second", "serial_total"]
 
-    def evaluate(self, g: np.ndarray) -> np.ndarray:
-        cols, base = self.cols(), [*self.x, *self.controls]
+    def evaluate(self, m: Stack) -> np.ndarray:
+        g, cols, base = m.matrix(), self.cols(), [*self.x, *self.controls]
         first, second = self.chain
         a = _coef(g, cols, first, base, self.x)
         d = _coef(g, cols, second, [*base, first], [first])
@@ -100,8 +102,8 @@ class Components:
     def names(self) -> list[str]:
         return [f"ind|{c}|{x}" for c in self.components for x in self.x] + [f"ind_total|{x}" for x in self.x]
 
-    def evaluate(self, g: np.ndarray) -> np.ndarray:
-        cols, base = self.cols(), [*self.x, *self.controls]
+    def evaluate(self, m: Stack) -> np.ndarray:
+        g, cols, base = m.matrix(), self.cols(), [*self.x, *self.controls]
         full = [*self.x, *self.covariates, *self.components, *self.controls]
         b = _coef(g, cols, self.y, full, self.components)
         ind = [_coef(g, cols, c, base, self.x) * b[..., [i]] for i, c in enumerate(self.components)]
@@ -120,8 +122,8 @@ class Mean:
     def names(self) -> list[str]:
         return [f"mean|{c}" for c in self.of]
 
-    def evaluate(self, g: np.ndarray) -> np.ndarray:
-        return g[..., 0, 1:] / g[..., 0, :1]
+    def evaluate(self, m: Stack) -> np.ndarray:
+        return m.mean
 
 
 @dataclass(frozen=True)
@@ -137,36 +139,14 @@ class Slope:
     def names(self) -> list[str]:
         return [f"beta|{c}" for c in self.x]
 
-    def evaluate(self, g: np.ndarray) -> np.ndarray:
-        return solve(g, self.cols(), self.y, list(self.x))[..., 1:]
+    def evaluate(self, m: Stack) -> np.ndarray:
+        return solve(m.matrix(), self.cols(), self.y, list(self.x))[..., 1:]
 
 
-def gram_estimates(grams: DataFrame, stat, by: Sequence[str] = ()) -> DataFrame:
-    """Evaluate a statistic on every Gram row: (by.., stat, value). One batch is one stacked solve."""
-    keys = "".join(f"`{b}` {grams.schema[b].dataType.simpleString()}, " for b in by)
-    return grams.select(*by, "g").mapInPandas(_estimate_task(stat, list(by)), f"{keys}stat string, value double")
-
-
-def _estimate_task(stat, by: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.array(stat.names(), dtype=object)
-        k = len(stat.cols()) + 1
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            g = np.stack(pdf["g"].to_numpy()).reshape(-1, k, k)
-            values = stat.evaluate(g)
-            out = {b: np.repeat(pdf[b].to_numpy(), len(names)) for b in by}
-            out["stat"] = np.tile(names, len(pdf))
-            out["value"] = values.ravel()
-            yield pd.DataFrame(out)
-
-    return run
-
-
-def estimate(df: DataFrame, stat, by: Sequence[str] = ()) -> DataFrame:
-    """Full-sample value of every output of a statistic, per group."""
-    return gram_estimates(gram(df, stat.cols(), by=by), stat, by)
+def estimate(df: DataFrame, stat, by: str | None = None) -> DataFrame:
+    """Full-sample value of every output of a statistic over its complete rows, per group."""
+    found = evaluate_moments(moments(df, [stat.cols()], by=by), stat, by or "_all")
+    return found if by else found.drop("_all")
 
 
 def indirect_parallel(

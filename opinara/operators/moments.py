@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Summaries a task holds before it hands them on.
 FLUSH = 2048
+#: Rows per group below which groups share array operations, and rows of one such operation.
+SHORT, SLICE = 48, 2048
 
 
 @dataclass
@@ -89,11 +91,51 @@ def groups_of(pdf: pd.DataFrame) -> Iterator[tuple[object, np.ndarray, np.ndarra
         yield None if pd.isna(key) else key, x[rows], w[rows], fine[rows]
 
 
+def runs(codes: np.ndarray) -> np.ndarray:
+    """Where runs of equal codes begin."""
+    return np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+
+
+def of_groups(x: np.ndarray, w: np.ndarray, first: np.ndarray) -> Iterator[Moments]:
+    """Moments of runs of rows that begin at ``first``; short runs share the array operations of a slice."""
+    ends = np.append(first[1:], len(x))
+    if len(x) >= SHORT * len(first):
+        yield from (Moments.of(x[a:b], w[a:b]) for a, b in zip(first.tolist(), ends.tolist()))
+        return
+    at = 0
+    while at < len(first):
+        stop = max(at + 1, int(np.searchsorted(ends, first[at] + SLICE, side="right")))
+        low, high = int(first[at]), int(ends[stop - 1])
+        own, weight, place = x[low:high], w[low:high], first[at:stop] - low
+        size = ends[at:stop] - first[at:stop]
+        sw = np.add.reduceat(weight, place)
+        # Two steps: about each run's first row, then about its mean.
+        near = own - np.repeat(own[place], size, axis=0)
+        mean = np.add.reduceat(near * weight[:, None], place) / sw[:, None]
+        apart = near - np.repeat(mean, size, axis=0)
+        s = np.add.reduceat(apart[:, :, None] * (apart * weight[:, None])[:, None, :], place)
+        mean = mean + own[place]
+        yield from (Moments(int(n), float(v), m, c) for n, v, m, c in zip(size, sw, mean, s))
+        at = stop
+
+
+def merged(n: np.ndarray, sw: np.ndarray, mean: np.ndarray, s: np.ndarray, first: np.ndarray) -> Iterator[Moments]:
+    """Sums of runs of summaries of the same columns, about the mean of each run."""
+    size, k = np.diff(np.append(first, len(n))), mean.shape[1]
+    near = mean - np.repeat(mean[first], size, axis=0)
+    total_n, total_sw = np.add.reduceat(n, first), np.add.reduceat(sw, first)
+    middle = np.add.reduceat(near * sw[:, None], first) / total_sw[:, None]
+    apart = near - np.repeat(middle, size, axis=0)
+    whole = np.add.reduceat(s.reshape(-1, k, k) + apart[:, :, None] * (apart * sw[:, None])[:, None, :], first)
+    yield from (Moments(int(a), float(b), c, d) for a, b, c, d in zip(total_n, total_sw, middle + mean[first], whole))
+
+
 def moments(df: DataFrame, frames: Sequence[Sequence[str]], weight: str | None = None, by: str | None = None) -> DataFrame:
     """One row per (group, frame) that has a complete row: ``by, frame, n, sw, mean, s``.
 
-    One scan for any number of column sets; sets that miss the same rows of a batch share a matrix product.
-    Weights must be positive. Tasks' partial results are added in two steps, so no task meets those of all others.
+    One scan for any number of column sets; sets that miss the same rows of a batch share a matrix product. Weights
+    must be positive. Any number of groups: tasks hand on what they hold every ``FLUSH`` summaries, partial results
+    are added in two steps, so that no task meets those of all others, and each step runs over sorted rows.
     """
     cols = list(dict.fromkeys(c for f in frames for c in f))
     place = {c: i for i, c in enumerate(cols)}
@@ -115,25 +157,59 @@ def moments(df: DataFrame, frames: Sequence[Sequence[str]], weight: str | None =
         for pdf in batches:
             if not len(pdf):
                 continue
-            for key, x, w, fine in groups_of(pdf):
-                for mask, sets in complete_sets(fine, where):
-                    at = np.unique(np.concatenate([where[i] for i in sets]))
-                    part = Moments.of(x[mask][:, at], w[mask])
+            codes, keys = pd.factorize(pdf["by"], use_na_sentinel=False)
+            keys = [None if pd.isna(k) else k for k in keys]
+            order = np.argsort(codes, kind="stable")
+            codes, x = codes[order], pdf.iloc[:, 2:].to_numpy(dtype=float)[order]
+            w = pdf["weight"].to_numpy(dtype=float)[order]
+            fine = np.isfinite(x) & np.isfinite(w)[:, None]
+            for mask, sets in complete_sets(fine, where):
+                at = np.unique(np.concatenate([where[i] for i in sets]))
+                own = codes[mask]
+                first = runs(own)
+                for code, part in zip(own[first].tolist(), of_groups(x[mask][:, at], w[mask], first)):
                     for i in sets:
-                        own = part.pick(np.searchsorted(at, where[i]))
-                        state[key, i] = state[key, i] + own if (key, i) in state else own
+                        new, key = part.pick(np.searchsorted(at, where[i])), (keys[code], i)
+                        state[key] = state[key] + new if key in state else new
             if len(state) >= FLUSH:
                 yield frame_of(state, salt=salt)
                 state = {}
         if state:
             yield frame_of(state, salt=salt)
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["by"].iloc[0]
-        return frame_of({(None if pd.isna(key) else key, pdf["frame"].iloc[0]): total(of_row(r) for r in pdf.to_dict("records"))})
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Adds rows of one key, which come one after another; the last key of a batch may go on in the next."""
+        held: tuple[tuple, Moments] | None = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            by_code, by_keys = pd.factorize(pdf["by"], use_na_sentinel=False)
+            sets = pdf["frame"].to_numpy()
+            first = runs(by_code.astype(np.int64) * len(frames) + sets)
+            ends = np.append(first[1:], len(pdf))
+            done: dict[tuple, Moments] = {}
+            for i in np.unique(sets).tolist():
+                own = np.flatnonzero(sets[first] == i)
+                rows = np.concatenate([np.arange(a, b) for a, b in zip(first[own], ends[own])])
+                part = pdf.iloc[rows]
+                whole = merged(part["n"].to_numpy(), part["sw"].to_numpy(dtype=float), np.stack(part["mean"].to_numpy()), np.stack(part["s"].to_numpy()), np.concatenate([[0], np.cumsum(ends[own] - first[own])[:-1]]))
+                for at, m in zip(own.tolist(), whole):
+                    key = by_keys[by_code[first[at]]]
+                    done[at] = (None if pd.isna(key) else key, i), m
+            ordered = [done[at] for at in range(len(first))]
+            if held is not None and held[0] == ordered[0][0]:
+                ordered[0] = held[0], held[1] + ordered[0][1]
+            elif held is not None:
+                ordered.insert(0, held)
+            held = ordered.pop()
+            if ordered:
+                yield frame_of(dict(ordered))
+        if held is not None:
+            yield frame_of(dict([held]))
 
     parts = matrix_rows(df, cols, weight, by).mapInPandas(scan, schema + ", salt int")
-    return parts.groupBy("by", "frame", "salt").applyInPandas(add, schema).groupBy("by", "frame").applyInPandas(add, schema)
+    first = parts.repartition("by", "frame", "salt").sortWithinPartitions("by", "frame", "salt").drop("salt").mapInPandas(add, schema)
+    return first.repartition("by", "frame").sortWithinPartitions("by", "frame").mapInPandas(add, schema)
 
 
 def of_row(r) -> Moments:

@@ -1,7 +1,9 @@
 """OLS with robust errors over any number of specifications, two scans in total.
 
 First scan: centred moments of every distinct column set. Second scan: the robust meat of every specification.
-Executors do both; the driver only solves k x k systems (k = predictors), as Spark's own linear models do.
+Without groups the driver solves one k x k system per specification (k = predictors), as Spark's own linear models
+do. With groups, of which there may be any number, executors solve: coefficients of a group are joined back to its rows
+for the second scan, and nothing comes to the driver.
 """
 
 from __future__ import annotations
@@ -15,16 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distributions import f_upper, normal_two_sided, t_quantile, t_two_sided
+from ..functions.distributions import f_upper, f_uppers, normal_two_sided, normal_two_sideds, t_quantile, t_two_sided, t_two_sideds
 from ..functions.scalars import vif_flag
-from .gram import CONST, condition_of, correlation, gram, index_of, rank_of, scaled_inverse, sum_partials, vif_values
-from .moments import Moments, complete_sets, groups_of, matrix_rows, moments, of_row, total
+from ..session import pin
+from .gram import CLOSE, CONST, EXACT, condition_of, correlation, gram, index_of, rank_of, scaled_inverse, sum_partials, vif_values
+from .moments import FLUSH, Moments, complete_sets, groups_of, matrix_rows, moments, of_row, total
+from .stacks import Stack
 from .standardize import complete_cases, zscore_complete
 
-#: Smallest over largest eigenvalue of a design scaled to unit diagonal: below ``EXACT`` its columns count as
-#: dependent, and below ``CLOSE`` too few digits would be left.
-EXACT, CLOSE = 1e-13, 1e-10
-
 RESULT = (
     "spec string, outcome string, term string, beta double, se double, t double, p double, "
     "ci_low double, ci_high double, n long, k int, r2 double, adj_r2 double, f double, f_p double, vif double"
@@ -61,20 +61,122 @@ def ols(
     """Long coefficient table, one row per (group, spec, term). Runs its one or two scans when it is called.
 
     ``weight``: analytic weights; rows of weight 0 are left out, negative weights raise. ``cov``: HC1 or classic. ``dist``: t or normal.
-    ``by``: a column with few values (sample cuts); their matrices come to the driver. ``shared_mask``: use only rows
-    complete in the columns of all models. Columns that depend on each other exactly share their effect
-    (pseudo-inverse); a design so close to that that digits would be lost raises.
+    ``by``: fit every group of a column on its own, any number of them (null is a group). ``shared_mask``: use only
+    rows complete in the columns of all models. Columns that depend on each other exactly share their effect
+    (pseudo-inverse); a design so close to that that digits would be lost raises, or with ``by`` has null estimates.
     """
+    if by:
+        return _grouped(_usable(df, models, weight, shared_mask), models, weight, cov, dist, by, vif)
     return _table(df, models, weight, cov, dist, by, shared_mask, vif, None)
 
 
-def _table(df, models, weight, cov, dist, by, shared_mask, vif, cuts: Sequence[int] | None) -> DataFrame:
-    """As :func:`ols`; with ``cuts``, ``by`` counts the cuts that a row meets and a group is all rows that meet one."""
+def _usable(df: DataFrame, models: Sequence[Spec], weight: str | None, shared_mask: bool) -> DataFrame:
     if shared_mask:
         df = complete_cases(df, sorted({c for m in models for c in m.cols}))
     if weight:
         bad = F.raise_error(F.lit("negative weight"))
         df = df.filter(F.when(F.col(weight) < 0, bad).otherwise(F.col(weight) > 0))
+    return df
+
+
+def _frames(models: Sequence[Spec]) -> list[tuple[str, ...]]:
+    return list(dict.fromkeys(tuple(sorted(set(m.cols))) for m in models))
+
+
+def _grouped(df: DataFrame, models: Sequence[Spec], weight: str | None, cov: str, dist: str, by: str, vif: bool) -> DataFrame:
+    """All groups on executors: a row of moments per group, solved in batches, joined to the rows for the meats.
+
+    A join by the group splits a group with very many rows, because nothing after it needs the group together.
+    """
+    models, frames = list(models), _frames(models)
+    frame_at = [frames.index(tuple(sorted(set(m.cols)))) for m in models]
+    kind = df.schema[by].dataType.simpleString()
+    head = f"by {kind}, "
+    found = moments(df, frames, weight, by).groupBy("by").agg(F.collect_list(F.struct("frame", "n", "sw", "mean", "s")).alias("held"))
+    found = pin(found)
+
+    def solved(held: list) -> list[tuple[np.ndarray, Solved]]:
+        """For each model, which groups of the batch have a row for it, and their solutions."""
+        rows = [{r["frame"]: r for r in own} for own in held]
+        out = []
+        for m, f in zip(models, frame_at):
+            at = np.array([i for i, r in enumerate(rows) if f in r], int)
+            out.append((at, Solved.of(m, frames[f], [of_row(rows[i][f]) for i in at.tolist()])))
+        return out
+
+    cols = sorted({c for m in models for c in m.cols})
+    place = {c: i for i, c in enumerate(cols)}
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for m, (at, fit) in zip(models, solved(pdf["held"])):
+                part = np.full((len(pdf), 2 * len(m.x) + 2), math.nan)
+                if len(at):
+                    part[at] = np.concatenate([fit.x_mean, fit.y_mean[:, None], fit.beta], axis=1)
+                parts.append(part)
+            yield pd.DataFrame({"by": pdf["by"], "fit": [row.tobytes() for row in np.concatenate(parts, axis=1)]})
+
+    def meats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict[tuple, tuple[int, np.ndarray]] = {}
+
+        def rows() -> pd.DataFrame:
+            sums = list(state.values())
+            out = pd.DataFrame({"by": pd.Series([k[0] for k in state], dtype=object), "model": [k[1] for k in state], "n": [v[0] for v in sums], "sw": 0.0})
+            return out.assign(g=[v[1].ravel() for v in sums])
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            fit = pdf.pop("fit")
+            x, w = pdf.iloc[:, 2:].to_numpy(dtype=float), pdf["weight"].to_numpy(dtype=float)
+            fine = np.isfinite(x) & np.isfinite(w)[:, None]
+            for key, at in pdf.groupby("by", dropna=False, sort=False).indices.items():
+                key, values, lo = None if pd.isna(key) else key, np.frombuffer(fit.iloc[at[0]]), 0
+                for i, m in enumerate(models):
+                    k = len(m.x)
+                    mean, y_mean, beta = values[lo : lo + k], values[lo + k], values[lo + k + 1 : lo + 2 * k + 2]
+                    lo += 2 * k + 2
+                    xs, y = [place[c] for c in m.x], place[m.y]
+                    own = at[fine[at][:, [*xs, y]].all(axis=1)]
+                    if math.isnan(beta[0]) or not len(own):
+                        continue
+                    z = np.column_stack([np.ones(len(own)), x[own][:, xs] - mean])
+                    ze = z * (w[own] * (x[own, y] - y_mean - z @ beta))[:, None]
+                    n, part = state.get((key, i), (0, 0.0))
+                    state[key, i] = (n + len(z), part + ze.T @ ze)
+            if len(state) >= FLUSH:
+                yield rows()
+                state.clear()
+        if state:
+            yield rows()
+
+    if cov == "HC1":
+        coefs = found.mapInPandas(packed, head + "fit binary").withColumnRenamed("by", "_by")
+        data = matrix_rows(df, cols, weight, by)
+        joined = data.join(coefs, data["by"].eqNullSafe(coefs["_by"])).drop("_by")
+        partial = joined.mapInPandas(meats, head + "model int, n long, sw double, g array<double>")
+        sums = sum_partials(partial, ["by", "model"]).groupBy("by").agg(F.collect_list(F.struct("model", "g")).alias("meat"))
+        sums = sums.withColumnRenamed("by", "_by")
+        found = found.join(sums, found["by"].eqNullSafe(sums["_by"]), "left").drop("_by")
+    else:
+        found = found.withColumn("meat", F.lit(None).cast("array<struct<model:int,g:array<double>>>"))
+
+    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            meat = [{r["model"]: r["g"] for r in (own if own is not None else [])} for own in pdf["meat"]]
+            for i, (m, (at, fit)) in enumerate(zip(models, solved(pdf["held"]))):
+                if len(at):
+                    k = len(m.x) + 1
+                    own = np.stack([np.array(meat[j].get(i, np.zeros(k * k)), float).reshape(k, k) for j in at.tolist()]) if cov == "HC1" else None
+                    yield fit.table(pdf["by"].to_numpy()[at], own, dist, vif)
+
+    return found.mapInPandas(finished, head + RESULT).withColumnRenamed("by", by)
+
+
+def _table(df, models, weight, cov, dist, by, shared_mask, vif, cuts: Sequence[int] | None) -> DataFrame:
+    """As :func:`ols`; with ``cuts``, ``by`` counts the cuts that a row meets and a group is all rows that meet one."""
+    df = _usable(df, models, weight, shared_mask)
     fits = _fit(df, models, weight, by, cuts)
     if cov == "HC1":
         _robust(df, fits, weight, by, cuts is not None)
@@ -85,6 +187,84 @@ def _table(df, models, weight, cov, dist, by, shared_mask, vif, cuts: Sequence[i
     return df.sparkSession.createDataFrame(rows, head + RESULT)
 
 
+@dataclass
+class Solved:
+    """One model solved for a stack of groups; NaN where a design is ill-conditioned."""
+
+    model: Spec
+    cols: tuple[str, ...]
+    n: np.ndarray
+    x_mean: np.ndarray
+    y_mean: np.ndarray
+    g: np.ndarray
+    beta: np.ndarray
+    inv: np.ndarray
+    rank: np.ndarray
+
+    @classmethod
+    def of(cls, m: Spec, cols: tuple[str, ...], parts: Sequence[Moments]) -> Solved:
+        k = len(m.x) + 1
+        if not parts:
+            none = np.zeros((0, k))
+            return cls(m, cols, np.zeros(0, int), none[:, 1:], none[:, 0], np.zeros((0, 0, 0)), none, np.zeros((0, k, k)), np.zeros(0, int))
+        stack = Stack.rows(parts)
+        g = stack.matrix()
+        ix, iy = index_of(cols, [CONST, *m.x]), index_of(cols, [m.y])[0]
+        a = g[:, ix[:, None], ix[None, :]]
+        d = np.sqrt(np.maximum(np.diagonal(a, axis1=1, axis2=2), 1e-300))
+        values, vectors = np.linalg.eigh(a / (d[:, :, None] * d[:, None, :]))
+        size = np.abs(values)
+        largest = np.maximum(size.max(axis=1, keepdims=True), 1e-300)
+        near = (size.min(axis=1) > EXACT * largest[:, 0]) & (size.min(axis=1) < CLOSE * largest[:, 0])
+        sound = size > 1e-12 * largest
+        inv = np.einsum("gij,gj,gkj->gik", vectors, np.where(sound, 1.0 / np.where(sound, values, 1.0), 0.0), vectors) / (d[:, :, None] * d[:, None, :])
+        inv[near] = math.nan
+        beta = np.einsum("gij,gj->gi", inv, g[:, ix, iy])
+        return cls(m, cols, stack.n, stack.mean[:, ix[1:] - 1], stack.mean[:, iy - 1], g, beta, inv, sound.sum(axis=1))
+
+    def table(self, keys: np.ndarray, meat: np.ndarray | None, dist: str, vif: bool) -> pd.DataFrame:
+        """Result rows of all groups; ``meat`` for robust errors, None for classic ones."""
+        ix, iy = index_of(self.cols, [CONST, *self.model.x]), index_of(self.cols, [self.model.y])[0]
+        k, n, g = len(ix), self.n.astype(float), self.g
+        gxx, gxy, sst = g[:, ix[:, None], ix[None, :]], g[:, ix, iy], g[:, iy, iy]
+        with np.errstate(all="ignore"):
+            ssr = np.maximum(sst - 2 * np.einsum("gi,gi->g", self.beta, gxy) + np.einsum("gi,gij,gj->g", self.beta, gxx, self.beta), 0.0)
+            r2 = np.where(sst > 0, 1 - ssr / sst, math.nan)
+            dof = n - self.rank
+            free = np.where(dof > 0, dof, math.nan)
+            adj = 1 - (1 - r2) * (n - 1) / free
+            scale = n / free if meat is not None else ssr / free
+            v = (self.inv @ meat @ self.inv if meat is not None else self.inv) * scale[:, None, None]
+            back = np.broadcast_to(np.eye(k), v.shape).copy()
+            back[:, 0, 1:] = -self.x_mean
+            beta = np.einsum("gij,gj->gi", back, self.beta)
+            beta[:, 0] += self.y_mean
+            se = np.sqrt(np.maximum(np.diagonal(back @ v @ back.transpose(0, 2, 1), axis1=1, axis2=2), 0.0))
+            t = np.where(se > 0, beta / se, math.nan)
+            p = t_two_sideds(t, free[:, None]) if dist == "t" else normal_two_sideds(t)
+            crit = np.array([t_quantile(0.975, x) if x > 0 else math.nan for x in dof.tolist()])[:, None] if dist == "t" else 1.959963984540054
+            wald, wald_p = np.full(len(n), math.nan), np.full(len(n), math.nan)
+            known = np.flatnonzero(np.isfinite(v).all(axis=(1, 2)) & (dof > 0))
+            if k > 1 and len(known):
+                inner = np.linalg.pinv(v[known][:, 1:, 1:], hermitian=True)
+                wald[known] = np.einsum("gi,gij,gj->g", self.beta[known, 1:], inner, self.beta[known, 1:]) / (k - 1)
+                wald_p[known] = f_uppers(wald[known], k - 1, dof[known])
+        wide = lambda x: np.repeat(x, k)
+        out = {"by": wide(keys), "spec": self.model.name, "outcome": self.model.y, "term": np.tile([CONST, *self.model.x], len(n))}
+        out |= {"beta": beta.ravel(), "se": se.ravel(), "t": t.ravel(), "p": p.ravel(), "ci_low": (beta - crit * se).ravel(), "ci_high": (beta + crit * se).ravel()}
+        out |= {"n": wide(self.n), "k": k, "r2": wide(r2), "adj_r2": wide(adj), "f": wide(wald), "f_p": wide(wald_p)}
+        table = pd.DataFrame(out)
+        if vif:
+            values = [vif_values(x, self.cols, self.model.x) for x in g]
+            table["vif"] = [v.get(term) for v in values for term in (CONST, *self.model.x)]
+        else:
+            table["vif"] = None
+        numbers = [c for c in table.columns if c not in ("by", "spec", "outcome", "term", "n", "k")]
+        # Missing numbers are null, not NaN.
+        table[numbers] = table[numbers].astype(object).where(table[numbers].notna(), None)
+        return table
+
+
 @dataclass
 class Fit:
     """A solved model; ``cols``, ``g`` and ``beta`` are centred at ``mean``."""
@@ -109,9 +289,20 @@ class Fit:
         return beta, back
 
 
+def _solve(m: Spec, group: object, cols: tuple[str, ...], found: Moments) -> Fit:
+    """One model on the moments of its columns."""
+    g = found.matrix()
+    ix, iy = index_of(cols, [CONST, *m.x]), index_of(cols, [m.y])[0]
+    a = g[np.ix_(ix, ix)]
+    if EXACT < condition_of(a) < CLOSE:
+        raise ValueError(f"model {m.name}: the design is ill-conditioned")
+    inv = scaled_inverse(a)
+    return Fit(m, group, cols, found.mean, g, found.n, inv @ g[ix, iy], inv)
+
+
 def _fit(df: DataFrame, models: Sequence[Spec], weight: str | None = None, by: str | None = None, cuts: Sequence[int] | None = None) -> list[Fit]:
-    """First scan: moments of each distinct column set, then one solve per (group, model)."""
-    frames = list(dict.fromkeys(tuple(sorted(set(m.cols))) for m in models))
+    """First scan: moments of each distinct column set, then one solve per model (and cut)."""
+    frames = _frames(models)
     held: dict[tuple, Moments] = {}
     for r in moments(df, frames, weight, by).collect():
         held[r["by"], r["frame"]] = of_row(r)
@@ -119,18 +310,10 @@ def _fit(df: DataFrame, models: Sequence[Spec], weight: str | None = None, by: s
     fits = []
     for m in models:
         frame = frames.index(tuple(sorted(set(m.cols))))
-        cols = frames[frame]
-        ix, iy = index_of(cols, [CONST, *m.x]), index_of(cols, [m.y])[0]
         for group in groups:
             found = held.get((group, frame)) if cuts is None else total(v for (g, i), v in held.items() if i == frame and g >= group)
-            if found is None:
-                continue
-            g = found.matrix()
-            a = g[np.ix_(ix, ix)]
-            if EXACT < condition_of(a) < CLOSE:
-                raise ValueError(f"model {m.name}: the design is ill-conditioned")
-            inv = scaled_inverse(a)
-            fits.append(Fit(m, group, cols, found.mean, g, found.n, inv @ g[ix, iy], inv))
+            if found is not None:
+                fits.append(_solve(m, group, frames[frame], found))
     return fits
 
 

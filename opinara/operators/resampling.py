@@ -1,11 +1,10 @@
-"""Bootstrap and jackknife over Grams, with intervals.
-
-``exact`` draws n rows with replacement: B * n hash draws are counted per
-(row, replicate) and joined to the rows on their dense index, one shuffle on the
-index. ``poisson`` gives every row an independent Poisson(1) count per
-replicate: one pass, no join, a matrix product per Arrow batch. It differs from
-exact resampling only in that replicate sizes vary around n, and is the way for
-large tables.
+"""Bootstrap and jackknife over centred moments, with intervals.
+
+``exact`` resamples n out of n: each task makes the counts of its own rows by splitting a multinomial
+(:mod:`.splitting`), so only moments are shuffled. ``poisson`` gives every row an independent Poisson(1) count, known
+by its key: no dense row index is needed, and replicate sizes vary around n. ``hashed`` is n out of n by one hash per
+draw, counted per (row, replicate) and joined to the rows: plain SQL can repeat it, at the price of a shuffle of B * n
+draws.
 """
 
 from __future__ import annotations
@@ -21,17 +20,17 @@ from pyspark.sql import types as T
 
 from ..functions.distributions import normal_cdf, normal_quantile, normal_two_sided
 from ..functions.hashing import MOD, hash_np, poisson_np
-from .gram import gram, sum_partials
-from .mediation import estimate, gram_estimates
+from .mediation import estimate
+from .moments import moments, of_row
 from .rows import dense_index
+from .splitting import Splitter
+from .stacks import ROW_BLOCK, Stack, evaluate_moments, replicate_moments, replicate_values, without_each
 from .standardize import complete_cases
 
-REP_BLOCK = 256
-ROW_BLOCK = 4096
 DRAW_CHUNK = 1 << 17
 
 
-def exact_weights(spark, n: int, reps: int, seed: int) -> DataFrame:
+def hashed_weights(spark, n: int, reps: int, seed: int) -> DataFrame:
     """(idx, rep, w): how often row idx is drawn in replicate rep; undrawn rows are absent.
 
     Tasks expand (replicate, chunk) pairs into draws and count them before the shuffle.
@@ -54,16 +53,26 @@ def _draw_task(n: int, chunks: int, seed: int):
     return run
 
 
-def exact_grams(df: DataFrame, cols: Sequence[str], order: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """Gram per replicate of the n-out-of-n bootstrap over the complete cases."""
-    rows = dense_index(complete_cases(df, list(cols)).select(*dict.fromkeys([*order, *cols])), list(order), "idx")
+def _indexed(df: DataFrame, cols: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    return dense_index(complete_cases(df, list(cols)).select(*dict.fromkeys([*order, *cols])), list(order), out)
+
+
+def hashed_moments(df: DataFrame, cols: Sequence[str], order: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """Moments (``by`` is the replicate) of the n-out-of-n bootstrap over the complete cases, drawn by hashes."""
+    rows = _indexed(df, cols, order, "idx")
+    weighted = hashed_weights(df.sparkSession, rows.count(), reps, seed).join(rows, "idx")
+    return moments(weighted.select("rep", "w", *cols), [list(cols)], weight="w", by="rep")
+
+
+def split_moments(df: DataFrame, cols: Sequence[str], order: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """Stacks of the n-out-of-n bootstrap over the complete cases, counts made in place by splitting."""
+    rows = _indexed(df, cols, order, "_id").select("_id", *cols)
     n = rows.count()
-    weighted = exact_weights(df.sparkSession, n, reps, seed).join(rows, "idx")
-    return gram(weighted, list(cols), weight="w", by=["rep"])
+    return replicate_moments(rows, cols, reps, lambda: Splitter(n, seed))
 
 
-def poisson_grams(df: DataFrame, cols: Sequence[str], order: Sequence[str], reps: int, seed: int) -> DataFrame:
-    """Gram per replicate with independent Poisson(1) row counts, in one pass.
+def poisson_moments(df: DataFrame, cols: Sequence[str], order: Sequence[str], reps: int, seed: int) -> DataFrame:
+    """Stacks with independent Poisson(1) row counts, in one pass.
 
     A row is known by a single integer column itself, else by the hash of all ``order`` columns; null keys raise.
     """
@@ -72,38 +81,14 @@ def poisson_grams(df: DataFrame, cols: Sequence[str], order: Sequence[str], reps
     null = functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in order])
     key = F.when(null, F.raise_error(F.lit("null in the columns that identify the rows"))).otherwise(key)
     rows = complete_cases(df, list(cols)).select(key.alias("_id"), *cols)
-    schema = "rep int, n long, sw double, g array<double>"
-    partial = rows.mapInPandas(_poisson_task(list(cols), reps, seed), schema)
-    return sum_partials(partial, ["rep"])
 
+    def weights():
+        def draw(reps: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield np.arange(len(ids)), poisson_np(hash_np(seed, reps[:, None], ids[None, :]))
 
-def _poisson_task(cols: list[str], reps: int, seed: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = len(cols) + 1
-        iu = np.triu_indices(k)
-        total, counts = np.zeros((reps, len(iu[0]))), np.zeros(reps, dtype=np.int64)
-        seen = False
-        for pdf in batches:
-            for lo in range(0, len(pdf), ROW_BLOCK):
-                part = pdf.iloc[lo : lo + ROW_BLOCK]
-                z = np.column_stack([np.ones(len(part)), part[cols].to_numpy(dtype=float)])
-                outer = z[:, iu[0]] * z[:, iu[1]]
-                ids = part["_id"].to_numpy(dtype=np.int64)[None, :]
-                seen = True
-                for r in range(0, reps, REP_BLOCK):
-                    rep = np.arange(r, min(r + REP_BLOCK, reps), dtype=np.int64)
-                    w = poisson_np(hash_np(seed, rep[:, None], ids))
-                    total[rep] += w.astype(float) @ outer
-                    counts[rep] += (w > 0).sum(axis=1)
-        if seen:
-            full = np.zeros((reps, k, k))
-            full[:, iu[0], iu[1]] = total
-            full[:, iu[1], iu[0]] = total
-            yield pd.DataFrame(
-                {"rep": np.arange(reps), "n": counts, "sw": total[:, 0], "g": list(full.reshape(reps, k * k))}
-            )
+        return draw
 
-    return run
+    return replicate_moments(rows, cols, reps, weights)
 
 
 def bootstrap(
@@ -116,12 +101,12 @@ def bootstrap(
 ) -> DataFrame:
     """Replicate values (rep, stat, value). ``order``: columns that identify and order the rows."""
     if method == "exact":
-        grams = exact_grams(df, stat.cols(), order, reps, seed)
-    elif method == "poisson":
-        grams = poisson_grams(df, stat.cols(), order, reps, seed)
-    else:
-        raise ValueError("method must be exact or poisson")
-    return gram_estimates(grams, stat, ["rep"])
+        return replicate_values(split_moments(df, stat.cols(), order, reps, seed), stat)
+    if method == "poisson":
+        return replicate_values(poisson_moments(df, stat.cols(), order, reps, seed), stat)
+    if method == "hashed":
+        return evaluate_moments(hashed_moments(df, stat.cols(), order, reps, seed), stat, "rep")
+    raise ValueError("method must be exact, poisson or hashed")
 
 
 def percentile_ci(draws: DataFrame, level: float = 0.95, by: Sequence[str] = ("stat",)) -> DataFrame:
@@ -165,29 +150,29 @@ def normal_p(estimates: DataFrame, se: DataFrame) -> DataFrame:
 def jackknife_moments(df: DataFrame, stat) -> DataFrame:
     """Per statistic: n and the first three power sums of (leave-one-out value - full value).
 
-    The full Gram (k x k) goes to the tasks; each row is taken out by a rank-one
-    downdate, so there is one pass and no refit. Complete cases only.
+    The full moments (k x k) go to the tasks; each row is taken out of them by a rank-one term, so there is one more
+    pass and no refit. Complete cases only; fewer than two of them have no leave-one-out value and give no row.
     """
     cols = stat.cols()
-    rows = complete_cases(df, cols).select(*cols)
-    k = len(cols) + 1
-    g = np.array(gram(rows, cols).first()["g"]).reshape(k, k)
+    row = moments(df, [cols]).first()
+    whole = of_row(row) if row else None
     schema = "stat string, n long, s1 double, s2 double, s3 double"
-    parts = rows.mapInPandas(_jackknife_task(stat, g), schema)
+    parts = complete_cases(df, cols).select(*cols).mapInPandas(_jackknife_task(stat, whole), schema)
     return parts.groupBy("stat").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "s3")])
 
 
-def _jackknife_task(stat, g: np.ndarray):
+def _jackknife_task(stat, whole):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if whole is None or whole.n < 2:
+            return
         cols, names = stat.cols(), stat.names()
-        full = stat.evaluate(g[None])[0]
+        full = stat.evaluate(Stack.rows([whole]))[0]
         n, sums = 0, np.zeros((3, len(names)))
         for pdf in batches:
             for lo in range(0, len(pdf), ROW_BLOCK):
-                part = pdf.iloc[lo : lo + ROW_BLOCK]
-                z = np.column_stack([np.ones(len(part)), part[cols].to_numpy(dtype=float)])
-                d = stat.evaluate(g[None] - z[:, :, None] * z[:, None, :]) - full
-                n += len(z)
+                x = pdf.iloc[lo : lo + ROW_BLOCK][cols].to_numpy(dtype=float)
+                d = stat.evaluate(without_each(whole, x)) - full
+                n += len(x)
                 sums += np.stack([d.sum(axis=0), (d**2).sum(axis=0), (d**3).sum(axis=0)])
         if n:
             yield pd.DataFrame({"stat": names, "n": n, "s1": sums[0], "s2": sums[1], "s3": sums[2]})

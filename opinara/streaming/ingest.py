@@ -16,6 +16,7 @@ from ..functions.responses import checkpoint_rows, explode_matches
 from ..functions.scalars import DEFAULT_DEGREE_WEIGHT, ratio
 from ..operators.scoring import with_final_value
 from ..schemas import RAW_RESPONSES
+from .ledger import Ledger
 
 
 def read_responses(spark: SparkSession, in_dir: str, schema=RAW_RESPONSES, max_files: int | None = None) -> DataFrame:
@@ -58,26 +59,24 @@ def stream_scores(
     key: str = "product_id",
     max_files: int | None = None,
     default: float = DEFAULT_DEGREE_WEIGHT,
+    buckets: int = 16,
 ) -> None:
     """Append per-batch partial sums (key, code, sum_value, n_mentioning).
 
     A response holds all matches of its comment, so the comment mean needs no
-    state. A repeated response counts once: a batch leaves out the row ids that
-    the ledger beside ``out_dir`` holds from earlier batches, and of repeats
-    within a batch the one with the smallest hash stays. Nothing is kept in a
-    state store; the ledger holds ids only and grows with the stream on disk.
+    state. A repeated response counts once: a batch leaves out the row ids of
+    earlier batches, which the :class:`.ledger.Ledger` beside ``out_dir`` finds
+    without reading them whole, and of repeats within a batch the one with the
+    smallest hash stays. Nothing is kept in a state store; ids lie on disk only.
     A batch writes sums and ids to folders of its own, so a replayed batch
     overwrites itself.
     """
     stream = read_responses(spark, in_dir, schema, max_files)
-    ledger = f"{out_dir}_ledger"
     id_type = next(f.dataType.simpleString() for f in stream.schema.fields if f.name == "row_id")
+    ledger = Ledger(spark, f"{out_dir}_ledger", "row_id", id_type, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch
-        if batch_id > 0:
-            past = spark.read.schema(f"row_id {id_type}, batch_id long").parquet(ledger).filter(F.col("batch_id") < batch_id)
-            new = batch.join(past.select("row_id"), "row_id", "left_anti")
+        new = ledger.unseen(batch, batch_id)
         one = new.groupBy("row_id").agg(F.min_by(F.struct(*new.columns), F.xxhash64(*new.columns)).alias("r")).select("r.*")
         valid = checkpoint_rows(one, list(dims))
         rows = explode_matches(valid, ["row_id", key])
@@ -87,7 +86,7 @@ def stream_scores(
             F.sum("v").alias("sum_value"), F.count(F.lit(1)).alias("n_mentioning")
         )
         part.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-        batch.select("row_id").distinct().write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+        ledger.add(batch, batch_id)
 
     query = (
         stream.writeStream.foreachBatch(write)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from opinara.operators import regression as R
 from opinara.operators.multiple_testing import fdr
 from opinara.operators.quantiles import exact_quantiles
-from opinara.operators.resampling import poisson_grams
+from opinara.operators.resampling import poisson_moments
+from opinara.operators.stacks import replicate_sums
 from opinara.operators.scoring import with_degree_lexicon, with_degree_weight
 from opinara.sources.readers import read_csv
 from opinara.sources.writers import write_table
@@ -46,11 +47,11 @@ def test_quantiles_leave_nan_out(spark):
 
 def test_poisson_replicates_on_text_ids(spark):
     frame = spark.createDataFrame([("same", f"{i}-{i % 7}", float(i)) for i in range(300)], "g string, id string, v double")
-    rows = poisson_grams(frame, ["v"], ["g", "id"], 20, 3).collect()
+    rows = replicate_sums(poisson_moments(frame, ["v"], ["g", "id"], 20, 3)).collect()
     assert len(rows) == 20 and len({r.sw for r in rows}) > 5
     assert abs(np.mean([r.sw for r in rows]) - 300) < 20
     with pytest.raises(Exception):
-        poisson_grams(frame.withColumn("id", F.lit(None).cast("string")), ["v"], ["g", "id"], 5, 3).collect()
+        poisson_moments(frame.withColumn("id", F.lit(None).cast("string")), ["v"], ["g", "id"], 5, 3).collect()
 
 
 @pytest.mark.parametrize("shift", [0.0, 1e6, 1e8])

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from opinara.functions.distributions import f_upper, normal_quantile, t_quantile, t_two_sided
+from opinara.functions.distributions import f_upper, f_uppers, normal_quantile, t_quantile, t_two_sided, t_two_sideds
 from opinara.functions.hashing import MOD, hash_np, poisson_np
 from opinara.operators import gram as G
 from opinara.operators import mediation as M
@@ -17,6 +17,7 @@ from opinara.operators import quantiles as Q
 from opinara.operators import regression as R
 from opinara.operators import resampling as B
 from opinara.operators import vectors as OV
+from opinara.session import pin
 
 N = 300
 
@@ -134,7 +135,7 @@ def test_serial(df, data):
 def test_exact_bootstrap_redrawn(df, data):
     d = data.dropna().reset_index(drop=True)
     n, draw = len(d), np.arange(len(d), dtype=np.int64)
-    rows = B.bootstrap(df, STAT, 5, 11, ["id"]).collect()
+    rows = B.bootstrap(df, STAT, 5, 11, ["id"], "hashed").collect()
     got = {(r["rep"], r["stat"]): r["value"] for r in rows}
     for rep in range(5):
         idx = (hash_np(11, np.int64(rep), 2 * draw) * MOD + hash_np(11, np.int64(rep), 2 * draw + 1)) % n
@@ -256,6 +257,14 @@ def test_pca_scores(spark):
     assert np.cov(got.T) == pytest.approx(np.eye(3), abs=0.02)
 
 
+def test_distributions_of_arrays():
+    rng = np.random.default_rng(4)
+    t, df = rng.normal(size=400) * 4, rng.integers(0, 60, 400).astype(float)
+    t[:3] = [0.0, np.nan, 1e9]
+    assert t_two_sideds(t, df) == pytest.approx([t_two_sided(a, b) for a, b in zip(t, df)], abs=1e-12, nan_ok=True)
+    assert f_uppers(t**2, 3, df) == pytest.approx([f_upper(a, 3, b) for a, b in zip(t**2, df)], abs=1e-12, nan_ok=True)
+
+
 def test_distributions():
     assert t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-8)
     assert t_quantile(0.975, 10) == pytest.approx(2.228138852, abs=1e-8)
@@ -263,3 +272,50 @@ def test_distributions():
     assert f_upper(4.964602744, 1, 10) == pytest.approx(0.05, abs=1e-8)
     assert normal_quantile(0.975) == pytest.approx(1.959963985)
     assert math.isinf(normal_quantile(0.0))
+
+
+def test_groups_fit_on_executors(spark, data, monkeypatch):
+    """Groups of any size, null and tiny ones included, against numpy one by one; nothing of them comes to the driver."""
+    from opinara.operators import moments as MO
+
+    pdf = data.assign(g=np.where(np.arange(N) < 120, "hot", np.array([f"g{i % 9}" for i in range(N)])))
+    pdf.loc[200:203, "g"] = None
+    pdf = pd.concat([pdf, pdf.iloc[:2].assign(g="two"), pdf.iloc[[3]].assign(g="none")], ignore_index=True)
+    frame = spark.createDataFrame(pdf).replace(float("nan"), None).repartition(5)
+    models = [R.Spec("a", "m1", ("x0", "x1")), R.Spec("b", "y", ("x0", "x2", "m1"))]
+    for flush, short in ((2048, 48), (3, 0), (3, 10**9)):
+        monkeypatch.setattr(MO, "FLUSH", flush)
+        monkeypatch.setattr(MO, "SHORT", short)
+        rows = {(r.g, r.spec, r.term): r for r in R.ols(frame, models, weight="w", by="g").collect()}
+        for g, part in pdf.groupby("g", dropna=False):
+            g = None if pd.isna(g) else g
+            for m in models:
+                if not len(part.dropna(subset=[*m.x, m.y])):
+                    assert (g, m.name, "x0") not in rows
+                    continue
+                if len(part.dropna(subset=[*m.x, m.y])) > len(m.x) + 1:
+                    beta, se, n = hc1(part, m.y, m.x, "w")
+                    for i, term in enumerate([G.CONST, *m.x]):
+                        r = rows[g, m.name, term]
+                        assert (r.beta, r.se, r.n) == (pytest.approx(beta[i], abs=1e-8), pytest.approx(se[i], abs=1e-8), n)
+                else:
+                    assert rows[g, m.name, "x0"].t is None
+    plain = {(r.g, r.term): r.se for r in R.ols(frame, models[:1], cov="classic", by="g").collect()}
+    assert plain["hot", "x0"] > 0
+    near = frame.filter("g = 'hot'").withColumn("x1", F.when(F.col("g") == "hot", F.col("x0") + 1e-6 * F.col("x1")).otherwise(F.col("x1")))
+    assert {r.beta for r in R.ols(near, models[:1], by="g").collect()} == {None}
+
+
+def test_many_groups(spark):
+    """200,000 groups of five rows: all have a fit, and a few are checked."""
+    n = 200_000
+    rows = spark.range(5 * n).select(
+        (F.col("id") % n).alias("g"), F.rand(1).alias("x"), F.randn(2).alias("e"), (F.col("id") % n).cast("double").alias("size")
+    ).withColumn("y", F.col("size") + F.col("x") * (F.col("g") % 7) + 1e-3 * F.col("e"))
+    fits = pin(R.ols(rows, [R.Spec("m", "y", ("x",))], by="g"))
+    got = fits.filter("term = 'x'").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("beta") - F.col("g") % 7)).alias("off"), F.sum("n").alias("rows")).first()
+    assert (got.n, got.rows) == (n, 5 * n) and got.off < 0.5
+    some = rows.filter("g in (0, 77, 199999)").toPandas()
+    for r in fits.filter("g in (0, 77, 199999) AND term = 'x'").collect():
+        beta, se, _ = hc1(some[some.g == r.g], "y", ("x",))
+        assert (r.beta, r.se) == (pytest.approx(beta[1], abs=1e-7), pytest.approx(se[1], rel=1e-5))

@@ -72,7 +72,7 @@ def test_stream_second_run_does_only_new_work(spark):
     assert total == spark.read.parquet(whole_out).agg(F.sum("n_mentioning")).first()[0] > half
     # No state is kept: repeats are found in the ledger.
     assert not (Path(ck) / "state").exists()
-    ids = spark.read.parquet(f"{out}_ledger")
+    ids = spark.read.parquet(f"{out}_ledger/ids")
     assert ids.select("row_id").distinct().count() == rows.select("row_id").distinct().count()
 
 
