@@ -2,41 +2,50 @@
 
 The vocabulary's pre-tokenizer splits text into pre-tokens that the merges never cross, so ids of a text are
 the ids of its pre-tokens one after another. Pre-tokens are found with array operations, equal ones in a chunk
-are looked up once, and only unseen ones go to the ``tokenizers`` library. Texts that hold an added token or
-characters beyond the plain ranges below are given to the library whole.
+are looked up once, and only unseen ones go to the ``tokenizers`` library. What counts as a letter, a number or
+white space is asked of the library's own pre-tokenizer, a page of code points when one first occurs, so texts in
+all scripts go this way. Only texts that hold an added token are given to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import unicodedata
 
 import numpy as np
 
-from opinara.llm.buffers import U, chunks, expand, prefix, process_cache, span_hash
+from opinara.llm.buffers import U, chunks, expand, process_cache, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
-#: Code points below this have a class; all others make a text go to the library whole.
-PLAIN = 0x250
-
-
-def _classes() -> np.ndarray:
-    out = np.zeros(PLAIN + 1, np.uint8)
-    for c in range(PLAIN):
-        kind = unicodedata.category(chr(c))
-        if c in (9, 10, 11, 12, 13, 32, 0xA0):
-            out[c] = SPACE
-        elif kind[0] == "L":
-            out[c] = LETTER
-        elif kind[0] == "N":
-            out[c] = NUMBER
-        elif kind[0] in "PS":
-            out[c] = OTHER
-    return out
-
-
-CLASSES = _classes()
-POINT_VALUES = np.random.default_rng(7).integers(0, 1 << 63, PLAIN + 1, dtype=np.uint64) * U(2) + U(1)
+PAGE = 256
+
+
+class Classes:
+    """Class of each code point as the pre-tokenizer has it, found page by page."""
+
+    def __init__(self, pre_tokenizer):
+        self.pre_tokenizer = pre_tokenizer
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.known = np.zeros(0x110000 // PAGE, bool)
+
+    def _joins(self, mate: str, points: list[int]) -> np.ndarray:
+        """Which code points stay together with ``mate`` right before them."""
+        # A new line parts the probes: it joins neither letters, numbers nor signs.
+        probe = "".join(f"{mate}{chr(c)}\n" for c in points)
+        starts = {a for _, (a, _) in self.pre_tokenizer.pre_tokenize_str(probe)}
+        return np.array([3 * i + 1 not in starts for i in range(len(points))])
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        pages = np.unique(points // PAGE)
+        for page in pages[~self.known[pages]].tolist():
+            own = [c for c in range(page * PAGE, (page + 1) * PAGE) if not 0xD800 <= c < 0xE000]
+            found = np.full(len(own), SPACE, np.uint8)
+            for mate, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
+                found[self._joins(mate, own)] = kind
+            self.kind[own] = found
+            self.known[page] = True
+        return self.kind[points]
+
+
 #: Contractions that the public pre-tokenizer splits off.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 
@@ -50,10 +59,9 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pretoken_starts(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def pretoken_starts(points: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Where pre-tokens begin in code points of texts laid end to end; ``bounds`` are the texts' offsets."""
     n = len(points)
-    kind = CLASSES[points]
     first = np.zeros(n + 1, bool)
     first[bounds] = True
     last = first[1:].copy()
@@ -108,9 +116,14 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.byte_level = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
-        # How the byte-level step spells each plain character.
-        self.spelling = {c: self.byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(PLAIN) if CLASSES[c]}
+        self.model = self.tokenizer.model
+        self.classes = Classes(self.tokenizer.pre_tokenizer)
+        # How the byte-level step spells each byte: single characters below 0x80, two-byte ones for the rest.
+        plain, spelled = ByteLevel(add_prefix_space=False, use_regex=False), {}
+        for c in [*range(0x80), *range(0x80, 0x800, 0x20), *range(0x80, 0xC0), 0x1000, 0xFFFD, *range(0x10000, 0x110000, 0x10000), *range(0x800, 0xD800, 0x800), 0xE000, 0xF000]:
+            spelled.update(zip(chr(c).encode(), plain.pre_tokenize_str(chr(c))[0][0], strict=True))
+        self.spelling = {chr(b): x for b, x in spelled.items()}
+        self.spelling = str.maketrans(self.spelling)
         self.lengths_only, self.max_entries = lengths_only, max_entries
         self.known, self.misses = known, 0
         self.reset()
@@ -124,7 +137,7 @@ class Encoder:
 
     def _add(self, hashes: list[int], words: list[str]) -> None:
         tokenize, spelling = self.model.tokenize, self.spelling
-        ids = [[t.id for t in tokenize(w.translate(spelling))] for w in words]
+        ids = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(spelling))] for w in words]
         self.misses += len(words)
         k, size = len(self.slots), np.fromiter(map(len, ids), np.int64, len(ids))
         while k + len(ids) > len(self.length):
@@ -160,16 +173,13 @@ class Encoder:
     def pretokens(self, data: np.ndarray, offsets: np.ndarray):
         """Text, odd rows, and of the others: code-point starts, ends, hashes and n + 1 offsets into them by row."""
         text = data.tobytes().decode("utf-8", "replace")
-        points = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), PLAIN)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if len(text) == len(data):
             bounds = offsets
         else:
             heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             bounds = heads[offsets]
         odd = np.zeros(len(offsets) - 1, bool)
-        strange = np.flatnonzero(CLASSES[points] == 0)
-        if len(strange):
-            odd[np.searchsorted(bounds, strange, side="right") - 1] = True
         for token in self.added:
             at = text.find(token)
             while at >= 0:
@@ -177,9 +187,9 @@ class Encoder:
                 at = text.find(token, at + 1)
         if not len(points):
             return text, bounds, odd, *(np.zeros(0, np.int64),) * 2, np.zeros(0, U), np.zeros(len(offsets), np.int64)
-        starts = pretoken_starts(points, bounds)
+        starts = pretoken_starts(points, bounds, self.classes.of(points))
         ends = np.append(starts[1:], len(points))
-        hashes = span_hash(prefix(POINT_VALUES[points]), starts, ends)
+        hashes = span_hashes(points, starts, ends)
         rows = np.searchsorted(starts, bounds)
         if odd.any():
             keep = np.repeat(~odd, np.diff(rows))

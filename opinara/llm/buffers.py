@@ -24,10 +24,8 @@ BATCH_ROWS = 1_000
 
 U = np.uint64
 RADIX = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WORD_GAP = np.zeros(256, bool)
 WORD_GAP[[9, 10, 11, 12, 13, 32]] = True
-BYTE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
 def process_cache(name: str) -> dict:
@@ -47,26 +45,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """RADIX**i and RADIX**-i for i < n (modulo 2**64), from one table that grows when it must."""
-    known = process_cache("powers")
-    if n > len(known.get("up", ())):
-        up, down = np.full(max(n, 1 << 16), RADIX, U), np.full(max(n, 1 << 16), INVERSE, U)
-        up[0] = down[0] = 1
-        known["up"], known["down"] = np.cumprod(up, dtype=U, out=up), np.cumprod(down, dtype=U, out=down)
-    return known["up"][:n], known["down"][:n]
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of bytes or code points that lie one after another, whatever their place in ``values``.
 
-
-def prefix(values: np.ndarray) -> np.ndarray:
-    """P with P[e] - P[s] = sum of values[i] * RADIX**i over s <= i < e."""
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(len(values))[0], dtype=U, out=out[1:])
-    return out
+    Each value is mixed with its place in its span before the span is summed up, and the sum with the span's length,
+    so no pattern of values cancels out. Hashes of different seeds are independent.
+    """
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, U)
+    first = np.cumsum(size) - size
+    at = np.arange(int(size.sum()))
+    place = (at - np.repeat(first, size)).astype(U)
+    mixed = mix((values[at + np.repeat(starts - first, size)].astype(U) | (place + U(1)) << U(21)) ^ U(mixed_seed(seed)))
+    total = np.zeros(len(size) + 1, U)
+    np.cumsum(np.add.reduceat(np.append(mixed, U(0)), first), dtype=U, out=total[1:])
+    # An empty span gets what lies at its place from reduceat; it is none of its own.
+    return mix(np.where(size > 0, np.diff(total), U(0)) + size.astype(U) * RADIX + U(mixed_seed(seed + 1)))
 
 
-def span_hash(p: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of spans, whatever their place; ``p`` comes from :func:`prefix`."""
-    return mix((p[ends] - p[starts]) * powers(len(p))[1][starts])
+def mixed_seed(seed: int) -> int:
+    return (seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
@@ -113,18 +112,33 @@ def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WORD_GAP) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix(BYTE_VALUES[data]), starts, ends)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    return span_hashes(data, starts, ends, seed)
+
+
+def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two hashes, in this order."""
+    return mix(mix(left ^ RADIX) + right * U(0xD6E8FEB86659FD93))
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of words[i : i + size] for every i that leaves room; rows are not looked at."""
+    """Hash of words[i : i + size] for every i that leaves room; rows are not looked at.
+
+    Windows of 1, 2, 4, ... words are hashed from their halves, and ``size`` is put together from them.
+    """
     n = len(words) - size + 1
     if n < 1:
         return np.zeros(0, U)
-    p = prefix(words)
-    at = np.arange(n)
-    return span_hash(p, at, at + size)
+    out, taken, width, level = None, 0, 1, words
+    while width <= size:
+        if size & width:
+            part = level[taken : taken + n]
+            out = part if out is None else pair_hashes(out, part)
+            taken += width
+        if 2 * width <= size:
+            level = pair_hashes(level[:-width], level[width:])
+        width *= 2
+    return mix(out ^ U(size))
 
 
 def first_in_row(bounds: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Quality rules: counts of words, symbols, repeats, and tokeniser fertility with bands per language.
 
 Public vocabularies measure each text: characters per token and entropy of its tokens under the byte-level BPE,
-and the share of tokens that the piece vocabulary can only spell as bytes. A text is rejected when a measure
+and the share of the piece vocabulary's own tokens of the text that are bytes. A text is rejected when a measure
 leaves its language's band, which is set by the quartiles of all texts of that language that pass the base rules:
 ``SPREAD`` interquartile ranges (``LEAST`` at least) beyond them. Characters per token have a band on both sides,
 entropy a lower and byte fallback an upper edge, because long clean texts have high entropy.
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm.bpe import encoder, vocabulary_path
-from opinara.llm.buffers import BYTE_VALUES, U, chunks, fresh, mix, prefix, process_cache, quoted, row_of, rows_join, small_batches, span_hash, spans, text_buffer, window_hashes, word_hashes
+from opinara.llm.buffers import U, chunks, fresh, mix, process_cache, quoted, row_of, rows_join, small_batches, span_hashes, spans, text_buffer, window_hashes, word_hashes
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SPREAD = 4.0
@@ -26,18 +26,20 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = tuple(LEAST)
 
 
-def fallback_bytes(path: str, points: np.ndarray) -> np.ndarray:
-    """Byte tokens that the piece vocabulary needs for each code point (0 if it has a piece for it)."""
+def byte_pieces(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of each whole text under the piece vocabulary, and how many of them are bytes."""
     cache = process_cache("pieces")
     if path not in cache:
         from sentencepiece import SentencePieceProcessor
 
-        cache[path] = SentencePieceProcessor(model_file=path), {}
-    pieces, known = cache[path]
-    for c in points.tolist():
-        if c not in known:
-            known[c] = sum(map(pieces.is_byte, pieces.encode(chr(c)))) if not 0xD800 <= c < 0xE000 else 3
-    return np.array([known[c] for c in points.tolist()], np.int64)
+        pieces = SentencePieceProcessor(model_file=path)
+        cache[path] = pieces, np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())], bool)
+    pieces, is_byte = cache[path]
+    n, spelled = np.zeros(len(texts)), np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        ids = np.array(pieces.encode(text), np.int64)
+        n[i], spelled[i] = len(ids), is_byte[ids].sum()
+    return n, spelled
 
 
 def measure_chunk(data: np.ndarray, offsets: np.ndarray, bpe: str, piece: str) -> dict[str, np.ndarray]:
@@ -60,7 +62,7 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray, bpe: str, piece: str) -
     line_end[lines[1:] - 1], line_end[inner] = offsets[1:], breaks
     worded = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_row = row_of(lines)[worded]
-    keys = span_hash(prefix(BYTE_VALUES[data]), line_start[worded], line_end[worded]) ^ salt[line_row]
+    keys = span_hashes(data, line_start[worded], line_end[worded]) ^ salt[line_row]
     first = np.unique(keys, return_index=True)[1]
     out["n_dup_lines"] = np.bincount(line_row, minlength=n_rows) - np.bincount(line_row[first], minlength=n_rows)
 
@@ -83,13 +85,11 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray, bpe: str, piece: str) -
         weight = np.bincount(pairs >> 32, count * np.log2(count), len(n))
         n_tokens[part] = n
         entropy[part] = np.log2(np.maximum(n, 1)) - weight / np.maximum(n, 1)
-    text = data.tobytes().decode("utf-8", "replace")
-    points, back = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
-    spelled = fallback_bytes(piece, points)[back] if len(points) else np.zeros(0, np.int64)
-    bounds = heads[offsets]
-    out["chars_per_token"] = np.diff(bounds) / np.maximum(n_tokens, 1)
+    body = data.tobytes()
+    n_pieces, spelled = byte_pieces(piece, [body[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+    out["chars_per_token"] = np.diff(heads[offsets]) / np.maximum(n_tokens, 1)
     out["token_entropy"] = np.maximum(entropy, 0.0)
-    out["byte_fallback"] = summed(spelled, bounds) / np.maximum(n_tokens + summed(spelled, bounds), 1)
+    out["byte_fallback"] = spelled / np.maximum(n_pieces, 1)
     return out
 
 

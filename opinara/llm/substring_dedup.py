@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.buffers import U, expand, first_in_row, fresh, mix, quoted, small_batches, spans, text_buffer, window_hashes, word_hashes
+from opinara.llm.buffers import U, expand, first_in_row, fresh, quoted, small_batches, spans, text_buffer, window_hashes, word_hashes
 
 WINDOW = 35
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -47,6 +47,11 @@ def _words(table: pa.Table, text: str):
     return data, offsets, starts, ends, rows, word_hashes(data, starts, ends)
 
 
+def _second(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words that are independent of the first ones."""
+    return word_hashes(data, starts, ends, seed=7)
+
+
 def _parts(hashes: np.ndarray, n: int) -> np.ndarray:
     """Range of each hash: its upper half scaled to n, so that sorted hashes give sorted ranges."""
     return ((hashes >> U(32)) * U(n) >> U(32)).astype(np.int64)
@@ -121,10 +126,13 @@ def _candidates(at: np.ndarray, rows: np.ndarray, n_words: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(change)[:-1] > 0)
 
 
-def _windows(words: np.ndarray, at: np.ndarray):
-    """Sorted distinct 96-bit hashes of windows, index of each window's hash, whether the block repeats it."""
+def _windows(words: np.ndarray, other: np.ndarray, at: np.ndarray):
+    """Sorted distinct 96-bit hashes of windows, index of each window's hash, whether the block repeats it.
+
+    ``words`` and ``other`` are independent hashes of the words.
+    """
     first = window_hashes(words, WINDOW)[at]
-    second = (window_hashes(mix(words ^ U(0x5851F42D4C957F2D)), WINDOW)[at] >> U(32)).astype(np.uint32)
+    second = (window_hashes(other, WINDOW)[at] >> U(32)).astype(np.uint32)
     order = np.lexsort((second, first))
     new = np.ones(len(order), bool)
     new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
@@ -158,10 +166,10 @@ def drop_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     def windows(key: tuple[pa.Scalar, ...], table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _request_schema().empty_table()
-        *_, rows, words = _words(table, text)
+        data, _, starts, ends, rows, words = _words(table, text)
         at, distinct, back, own = _anchors(words, rows)
         flags = own | _flags(replies, distinct, n_parts)
-        first, second, _, _ = _windows(words, _candidates(at[flags[back]], rows, len(words)))
+        first, second, _, _ = _windows(words, _second(data, starts, ends), _candidates(at[flags[back]], rows, len(words)))
         return _request(key[0].as_py(), n_parts, first, second, np.packbits(flags).tobytes())
 
     keep = [f for f in docs.schema.fields if f.name != text]
@@ -172,7 +180,7 @@ def drop_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         echo = b"".join(replies.column("echo").to_pylist())
         flags = np.unpackbits(np.frombuffer(echo, np.uint8), count=len(distinct)).astype(bool) if echo else np.zeros(len(distinct), bool)
         at = _candidates(at[flags[back]], rows, len(words))
-        first, _, back, own = _windows(words, at)
+        first, _, back, own = _windows(words, _second(data, starts, ends), at)
         hit = at[(own | _flags(replies, first, n_parts))[back]]
         gone = np.zeros(len(words) + 1, np.int64)
         np.add.at(gone, hit, 1)

@@ -16,20 +16,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.buffers import BYTE_VALUES, chunks, expand, prefix, quoted, row_of, small_batches, span_hash, spans, text_buffer
+from opinara.llm.buffers import chunks, expand, quoted, row_of, small_batches, span_hashes, spans, text_buffer
 
 MAX_POSITIVE, MAX_NEGATIVE = 5_000, 10_000
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY, LEAST, KNOWN, POWER, REIN, START_W, START_V, SEED = 60, 256, 0.1, 1e-4, 5e-2, 1.5, 8, 1.0, 1e-6, 1e-3, 11
 _GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_FOLDED = BYTE_VALUES.copy()
-_FOLDED[65:91] = BYTE_VALUES[97:123]
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
 
 
 def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all terms and n + 1 offsets by row."""
     starts, ends, rows = spans(data, offsets, _GAP)
-    return span_hash(prefix(_FOLDED[data]), starts, ends), rows
+    return span_hashes(_FOLDED[data], starts, ends), rows
 
 
 def term_set(text: Column) -> Column:

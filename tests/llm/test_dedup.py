@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from opinara.llm import simhash, substring_dedup
+from opinara.llm import buffers, simhash, substring_dedup
 from tests.llm import cases
 
 
@@ -125,3 +125,34 @@ def test_links_span_components_of_planted_fingerprints(spark):
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     assert {tuple(r) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(201)}
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_cancel_out_are_told_apart(spark, n):
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    texts = [f"{'same ' * 34}{one}", f"{'same ' * 34}{two}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.drop_repeats(docs).collect()} == {0}
+
+
+def test_hashes_tell_spans_and_windows_apart():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    starts = np.sort(rng.choice(3900, 600, replace=False))
+    ends = np.minimum(np.append(starts[1:], 4000), starts + rng.integers(0, 12, 600))
+    got = buffers.span_hashes(data, starts, ends)
+    other = buffers.span_hashes(data, starts, ends, seed=7)
+    by = {}
+    for h, g, a, b in zip(got.tolist(), other.tolist(), starts, ends):
+        assert by.setdefault(bytes(data[a:b]), (h, g)) == (h, g)
+    assert len({v[0] for v in by.values()}) == len({v[1] for v in by.values()}) == len(by)
+    words = rng.integers(0, 3, 900).astype(np.uint64)
+    for size in (1, 2, 3, 15, 35):
+        hashes = buffers.window_hashes(words, size)
+        seen = {}
+        assert len(hashes) == 900 - size + 1
+        for i, h in enumerate(hashes.tolist()):
+            assert seen.setdefault(tuple(words[i : i + size].tolist()), h) == h
+        assert len(set(seen.values())) == len(seen)
+    assert len(buffers.window_hashes(words[:4], 5)) == 0

@@ -34,17 +34,36 @@ def test_quality_counts_and_measures(spark):
     coder = Encoder(vocabulary_path("byte_bpe_50k.json"))
     pieces = SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
     rows = quality.measures(cases.table(spark)).select("text", "quality.*").collect()
-    spelled = {c: pieces.encode(c) for c in {c for r in rows for c in r.text or ""}}
     for r in rows:
         assert tuple(r[c] for c in quality.COUNTS) == counted(r.text)
         ids = coder.tokenizer.encode(r.text or "", add_special_tokens=False).ids
         assert r.chars_per_token == pytest.approx(len(r.text or "") / max(1, len(ids)))
         share = [c / len(ids) for c in Counter(ids).values()]
         assert r.token_entropy == pytest.approx(-sum(s * math.log2(s) for s in share), abs=1e-9)
-        fallback = sum(map(pieces.is_byte, [i for c in r.text or "" for i in spelled[c]]))
-        assert r.byte_fallback == pytest.approx(fallback / max(1, len(ids) + fallback))
+        own = pieces.encode(r.text or "")
+        assert r.byte_fallback == pytest.approx(sum(map(pieces.is_byte, own)) / max(1, len(own)))
 
 
+def test_lines_and_terms_that_cancel_out_are_told_apart(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    docs = spark.createDataFrame([(0, f"{one}\n{two}"), (1, f"{one}\n{one}")], "doc_id long, text string")
+    got = {r.doc_id: r.n_dup_lines for r in quality.measures(docs).select("doc_id", "quality.n_dup_lines").collect()}
+    assert got == {0: 0, 1: 1}
+    terms = {r.doc_id: r.n for r in docs.select("doc_id", F.size(toxicity.term_set(F.col("text"))).alias("n")).collect()}
+    assert terms == {0: 2, 1: 1}
+
+
+def test_byte_fallback_is_the_piece_models_own_share(spark):
+    pieces = SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
+    texts = ["ᚠᛇᚻ ᛒᛦᚦ ᚠᚱᚩᚠᚢᚱ ᚠᛁᚱᚪ", "plain english words", "敏捷的狐狸", "Быстрая лиса", "ⴰⵣⵓⵍ", "🙂🙃", "Η αλεπού", "तेज़ भूरी", "ᏣᎳᎩ", "አማርኛ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.measures(docs).select("text", "quality.byte_fallback").collect():
+        own = pieces.encode(r.text)
+        assert r.byte_fallback == sum(map(pieces.is_byte, own)) / len(own)
+        if r.text.startswith("ᚠ"):
+            assert r.byte_fallback > 0.9
+
 def test_bands_reject_outliers_and_keep_the_rest(spark, tmp_path):
     rng = random.Random(2)
     plain = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(200)) for _ in range(60)]

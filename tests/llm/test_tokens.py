@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm import packing, token_counts, token_files
 from opinara.llm.bpe import Encoder, vocabulary_path
-from opinara.llm.buffers import text_buffer
+from opinara.llm.buffers import chunks, text_buffer
 from tests.llm import cases
 
 
@@ -36,6 +36,71 @@ def test_ids_equal_the_library(texts):
     assert own.counts(data, offsets).tolist() == [len(x) for x in got]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=30), max_size=5))
+def test_ids_equal_the_library_on_any_text(texts):
+    test_ids_equal_the_library.hypothesis.inner_test(texts)
+
+
+SCRIPTS = ["Η γρήγορη αλεπού", "Быстрая лиса, ещё", "敏捷的狐狸跳过懒狗。", "素早い茶色の狐", "빠른 갈색 여우", "الثعلب البني السريع", "השועל החום המהיר", "तेज़ भूरी लोमड़ी १२", "สุนัขจิ้งจอก", "“Curly – quotes…” it’s", "ᚠᛇᚻ ᛒᛦᚦ", "🙂👩‍👩‍👧 ½ Ⅷ ٣"]
+
+
+def test_every_script_is_cut_as_the_library_cuts_it(coder):
+    data, offsets = text_buffer(pa.array(SCRIPTS, pa.string()))
+    own = Encoder(vocabulary_path("byte_bpe_50k.json"))
+    _, _, odd, *_ = own.pretokens(data, offsets)
+    assert not odd.any()
+    got = [flat[a:b].tolist() for _, flat, cuts in own.ids(data, offsets) for a, b in zip(cuts[:-1], cuts[1:])]
+    assert got == library(coder, SCRIPTS)
+    # Seen once, everything comes from the cache.
+    before = own.misses
+    assert own.counts(data, offsets).tolist() == [len(x) for x in got] and own.misses == before
+
+
+def test_classes_of_all_code_points(coder):
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
+    text = "".join(map(chr, points.tolist()))
+    own = Encoder(vocabulary_path("byte_bpe_50k.json"))
+    kind = own.classes.of(points)
+    assert all((kind == k).any() for k in (1, 2, 3, 4))
+    data, offsets = text_buffer(pa.array([text], pa.string()))
+    _, _, odd, starts, ends, _, _ = own.pretokens(data, offsets)
+    want = [span for _, span in coder.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+    assert not odd.any() and list(zip(starts.tolist(), ends.tolist())) == want
+
+
+def test_known_lengths_and_cache_serve_other_scripts(spark, coder):
+    texts = [f"{a} {b}" for a in SCRIPTS for b in SCRIPTS]
+    own = Encoder(vocabulary_path("byte_bpe_50k.json"), lengths_only=True)
+    words = token_counts.frequent_pretokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary_path("byte_bpe_50k.json"))
+    data, offsets = text_buffer(pa.array(words, pa.string()))
+    table = {}
+    for row, _, part, bounds in chunks(data, offsets):
+        _, _, _, _, _, got, rows = own.pretokens(part, bounds)
+        table.update({int(h): len(x) for h, x, k in zip(got[rows[:-1]], library(coder, words[row : row + len(rows) - 1]), np.diff(rows)) if k == 1})
+    keys = np.array(sorted(table), np.uint64)
+    own.known = keys, np.array([table[int(k)] for k in keys])
+    own.misses = 0
+    own.reset()
+    assert own.counts(*text_buffer(pa.array(texts, pa.string()))).tolist() == [len(x) for x in library(coder, texts)]
+    assert own.misses < 0.02 * len(words)
+
+
+def turns(n):
+    """A word of n characters and its complement, which cancel out in sums of powers of any odd number modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_cancel_out_are_told_apart(coder, n):
+    texts = list(turns(n))
+    data, offsets = text_buffer(pa.array(texts, pa.string()))
+    own = Encoder(vocabulary_path("byte_bpe_50k.json"))
+    got = [flat[a:b].tolist() for _, flat, cuts in own.ids(data, offsets) for a, b in zip(cuts[:-1], cuts[1:])]
+    assert got == library(coder, texts) and own.counts(data, offsets).tolist() == [len(x) for x in got]
+
+
 def test_cache_reset_and_known_lengths(coder):
     texts = cases.texts()
     own = Encoder(vocabulary_path("byte_bpe_50k.json"), lengths_only=True, max_entries=50)
