@@ -1,200 +1,309 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every word from both sides.
 
-Words fall into 4,096 hash buckets; a bucket is one of 64 classes and one of 64 places in it. The ``SIDE`` words on
-either side of a position, each scaled by weights of its offset, add up to a hidden state; two softmaxes give the
-class and the place. A text's score is the sum of the conditional log-probabilities of all its words.
-
-Training covers the whole corpus: in each round every task starts from the same parameters and learns by AdaGrad
-from every position of all its texts; parameters are then averaged, weighted by positions, in a Spark aggregate. What is gathered grows with the number of tasks. The averaged model
-has a fixed size (0.6 MB) and is broadcast.
+The conditional probability of a word has two factors. A network predicts its class from the ``SIDE`` words on either
+side (vectors of those words, scaled by weights of their place, add up to a hidden state; a softmax gives the class).
+Within the class a word has the share of its count in the whole corpus. A text's score is the sum of the conditional
+log-probabilities of all its words.
+
+Vocabulary and counts grow with the corpus. Every distinct word is counted, in a Spark table. The ``HEAD`` most frequent
+ones at most are broadcast; classes cut them into pieces of about equal root mass, so frequent words have one of
+their own, and all rarer words share the last class. Those of the head that occur ``COMMON`` times have a vector of their
+own (``ROWS`` at most, in order of frequency), the others that of their class. Shares of rare words are looked up by a
+join, so words are told apart however rare they are.
+
+Texts are split, hashed and encoded once; rounds of training and scoring read the integer rows. In each round every
+task starts from the same parameters and learns by AdaGrad from every position of all its texts; parameters are then
+averaged, weighted by positions, in two steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from opinara.llm.buffers import chunks, mix, quoted, small_batches, spans, text_buffer, word_hashes
+from opinara.llm.buffers import U, chunks, quoted, small_batches, spans, text_buffer, word_hashes
+from opinara.session import pin
 
-CLASSES, PLACES, WIDTH, SIDE = 64, 64, 16, 2
-BUCKETS = CLASSES * PLACES
-ROUNDS, STRIDE, BATCH, RATE, SEED = 2, 1, 8192, 0.1, 5
-SHAPES = {"embed": (BUCKETS + 1, WIDTH), "offset": (2 * SIDE, WIDTH), "class_w": (CLASSES, WIDTH), "class_b": (CLASSES,), "place_w": (CLASSES, PLACES, WIDTH), "place_b": (CLASSES, PLACES)}
+CLASSES, WIDTH, SIDE = 64, 16, 2
+HEAD, ROWS, COMMON = 1 << 18, 1 << 14, 64
+ROUNDS, BATCH, RATE, SEED = 2, 8192, 0.1, 5
+#: Distinct words that a task holds before it hands their counts on; what a word counts that the corpus lacks.
+HELD, UNSEEN = 1 << 18, 0.5
 
 Model = dict[str, np.ndarray]
 
 
-def initial(seed: int = SEED) -> Model:
+@dataclass
+class Vocabulary:
+    """Counts of all words (``h``, ``n``), and of the head: sorted hashes, vector rows, log-shares in the class."""
+
+    counts: DataFrame
+    hashes: np.ndarray
+    row: np.ndarray
+    share: np.ndarray
+    #: Class of each vector row; the last row of all, for places beyond a text, has none.
+    classes: np.ndarray
+    #: Log of the count of all words outside the head.
+    rest: float
+
+    @property
+    def rows(self) -> int:
+        return len(self.classes)
+
+
+def _add_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
+    """Counts of the words of all whole texts; null texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, U), np.zeros(0, np.int64)
+        for batch in batches:
+            for _, _, part, own in chunks(*text_buffer(batch.column(0))):
+                starts, ends, _ = spans(part, own)
+                held = _add_counts(held, np.unique(word_hashes(part, starts, ends), return_counts=True))
+                if len(held[0]) > HELD:
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(held[0].view(np.int64), pa.int64()), "n": pa.array(held[1], pa.int64())})
+                    held = np.zeros(0, U), np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_pydict({"h": pa.array(held[0].view(np.int64), pa.int64()), "n": pa.array(held[1], pa.int64())})
+
+    counts = pin(small_batches(docs).select(quoted(text)).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    step = F.floor(F.log2("n") * 32).cast("int")
+    sizes = {r.step: (r.words, r.n) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()}
+    least, words, mass = None, 0, 0
+    for s in sorted(sizes, reverse=True):
+        if words + sizes[s][0] > HEAD or s == 0:
+            break
+        least, words, mass = s, words + sizes[s][0], mass + sizes[s][1]
+    head = counts.filter(step >= least).toArrow() if least is not None else None
+    h = head.column("h").to_numpy().view(U) if head else np.zeros(0, U)
+    n = head.column("n").to_numpy() if head else np.zeros(0, np.int64)
+    order = np.lexsort((h, -n))
+    h, n = h[order], n[order]
+    root = np.cumsum(np.sqrt(n))
+    kind = np.minimum(root / (root[-1] if len(root) else 1.0) * (CLASSES - 1), CLASSES - 2).astype(np.int64)
+    own = min(ROWS, int((n >= COMMON).sum()))
+    row = np.where(np.arange(len(h)) < own, np.arange(len(h)), own + kind)
+    total = np.bincount(kind, n, CLASSES)
+    rest = sum(x for _, x in sizes.values()) - mass + UNSEEN
+    place = np.argsort(h)
+    return Vocabulary(counts, h[place], row[place], (np.log(n) - np.log(total[kind]))[place], np.concatenate([kind[:own], np.arange(CLASSES)]), float(np.log(rest)))
+
+
+def encode(docs: DataFrame, words: Vocabulary, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """Texts as rows of vectors, written once: ``rid``, ``k0``.. (the columns ``keep``), ``n_words``, ``words``, ``fixed``, ``rare``.
+
+    ``fixed`` is the part of the score that does not depend on neighbours, ``rare`` holds hashes of words outside the head.
+    """
+    names = list(docs.columns) if keep is None else list(keep)
+    names = [c for c in names if c != text]
+    held = docs.sparkSession.sparkContext.broadcast((words.hashes, words.row, words.share))
+    last, rest = words.rows - 1, words.rest
+    source = small_batches(docs).select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(names)], quoted(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, row_of_word, share = held.value
+        for batch in batches:
+            for first, end, part, own in chunks(*text_buffer(batch.column(len(names)))):
+                starts, ends, bounds = spans(part, own)
+                found = word_hashes(part, starts, ends)
+                at = np.minimum(np.searchsorted(hashes, found), max(0, len(hashes) - 1))
+                hit = hashes[at] == found if len(hashes) else np.zeros(len(found), bool)
+                row, fixed = np.full(len(found), last), np.full(len(found), -rest)
+                row[hit], fixed[hit] = row_of_word[at[hit]], share[at[hit]]
+                summed = np.concatenate([[0.0], np.cumsum(fixed)])
+                body, size = row.astype(np.uint16).tobytes(), 2 * bounds
+                away = np.concatenate([[0], np.cumsum(~hit)])[bounds]
+                columns = [batch.column(i).slice(first, end - first) for i in range(len(names))]
+                columns += [
+                    pa.array(np.diff(bounds), pa.int64()),
+                    pa.array([body[a:b] for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)], pa.binary()),
+                    pa.array(summed[bounds[1:]] - summed[bounds[:-1]], pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(away, pa.int32()), pa.array(found[~hit].view(np.int64), pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [*(f"k{i}" for i in range(len(names))), "n_words", "words", "fixed", "rare"])
+
+    added = {"n_words": T.LongType(), "words": T.BinaryType(), "fixed": T.DoubleType(), "rare": T.ArrayType(T.LongType())}
+    kept = T.StructType([*source.drop("text").schema.fields, *(T.StructField(name, kind) for name, kind in added.items())])
+    return pin(source.mapInArrow(run, kept).withColumn("rid", F.monotonically_increasing_id()))
+
+
+def shapes(rows: int) -> dict[str, tuple[int, ...]]:
+    return {"embed": (rows + 1, WIDTH), "offset": (2 * SIDE, WIDTH), "class_w": (CLASSES, WIDTH), "class_b": (CLASSES,)}
+
+
+def initial(rows: int, seed: int = SEED) -> Model:
     rng = np.random.default_rng(seed)
-    out = {k: rng.normal(0, 0.1, s).astype(np.float32) if k != "offset" else np.ones(s, np.float32) / SIDE for k, s in SHAPES.items()}
+    out = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in shapes(rows).items()}
+    out["offset"][:] = 1 / SIDE
     out["class_b"][:] = 0
-    out["place_b"][:] = 0
     return out
 
 
 def flat(model: Model) -> np.ndarray:
-    return np.concatenate([model[k].ravel() for k in SHAPES])
+    return np.concatenate([model[k].ravel() for k in ("embed", "offset", "class_w", "class_b")])
 
 
-def shaped(values: np.ndarray) -> Model:
+def shaped(values: np.ndarray, rows: int) -> Model:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    for k, s in shapes(rows).items():
         n = int(np.prod(s))
         out[k] = values[at : at + n].astype(np.float32).reshape(s)
         at += n
     return out
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word, buckets around it (``BUCKETS`` beyond the text's ends), word offsets, position hashes.
-
-    Position hashes are those of the words alone unless ``places`` is set.
-    """
-    starts, ends, rows = spans(data, offsets)
-    hashes = word_hashes(data, starts, ends)
-    bucket = (hashes >> np.uint64(52)).astype(np.int64)
-    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    around = np.full((len(bucket), 2 * SIDE), BUCKETS, np.int64)
-    place = hashes.copy() if places else hashes
+def contexts(parts: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of all words, rows around each (``pad`` beyond a text's ends), word offsets by text."""
+    row = np.frombuffer(b"".join(parts), np.uint16).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum([len(p) // 2 for p in parts])]).astype(np.int64)
+    text = np.repeat(np.arange(len(parts)), np.diff(bounds))
+    around = np.full((len(row), 2 * SIDE), pad, np.int64)
     for j, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        a, b = max(0, -d), len(bucket) - max(0, d)
+        a, b = max(0, -d), len(row) - max(0, d)
         if b > a:
-            same = row[a:b] == row[a + d : b + d]
-            around[a:b, j] = np.where(same, bucket[a + d : b + d], BUCKETS)
-            if places:
-                place[a:b] = mix(place[a:b] ^ np.where(same, hashes[a + d : b + d], np.uint64(j)))
-    return bucket, around, rows, place
+            around[a:b, j] = np.where(text[a:b] == text[a + d : b + d], row[a + d : b + d], pad)
+    return row, around, bounds
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+def _hidden(model: Model, around: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    near = [model["embed"][around[:, j]] for j in range(2 * SIDE)]
+    return near, np.tanh(sum(x * w for x, w in zip(near, model["offset"], strict=True)))
 
 
-def learn(model: Model, bucket: np.ndarray, around: np.ndarray, memory: Model) -> None:
-    """One AdaGrad step on a batch; ``memory`` holds the sums of squared gradients."""
-    n, order = len(bucket), np.argsort(bucket // PLACES, kind="stable")
-    bucket, around = bucket[order], around[order]
-    kind, place = bucket // PLACES, bucket % PLACES
-    near = [model["embed"][around[:, j]] for j in range(2 * SIDE)]
-    hidden = np.tanh(sum(x * w for x, w in zip(near, model["offset"], strict=True)))
-    p = _softmax(hidden @ model["class_w"].T + model["class_b"])
+def learn(model: Model, kind: np.ndarray, around: np.ndarray, memory: Model) -> None:
+    """One AdaGrad step on a batch of classes and the rows around them; ``memory`` sums squared gradients."""
+    n = len(kind)
+    near, hidden = _hidden(model, around)
+    p = hidden @ model["class_w"].T + model["class_b"]
+    p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
     p[np.arange(n), kind] -= 1
-    back = p @ model["class_w"]
-    grad = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    grad["class_w"], grad["class_b"] = p.T @ hidden, p.sum(0)
-    cut = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
-    for c, a, b in zip(range(CLASSES), cut[:-1], cut[1:], strict=True):
-        if a < b:
-            q = _softmax(hidden[a:b] @ model["place_w"][c].T + model["place_b"][c])
-            q[np.arange(b - a), place[a:b]] -= 1
-            grad["place_w"][c], grad["place_b"][c] = q.T @ hidden[a:b], q.sum(0)
-            back[a:b] += q @ model["place_w"][c]
-    back *= 1 - hidden**2
-    grad["offset"] = np.stack([(x * back).sum(0) for x in near])
-    step = np.concatenate([back * w for w in model["offset"]])
+    back = (p @ model["class_w"]) * (1 - hidden**2)
+    grad = {"class_w": p.T @ hidden, "class_b": p.sum(0), "offset": np.stack([(x * back).sum(0) for x in near])}
     index = around.T.ravel()
     order = np.argsort(index.astype(np.uint16), kind="stable")
     index = index[order]
     first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    grad["embed"][index[first]] = np.add.reduceat(step[order], first, axis=0)
+    step = np.concatenate([back * w for w in model["offset"]])
+    # Only the vectors of the batch move, so a step costs as much in a large vocabulary as in a small one.
+    touched, summed = index[first], np.add.reduceat(step[order], first, axis=0) / np.float32(n) ** 0.5
+    memory["embed"][touched] += summed * summed
+    model["embed"][touched] -= RATE * summed / np.sqrt(memory["embed"][touched] + 1e-6)
     for k, g in grad.items():
         g = g / np.float32(n) ** 0.5
         memory[k] += g * g
         model[k] -= RATE * g / np.sqrt(memory[k] + 1e-6)
 
 
-def _groups(kinds: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    cut = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]])) if len(kinds) else np.zeros(0, np.int64)
-    return kinds[cut].tolist(), np.split(order, cut[1:]) if len(cut) else []
-
-
-def log_probabilities(model: Model, bucket: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """Log-probability of each word given its neighbours."""
-    out = np.zeros(len(bucket))
-    for a in range(0, len(bucket), 1 << 15):
-        part = slice(a, a + (1 << 15))
-        kind, place = bucket[part] // PLACES, bucket[part] % PLACES
-        hidden = np.zeros((len(kind), WIDTH), np.float32)
-        for j in range(2 * SIDE):
-            hidden += (model["embed"] * model["offset"][j])[around[part, j]]
-        hidden = np.tanh(hidden)
-        z = hidden @ model["class_w"].T + model["class_b"]
+def log_probabilities(model: Model, kind: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Log-probability of each class given the rows around."""
+    out = np.zeros(len(kind))
+    for a in range(0, len(kind), 1 << 14):
+        part = slice(a, a + (1 << 14))
+        z = _hidden(model, around[part])[1] @ model["class_w"].T + model["class_b"]
         top = z.max(1)
-        got = z[np.arange(len(kind)), kind] - top - np.log(np.exp(z - top[:, None]).sum(1))
-        order = np.argsort(kind, kind="stable")
-        for c, own in zip(*_groups(kind[order], order), strict=True):
-            z = hidden[own] @ model["place_w"][c].T + model["place_b"][c]
-            top = z.max(1)
-            got[own] += z[np.arange(len(own)), place[own]] - top - np.log(np.exp(z - top[:, None]).sum(1))
-        out[part] = got
+        out[part] = z[np.arange(len(z)), kind[part]] - top - np.log(np.exp(z - top[:, None]).sum(1))
     return out
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> Model:
-    """Train on all texts; an empty corpus gives the initial parameters. One job per round.
-
-    Every round learns from all positions; a ``stride`` above 1 takes one of so many by hash of the words around.
-    """
-    spark = small_batches(docs).sparkSession
-    model = initial()
-    for r in range(rounds):
+def train(encoded: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """Train on all positions of all texts; without a word the parameters stay as they began. One job per round."""
+    spark = encoded.sparkSession
+    rows, classes = words.rows, words.classes
+    n_salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    model = initial(rows)
+    schema = "salt int, n long, v binary"
+    fields = pa.schema([("salt", pa.int32()), ("n", pa.int64()), ("v", pa.binary())])
+    for _ in range(rounds):
         held = spark.sparkContext.broadcast(flat(model))
 
-        def local(batches: Iterator[pa.RecordBatch], r: int = r, held=held) -> Iterator[pa.RecordBatch]:
-            own, memory, n = shaped(held.value.copy()), {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}, 0
-            kept: list[tuple[np.ndarray, np.ndarray]] = []
-            size = 0
+        def local(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            own = shaped(held.value.copy(), rows)
+            memory, n, parts, size = {k: np.zeros(s, np.float32) for k, s in shapes(rows).items()}, 0, [], 0
 
-            def step() -> None:
-                learn(own, np.concatenate([b for b, _ in kept]), np.concatenate([x for _, x in kept]), memory)
-                kept.clear()
+            def take() -> int:
+                row, around, _ = contexts(parts, rows)
+                for a in range(0, len(row), BATCH):
+                    learn(own, classes[row[a : a + BATCH]], around[a : a + BATCH], memory)
+                return len(row)
 
             for batch in batches:
-                for _, _, part, bounds in chunks(*text_buffer(batch.column(0))):
-                    bucket, around, _, place = contexts(part, bounds, stride > 1)
-                    if stride > 1:
-                        at = np.flatnonzero(place % np.uint64(stride) == np.uint64(r % stride))
-                        bucket, around = bucket[at], around[at]
-                    n += len(bucket)
-                    for a in range(0, len(bucket), BATCH):
-                        kept.append((bucket[a : a + BATCH], around[a : a + BATCH]))
-                        size += len(kept[-1][0])
-                        if size >= BATCH:
-                            step()
-                            size = 0
-            if kept:
-                step()
+                for part in batch.column(0).to_pylist():
+                    parts.append(part)
+                    size += len(part) // 2
+                    if size >= BATCH:
+                        n, parts, size = n + take(), [], 0
+            if size:
+                n += take()
             if n:
-                values = flat(own)
-                yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(len(values)), pa.int32()), "v": pa.array(values.astype(np.float64) * n, pa.float64()), "n": pa.array(np.full(len(values), n), pa.int64())})
-
-        parts = docs.select(quoted(text)).mapInArrow(local, "k int, v double, n long")
-        mean = parts.groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
-        if len(mean):
-            values = np.zeros(len(flat(model)))
-            values[mean["k"].to_numpy()] = mean["v"].to_numpy()
-            model = shaped(values)
+                yield pa.RecordBatch.from_pylist([{"salt": TaskContext.get().partitionId() % n_salts, "n": n, "v": (flat(own).astype(np.float64) * n).tobytes()}], fields)
+
+        def add(table: pa.Table) -> pa.Table:
+            total = 0.0
+            for chunk in table.to_batches():
+                for i in range(chunk.num_rows):
+                    total = total + np.frombuffer(chunk.column(2)[i].as_py())
+            return pa.Table.from_pylist([{"salt": table.column(0)[0].as_py(), "n": sum(table.column(1).to_pylist()), "v": total.tobytes()}], fields)
+
+        parts = encoded.select("words").mapInArrow(local, schema).groupBy("salt").applyInArrow(add, schema).collect()
+        if parts:
+            model = shaped(sum(np.frombuffer(r.v) for r in parts) / sum(r.n for r in parts), rows)
     return model
 
 
-def pseudo_likelihood(docs: DataFrame, model: Model, text: str = "text") -> Column:
-    """Struct of ``n_words`` and ``log_likelihood`` (0 for texts without words, and null)."""
-    held = docs.sparkSession.sparkContext.broadcast(flat(model))
+def score(encoded: DataFrame, words: Vocabulary, model: Model, names: Sequence[str] = ()) -> DataFrame:
+    """Columns ``k0``.. under ``names``, ``n_words`` and ``log_likelihood`` (0 for texts without words, and null).
 
-    @F.arrow_udf("struct<n_words:bigint,log_likelihood:double>")
-    def score(texts: pa.Array) -> pa.Array:
-        own = shaped(held.value)
-        n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for _, _, part, bounds in chunks(*text_buffer(texts)):
-            bucket, around, rows, _ = contexts(part, bounds)
-            summed = np.concatenate([[0.0], np.cumsum(log_probabilities(own, bucket, around))])
-            n.append(np.diff(rows))
-            total.append(summed[rows[1:]] - summed[rows[:-1]])
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(total), pa.float64())], ["n_words", "log_likelihood"])
-
-    return score(quoted(text))
+    A word that the corpus of the vocabulary lacks counts ``UNSEEN``.
+    """
+    held = encoded.sparkSession.sparkContext.broadcast(flat(model))
+    rows, classes = words.rows, words.classes
+
+    @F.arrow_udf("double")
+    def from_both_sides(parts: pa.Array) -> pa.Array:
+        own, out = shaped(held.value, rows), []
+        texts = parts.to_pylist()
+        at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and size < 1 << 18:
+                size += len(texts[stop])
+                stop += 1
+            row, around, bounds = contexts(texts[at:stop], rows)
+            summed = np.concatenate([[0.0], np.cumsum(log_probabilities(own, classes[row], around))])
+            out.append(summed[bounds[1:]] - summed[bounds[:-1]])
+            at = stop
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+
+    rare = encoded.select("rid", F.explode("rare").alias("h")).join(words.counts, "h", "left")
+    rare = rare.groupBy("rid").agg(F.sum(F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))).alias("of_rare"))
+    kept = [f"k{i}" for i in range(len(names))]
+    scored = encoded.select("rid", *kept, "n_words", (F.col("fixed") + from_both_sides(F.col("words"))).alias("ll")).join(rare, "rid", "left")
+    return scored.select(*[F.col(k).alias(c) for k, c in zip(kept, names, strict=True)], "n_words", (F.col("ll") + F.coalesce("of_rare", F.lit(0.0))).alias("log_likelihood"))
+
+
+def pseudo_likelihood(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """Columns ``keep`` (all but the text) of ``docs`` with ``n_words`` and ``log_likelihood`` under a model of all its texts.
+
+    Null and empty texts have no words and score 0. Null ids, repeated rows and equal texts are rows like any other:
+    each is learned from and scored. A column of ``docs`` named like a result is returned beside it.
+    """
+    words = vocabulary(docs, text)
+    names = [c for c in (docs.columns if keep is None else keep) if c != text]
+    encoded = encode(docs, words, text, names)
+    return score(encoded, words, train(encoded, words, rounds), names)

@@ -50,9 +50,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = docs.select("doc_id", masked_lm.pseudo_likelihood(docs, masked_lm.train(docs)).alias("s"))
-    return scored.select("doc_id", "s.n_words", "s.log_likelihood", (F.col("s.log_likelihood") / F.greatest("s.n_words", F.lit(1))).alias("per_word"))
+    scored = masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return scored.select("doc_id", "n_words", "log_likelihood", (F.col("log_likelihood") / F.greatest("n_words", F.lit(1))).alias("per_word"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from opinara.llm import masked_lm, mixing, quality, queries, topk, toxicity
+from opinara.llm import mixing, quality, queries, topk, toxicity
 from opinara.llm.bpe import Encoder, vocabulary_path
 from opinara.llm.buffers import text_buffer
 from tests.llm import cases
@@ -238,50 +238,3 @@ def test_toxicity_of_awkward_rows(spark):
     assert len(rows) == len(cases.rows()) and all(0 <= r.s <= 1 for r in rows)
     none = toxicity.train(cases.empty(spark), cases.empty(spark).withColumn("toxic", F.lit(1)))
     assert cases.empty(spark).select(toxicity.toxicity(docs, none)).count() == 0
-
-
-def test_masked_model_scores_are_the_sum_over_words(spark):
-    docs = cases.table(spark)
-    model = masked_lm.train(docs, rounds=1, stride=4)
-    rows = docs.select("text", masked_lm.pseudo_likelihood(docs, model).alias("s")).collect()
-    for r in rows:
-        w = cases.words(r.text)
-        assert r.s.n_words == len(w) and math.isfinite(r.s.log_likelihood) and r.s.log_likelihood <= 0
-        assert bool(w) == (r.s.log_likelihood < 0)
-    again = {r.text: r.s.log_likelihood for r in docs.repartition(1).select("text", masked_lm.pseudo_likelihood(docs, model).alias("s")).collect()}
-    assert all(again[r.text] == pytest.approx(r.s.log_likelihood, rel=1e-4) for r in rows)
-    assert masked_lm.flat(masked_lm.train(cases.empty(spark))).tolist() == masked_lm.flat(masked_lm.initial()).tolist()
-
-
-def test_masked_probabilities_sum_to_one():
-    model = masked_lm.initial()
-    around = np.full((masked_lm.BUCKETS, 2 * masked_lm.SIDE), 17)
-    total = np.exp(masked_lm.log_probabilities(model, np.arange(masked_lm.BUCKETS), around)).sum()
-    assert total == pytest.approx(1.0, abs=1e-4)
-
-
-def test_masked_gradient_lowers_the_loss():
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 50, 4000)
-    bucket, around = base, np.stack([base, base, base, base], 1)
-    model = masked_lm.initial()
-    memory = {k: np.zeros(s, np.float32) for k, s in masked_lm.SHAPES.items()}
-    before = masked_lm.log_probabilities(model, bucket, around).mean()
-    for _ in range(30):
-        masked_lm.learn(model, bucket, around, memory)
-    assert masked_lm.log_probabilities(model, bucket, around).mean() > before + 3
-
-
-def test_masked_training_helps_on_the_corpus(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    mean = lambda m: docs.select(masked_lm.pseudo_likelihood(docs, m).alias("s")).agg(F.sum("s.log_likelihood") / F.sum("s.n_words")).first()[0]
-    assert mean(masked_lm.train(docs)) > mean(masked_lm.initial()) + 0.5
-
-
-def test_masked_training_learns_from_every_position(spark):
-    data, offsets = text_buffer(pa.array([f"lone{i}" for i in range(40)], pa.string()))
-    bucket = masked_lm.contexts(data, offsets)[0]
-    model = masked_lm.train(spark.createDataFrame([(f"lone{i}",) for i in range(40)], "text string").coalesce(1))
-    bias = model["place_b"]
-    untouched = bias[np.bincount(bucket // masked_lm.PLACES, minlength=masked_lm.CLASSES) == 0]
-    assert (untouched == 0).all() and (bias.ravel()[bucket] > 0).all()
