@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from opinara.functions import responses as R
 from opinara.operators import lexicon as L
 from opinara.operators import joins as J
+from opinara.operators import lexicon_table as LT
+from opinara.session import scratch_path
+from opinara.sources import readers as RD
 
 from .base import Catalog, table
 
@@ -124,6 +127,56 @@ def lexicon(spark, sf):
     return L.lexicon_extract(table(spark, sf, "documents"), "text", RULES, ["doc_id"])
 
 
+# Words of the documents themselves as a lexicon of some size, written and read as JSON.
+TABLE_SEEDS = """s0 AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{5,7}}')) AS seed FROM {documents}),
+  seeds AS (SELECT seed, 'len' || length(seed) AS dimension, (length(seed) - 6)::INT AS polarity, length(seed) = 7 AND starts_with(seed, 'a') AS excluded FROM s0)"""
+
+
+def _seed_file(spark, sf) -> str:
+    """Dictionary of seeds by dimension and kind, in the layout that the reader of seed lexicons takes."""
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,7}"), F.lit(0))).alias("seed")).distinct()
+    kinds = words.select("seed", F.concat(F.lit("len"), F.length("seed").cast("string")).alias("dimension"), F.length("seed").alias("n"))
+    path = scratch_path(spark, "seeds")
+    lists = {
+        "positive_seeds": (F.col("n") == 7) & ~F.startswith("seed", F.lit("a")),
+        "negative_seeds": F.col("n") == 5,
+        "trigger_words": F.col("n") == 6,
+        "exclude_words": (F.col("n") == 7) & F.startswith("seed", F.lit("a")),
+    }
+    # One file per dimension: a dictionary of one entry. Lists hold distinct words of one length.
+    entries = kinds.groupBy("dimension").agg(*[F.collect_set(F.when(hit, F.col("seed"))).alias(name) for name, hit in lists.items()])
+    entry = F.to_json(F.create_map(F.col("dimension"), F.struct(*lists)))
+    entries.select(entry.alias("value"), "dimension").repartition("dimension").write.partitionBy("dimension").text(path)
+    return f"{path}/*"
+
+
+def _table_sql() -> str:
+    full = _lexicon_sql(RULES)
+    tail = full[full.index("      m AS (SELECT *,") : full.index(" AS dimension, span, (CASE")]
+    tail = tail[: tail.index("SELECT doc_id, match_id, CASE span")]
+    negated = full[full.index("coalesce(best.word, '') AS degree_word") : full.index(" FROM m WHERE span IN")]
+    reach = RULES.reach_after()
+    return f"""WITH {TABLE_SEEDS}, t AS (SELECT doc_id, text AS t, length(text) AS n FROM {{documents}}),
+      place AS (SELECT doc_id, t, unnest(range(1, n + 1)) AS s FROM t),
+      cand AS (SELECT doc_id, t, s, s + k AS e, substr(t, s, k) AS span FROM place CROSS JOIN (SELECT unnest([5, 6, 7]) AS k)),
+      occ AS (SELECT doc_id, t, list([{{{{'s': s, 'e': e}}}}] ORDER BY s, -e) AS l FROM cand JOIN seeds ON seed = span GROUP BY doc_id, t),
+      kept AS (SELECT doc_id, t, list_reduce(l, lambda a, h: CASE WHEN h[1].s >= a[-1].e THEN list_concat(a, h) ELSE a END) AS k FROM occ),
+      one AS (SELECT doc_id, t, unnest(k) AS h, (generate_subscripts(k, 1) - 1)::INT AS match_id FROM kept),
+      hits AS (SELECT doc_id, match_id, substr(t, h.s, h.e - h.s) AS span, substr(t, greatest(h.s - {L.WINDOW}, 1), least(h.s - 1, {L.WINDOW})) AS before, substr(t, h.e, {reach}) AS after FROM one),
+{tail}SELECT doc_id, match_id, dimension, span, polarity, {negated} FROM m JOIN seeds ON seed = span WHERE NOT excluded"""
+
+
+@C.add("lexicon_extract_table", _table_sql())
+def _(spark, sf):
+    seeds = RD.read_seed_lexicon(spark, _seed_file(spark, sf), "words")
+    weights = lambda words: spark.createDataFrame(list(words.items()), "word string, weight double")
+    listed = lambda words: spark.createDataFrame([(w,) for w in words], "word string")
+    return LT.extract_from_tables(
+        table(spark, sf, "documents"), "text", seeds, ["doc_id"], weights(RULES.degrees), weights(RULES.degrees_after),
+        listed(RULES.negations), listed(sorted(RULES.negation_exceptions, key=lambda w: (-len(w), w))),
+    )
+
+
 PHRASES = [
     L.Seed("is the", "state", 1),
     L.Seed("of the", "state", -1),

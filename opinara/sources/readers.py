@@ -72,6 +72,12 @@ def read_weight_lexicon(spark: SparkSession, path: str, field: str = "weight_loo
     return rows.filter(~F.col("word").startswith("_"))
 
 
+def read_word_list(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """JSON array of words at ``field`` (dots go deeper) to one column ``word``; a missing field gives no rows."""
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(F.explode(F.from_json(F.get_json_object("value", f"$.{field}"), "array<string>")).alias("word"))
+
+
 SEED_ENTRY = "struct<positive_seeds:array<string>,negative_seeds:array<string>,trigger_words:array<string>,exclude_words:array<string>,excluded_words:array<string>>"
 
 

@@ -1,9 +1,14 @@
 """Worked reviews for the default vocabularies. Differences from a reader's judgement are noted."""
 
+import json
+import random
+
 import pytest
 
 from opinara.lexicons import affective_rules, functional_rules
+from opinara.operators import lexicon_table as LT
 from opinara.operators.lexicon import Rules, Seed, lexicon_extract
+from opinara.sources import readers as RD
 
 
 def run(spark, text, rules):
@@ -92,3 +97,85 @@ def test_against_brute_force(spark):
         got.setdefault(r["doc_id"], []).append((r["dimension"], r["span"], r["polarity"], r["degree_word"], r["negated"]))
     for doc in docs.collect():
         assert got.get(doc["doc_id"], []) == brute(doc["text"], RULES)
+
+
+def plain_matches(text, rules):
+    """Leftmost-longest over the whole text by a dictionary of lengths, windows as in ``brute``."""
+    seeds = rules.by_text()
+    sizes, out, i, k = sorted({len(s) for s in seeds}, reverse=True), [], 0, 0
+    while text and i < len(text):
+        hit = next((text[i : i + n] for n in sizes if text[i : i + n] in seeds), None)
+        if hit is None:
+            i += 1
+            continue
+        before, after = text[max(0, i - 3) : i], text[i + len(hit) :]
+        masked = before + hit
+        for p in rules.negation_exceptions:
+            masked = masked.replace(p, "\u0003" * len(p))
+        words = [(v, len(w), w) for w, v in rules.degrees.items() if w in before]
+        words += [(v, len(w), w) for w, v in rules.degrees_after.items() if w in after[: 2 + len(w)]]
+        if not seeds[hit].excluded:
+            out.append((k, seeds[hit].dimension, hit, seeds[hit].polarity, max(words)[2] if words else "", any(w in masked[: len(before)] for w in rules.negations)))
+        i += len(hit)
+        k += 1
+    return out
+
+
+def seed_dictionary(seeds):
+    """The nested dictionary that the seed reader takes."""
+    kinds = {(1, False): "positive_seeds", (-1, False): "negative_seeds", (0, False): "trigger_words", (0, True): "exclude_words"}
+    out = {"_meta": {"note": "left out"}}
+    for s in seeds:
+        out.setdefault(s.dimension, {}).setdefault(kinds[s.polarity, s.excluded], []).append(s.text)
+    return json.dumps(out, ensure_ascii=False)
+
+
+def from_files(spark, tmp_path, rules, docs):
+    place = lambda name, body: (tmp_path / name).write_text(body, encoding="utf-8") and f"file://{tmp_path}/{name}"
+    seeds = RD.read_seed_lexicon(spark, place("seeds.json", seed_dictionary(rules.seeds)), "f")
+    before = RD.read_weight_lexicon(spark, place("degrees.json", json.dumps({"weight_lookup": {"_note": 1, **rules.degrees}})))
+    after = RD.read_weight_lexicon(spark, place("after.json", json.dumps({"weight_lookup": dict(rules.degrees_after)})))
+    words = place("negations.json", json.dumps({"negation_words": list(rules.negations), "exception_phrases": {"phrases": list(rules.negation_exceptions)}}))
+    found = LT.extract_from_tables(docs, "text", seeds, ["id", "match_id_"], before, after, RD.read_word_list(spark, words, "negation_words"), RD.read_word_list(spark, words, "exception_phrases.phrases"))
+    assert found.columns == ["id", "match_id_", "match_id", "dimension", "span", "polarity", "degree_word", "negated"]
+    out = {}
+    for r in found.collect():
+        out.setdefault(r[0], []).append(tuple(r[2:]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_tables_give_the_worked_rules(spark, tmp_path):
+    texts = ["桌子非常高级,做工有点粗糙,不轻薄,挺大气的,颜值很高", "板子很厚实,看起来沉稳大方,百搭好看,挺稳当的", "", None, "nothing", "不不错高级", "无论高级还行", "高级高级感很次"]
+    docs = spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "id int, match_id_ string, text string")
+    for rules in (affective_rules(), functional_rules()):
+        got = from_files(spark, tmp_path, rules, docs)
+        assert got == {i: plain_matches(t, rules) for i, t in enumerate(texts) if t and plain_matches(t, rules)}
+
+
+@pytest.mark.parametrize("shard", [4_000_000, 150_000])
+def test_a_hundred_thousand_seeds_from_json(spark, tmp_path, monkeypatch, shard):
+    monkeypatch.setattr(LT, "SHARD_CHARACTERS", shard)
+    rng = random.Random(6)
+    word = lambda k: "".join(rng.choices("abcdeé好差", k=k))
+    texts = {word(rng.randint(4, 9)) for _ in range(100_000)}
+    while len(texts) < 100_000:
+        texts.add(word(rng.randint(6, 9)))
+    seeds = [Seed(t, f"d{i % 7}", *rng.choice([(1, False), (-1, False), (0, False), (0, True)])) for i, t in enumerate(sorted(texts))]
+    rules = Rules(seeds, {"a": 1.0, "ab": 1.0, "好差a": 0.7}, {"e": 0.4, "bc": 0.4}, ["é", "差"], ["éa", "差好"])
+    rules = Rules(rules.seeds, rules.degrees, rules.degrees_after, rules.negations, sorted(rules.negation_exceptions, key=lambda w: (-len(w), w)))
+    docs = [word(rng.randint(0, 300)) for _ in range(60)] + [None, "", sorted(texts)[5], "z" * 50, word(20_000)]
+    frame = spark.createDataFrame([(i, "x", t) for i, t in enumerate(docs)], "id int, match_id_ string, text string").repartition(3)
+    want = {i: plain_matches(t, rules) for i, t in enumerate(docs) if t}
+    assert from_files(spark, tmp_path, rules, frame) == {i: v for i, v in want.items() if v}
+    assert sum(map(len, want.values())) > 1000
+
+
+def test_repeated_seeds_have_one_meaning(spark):
+    rows = [("ab", "y", 1, False), ("ab", "x", -1, False), ("ab", "x", 1, False), ("cd", "x", 1, False), ("cd", "z", 0, True), (None, "x", 1, False), ("", "x", 1, False)]
+    seeds = spark.createDataFrame(rows, LT.SEEDS)
+    assert {tuple(r) for r in LT.one_meaning(seeds).collect()} == {("ab", "x", 1, False), ("cd", "z", 0, True)}
+    docs = spark.createDataFrame([(1, "cdab"), (1, "cdab"), (2, None)], "id int, text string")
+    got = LT.extract_from_tables(docs, "text", seeds, ["id"]).collect()
+    assert [tuple(r) for r in got] == [(1, 1, "x", "ab", 1, "", False)] * 2
+    assert LT.extract_from_tables(docs, "text", seeds.limit(0), ["id"]).count() == 0
+    assert LT.extract_from_tables(docs.limit(0), "text", seeds, ["id"]).count() == 0
