@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, l2_normalize, vec_check
+from ..session import pin
 from .gram import sum_partials
-from .rows import stack_rows
 
-CENTROID_BLOCK_BYTES = 32 << 20
-FEW_CENTROIDS = 1024
+#: Vectors and centroids of a block, centroid blocks that a vector block meets in one place, rows of one result frame.
+VECTOR_BLOCK, CENTROID_BLOCK, COLUMN_BLOCKS, OUTPUT_ROWS = 1024, 512, 16, 1 << 16
 
 
 def centroids(df: DataFrame, vec: str, keys: Sequence[str], out: str = "centroid") -> DataFrame:
@@ -30,70 +30,77 @@ def centroids(df: DataFrame, vec: str, keys: Sequence[str], out: str = "centroid
     return mean.select(*keys, l2_normalize(vector_to_array("_mean")).alias(out))
 
 
-def _centroid_blocks(cents: DataFrame, keys: Sequence[str], vec: str) -> Iterator[list]:
-    """Centroid rows in blocks that fit the closure size bound; one block is held at a time."""
-    rows = cents.select(*keys, vec)
-    few = rows.limit(FEW_CENTROIDS + 1).collect()
-    source = few if len(few) <= FEW_CENTROIDS else rows.toLocalIterator()
-    block, used = [], 0
-    for row in source:
-        size = 8 * len(row[vec])
-        if block and used + size > CENTROID_BLOCK_BYTES:
-            yield block
-            block, used = [], 0
-        block.append(row)
-        used += size
-    if block:
-        yield block
+def _key_kinds(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"k{i} array<{df.schema[k].dataType.simpleString()}>" for i, k in enumerate(keys))
+
+
+def _packed(df: DataFrame, keys: Sequence[str], vec: str, size: int) -> DataFrame:
+    """Rows of at most ``size`` vectors: keys as arrays ``k0``.., ``m`` vectors as one binary, whatever their order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), size):
+                part = pdf.iloc[lo : lo + size]
+                row = {f"k{i}": [part[f"k{i}"].tolist()] for i in range(len(keys))}
+                yield pd.DataFrame(row | {"m": [len(part)], "body": [np.stack(part["v"].to_numpy()).astype(float).tobytes()]})
+
+    rows = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(vec).alias("v"))
+    return rows.mapInPandas(run, f"{_key_kinds(df, keys)}, m int, body binary")
+
+
+def _products(vectors: DataFrame, cents: DataFrame, id_col: str, vec: str, keys: Sequence[str], body: str, schema: str, values) -> DataFrame:
+    """Blocks of vectors against blocks of centroids; ``values`` turns two matrices into columns of results.
+
+    Both sides are tables of packed blocks that Spark joins, so neither passes the driver. Centroid blocks are dealt
+    to columns of at most ``COLUMN_BLOCKS`` and copied to every row of the deal, vector blocks to a row and copied to
+    every column: each pair meets once, and the vectors are read once. Where the centroids are few (one column), the
+    vectors stay where they are and Spark broadcasts the other side, by its own check of its size.
+    """
+    spark = vectors.sparkSession
+    # Equal blocks out of any layout: a block is filled within a partition.
+    right = pin(_packed(cents.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), keys, body, CENTROID_BLOCK))
+    columns = max(1, -(-right.count() // COLUMN_BLOCKS))
+    rows = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _packed(vectors, [id_col], vec, VECTOR_BLOCK).select(F.col("k0").alias("ids"), F.col("m").alias("m_v"), F.col("body").alias("v"), cut("body", rows).alias("r"))
+    left = left.withColumn("c", every(columns))
+    right = right.withColumn("c", cut("body", columns)).withColumn("r", every(rows))
+    met = left.join(right, ["r", "c"]).drop("r", "c")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                v, c = np.frombuffer(row["v"]).reshape(row["m_v"], -1), np.frombuffer(row["body"]).reshape(row["m"], -1)
+                unit, ids = _unit(v), np.asarray(row["ids"])
+                step = max(1, OUTPUT_ROWS // len(c))
+                for lo in range(0, len(v), step):
+                    part = slice(lo, lo + step)
+                    out = {id_col: np.repeat(ids[part], len(c))}
+                    out.update({k: np.tile(np.asarray(row[f"k{i}"], dtype=object), len(ids[part])) for i, k in enumerate(keys)})
+                    yield pd.DataFrame(out | {name: x.ravel() for name, x in values(unit[part], c).items()})
+
+    return met.mapInPandas(run, schema)
 
 
 def cross_concepts(vectors: DataFrame, cents: DataFrame, id_col: str, vec: str, keys: Sequence[str]) -> DataFrame:
-    """Cosine of every vector with every centroid: rows (id, keys.., similarity).
+    """Cosine of every vector with every centroid: rows (id, keys.., similarity). Either table may have any size.
 
-    Centroids travel in blocks of bounded size; each block is one matrix product
-    per Arrow batch. More centroids mean more blocks, so nothing grows unchecked.
+    Without a centroid there is no row; a zero vector is an error.
     """
     key_types = ", ".join(f"{k} {cents.schema[k].dataType.simpleString()}" for k in keys)
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, {key_types}, similarity double"
-    raw = vectors.select(id_col, F.col(vec).alias("_v"))
-    parts = []
-    for block in _centroid_blocks(cents, keys, "centroid"):
-        matrix = np.array([r["centroid"] for r in block], dtype=float)
-        names = {k: [r[k] for r in block] for k in keys}
-        parts.append(raw.mapInPandas(_similarity_task(matrix, names, id_col, list(keys)), schema))
-    return _stack(parts)
+    schema = f"{id_col} {vectors.schema[id_col].dataType.simpleString()}, {key_types}, similarity double"
+    return _products(vectors, cents, id_col, vec, keys, "centroid", schema, lambda v, c: {"similarity": v @ c.T})
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def _unit(v: np.ndarray) -> np.ndarray:
     """Rows scaled to unit length in double precision; a zero vector is an error."""
-    v = np.stack(vectors.to_numpy()).astype(float)
     n = np.linalg.norm(v, axis=1, keepdims=True)
     if (n == 0).any():
         raise ValueError("zero vector cannot be normalised")
     return v / n
 
 
-def _stack(parts: list[DataFrame]) -> DataFrame:
-    if not parts:
-        raise ValueError("no centroids given")
-    return stack_rows(parts)
-
-
-def _similarity_task(matrix: np.ndarray, names: dict, id_col: str, keys: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            sims = _unit(pdf["_v"]) @ matrix.T
-            out = {id_col: np.repeat(pdf[id_col].to_numpy(), len(matrix))}
-            out.update({k: np.tile(np.asarray(names[k], dtype=object), len(pdf)) for k in keys})
-            out["similarity"] = sims.ravel()
-            yield pd.DataFrame(out)
-
-    return run
-
-
 def concept_scores(
     vectors: DataFrame,
     cents: DataFrame,
@@ -104,39 +111,19 @@ def concept_scores(
     positive: str = "positive",
     negative: str = "negative",
 ) -> DataFrame:
-    """Rows (id, concept, sim_pos, sim_neg, score = sim_pos - sim_neg), no shuffle of the vectors."""
+    """Rows (id, concept, sim_pos, sim_neg, score = sim_pos - sim_neg) for concepts with both centroids."""
     side = lambda p: F.max(F.when(F.col(polarity) == p, F.col("centroid")))
     pairs = cents.groupBy(concept).agg(side(positive).alias("_pos"), side(negative).alias("_neg"))
     pairs = pairs.dropna(subset=["_pos", "_neg"]).select(concept, F.concat("_pos", "_neg").alias("_both"))
     ctype = cents.schema[concept].dataType.simpleString()
     id_type = vectors.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, {concept} {ctype}, sim_pos double, sim_neg double, score double"
-    raw = vectors.select(id_col, F.col(vec).alias("_v"))
-    parts = []
-    for block in _centroid_blocks(pairs, [concept], "_both"):
-        p, n = np.split(np.array([r["_both"] for r in block], dtype=float), 2, axis=1)
-        parts.append(raw.mapInPandas(_score_task(p, n, [r[concept] for r in block], id_col, concept), schema))
-    return _stack(parts)
 
+    def values(v: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+        pos, neg = (v @ side.T for side in np.split(c, 2, axis=1))
+        return {"sim_pos": pos, "sim_neg": neg, "score": pos - neg}
 
-def _score_task(pos: np.ndarray, neg: np.ndarray, names: list, id_col: str, concept: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            v = _unit(pdf["_v"])
-            sp, sn = v @ pos.T, v @ neg.T
-            yield pd.DataFrame(
-                {
-                    id_col: np.repeat(pdf[id_col].to_numpy(), len(names)),
-                    concept: np.tile(np.asarray(names, dtype=object), len(pdf)),
-                    "sim_pos": sp.ravel(),
-                    "sim_neg": sn.ravel(),
-                    "score": (sp - sn).ravel(),
-                }
-            )
-
-    return run
+    return _products(vectors, pairs, id_col, vec, [concept], "_both", schema, values)
 
 
 def progress(inventory: DataFrame, vectors: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
