@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .pairwise import pairwise_correlations
 from .quantiles import exact_quantiles
 
 
@@ -106,10 +107,10 @@ def corr_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], mirror: bool = F
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], complete: bool = False) -> DataFrame:
-    """Long correlation matrix; pairwise complete, or on the rows complete in all columns."""
+    """Long correlation matrix of any number of columns; pairwise complete, or on the rows complete in all columns."""
     if complete:
         df = df.dropna(subset=list(cols))
-    return corr_pairs(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]], mirror=True)
+    return pairwise_correlations(df, cols)
 
 
 def sample_sizes(df: DataFrame, col: str, thresholds: Sequence[int]) -> DataFrame:

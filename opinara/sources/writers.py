@@ -19,9 +19,15 @@ def write_table(
     writer.save(path)
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Append one batch of result rows to a checkpoint table."""
-    df.write.mode("append").parquet(path)
+def append_results(df: DataFrame, path: str, batch: int, column: str = "batch") -> None:
+    """Put one batch of result rows into a checkpoint table, as the partition ``column`` = ``batch``.
+
+    A batch owns its partition and replaces it whole: a batch that is run again leaves one copy of its rows, also
+    when it now has none, and other batches stay as they are.
+    """
+    if column in df.columns:
+        raise ValueError(f"the rows have a column {column} already")
+    df.write.mode("overwrite").parquet(f"{path}/{column}={int(batch)}")
 
 
 def run_metadata(sections: Mapping[str, DataFrame], settings: Mapping[str, object] | None = None) -> DataFrame:
