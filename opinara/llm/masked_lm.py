@@ -13,7 +13,7 @@ join, so words are told apart however rare they are.
 
 Texts are split, hashed and encoded once; rounds of training and scoring read the integer rows. In each round every
 task starts from the same parameters and learns by AdaGrad from every position of all its texts; parameters are then
-averaged, weighted by positions, in two steps.
+averaged, weighted by positions, in steps: of tasks, of groups of tasks, and of the few rows that reach the driver.
 """
 
 from __future__ import annotations
@@ -33,9 +33,11 @@ from opinara.session import pin
 
 CLASSES, WIDTH, SIDE = 64, 16, 2
 HEAD, ROWS, COMMON = 1 << 18, 1 << 14, 64
-ROUNDS, BATCH, RATE, SEED = 2, 8192, 0.1, 5
+ROUNDS, BATCH, RATE, SEED = 2, 4096, 0.1, 5
 #: Distinct words that a task holds before it hands their counts on; what a word counts that the corpus lacks.
 HELD, UNSEEN = 1 << 18, 0.5
+#: Groups in which the parameters of tasks are averaged, and in which those of groups are.
+SALTS, LAST_SALTS = 64, 4
 
 Model = dict[str, np.ndarray]
 
@@ -180,28 +182,42 @@ def contexts(parts: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _hidden(model: Model, around: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    near = [model["embed"][around[:, j]] for j in range(2 * SIDE)]
-    return near, np.tanh(sum(x * w for x, w in zip(near, model["offset"], strict=True)))
+    near = [model["embed"].take(around[:, j], axis=0) for j in range(2 * SIDE)]
+    hidden = near[0] * model["offset"][0]
+    for x, w in zip(near[1:], model["offset"][1:], strict=True):
+        hidden += x * w
+    return near, np.tanh(hidden, out=hidden)
+
+
+def _weights(model: Model, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the classes' scores and one over their sums, row by row."""
+    z = hidden @ model["class_w"].T
+    z += model["class_b"]
+    # A hidden state is within -1 and 1, so this bounds all scores; beyond it the largest is taken out first.
+    if np.abs(model["class_w"]).sum(1).max() + np.abs(model["class_b"]).max() > 80:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    return z, 1 / (z @ np.ones(CLASSES, np.float32))
 
 
 def learn(model: Model, kind: np.ndarray, around: np.ndarray, memory: Model) -> None:
     """One AdaGrad step on a batch of classes and the rows around them; ``memory`` sums squared gradients."""
     n = len(kind)
     near, hidden = _hidden(model, around)
-    p = hidden @ model["class_w"].T + model["class_b"]
-    p -= p.max(1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(n), kind] -= 1
-    back = (p @ model["class_w"]) * (1 - hidden**2)
-    grad = {"class_w": p.T @ hidden, "class_b": p.sum(0), "offset": np.stack([(x * back).sum(0) for x in near])}
-    index = around.T.ravel()
-    order = np.argsort(index.astype(np.uint16), kind="stable")
+    p, one = _weights(model, hidden)
+    # Probabilities are p * one; the own class's 1 is taken off the gradients, not off each row.
+    back = (p @ model["class_w"]) * one[:, None] - model["class_w"].take(kind, axis=0)
+    back *= 1 - hidden * hidden
+    own = np.stack([np.bincount(kind, h, CLASSES) for h in hidden.T], 1).astype(np.float32)
+    grad = {"class_w": p.T @ (hidden * one[:, None]) - own, "class_b": one @ p - np.bincount(kind, minlength=CLASSES).astype(np.float32)}
+    grad["offset"] = np.stack([np.einsum("ij,ij->j", x, back) for x in near])
+    index = around.T.ravel().astype(np.uint16)
+    order = np.argsort(index, kind="stable")
     index = index[order]
     first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    step = np.concatenate([back * w for w in model["offset"]])
+    step = np.concatenate([back * w for w in model["offset"]]).take(order, axis=0)
     # Only the vectors of the batch move, so a step costs as much in a large vocabulary as in a small one.
-    touched, summed = index[first], np.add.reduceat(step[order], first, axis=0) / np.float32(n) ** 0.5
+    touched, summed = index[first], np.add.reduceat(step, first, axis=0) / np.float32(n) ** 0.5
     memory["embed"][touched] += summed * summed
     model["embed"][touched] -= RATE * summed / np.sqrt(memory["embed"][touched] + 1e-6)
     for k, g in grad.items():
@@ -213,11 +229,10 @@ def learn(model: Model, kind: np.ndarray, around: np.ndarray, memory: Model) ->
 def log_probabilities(model: Model, kind: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Log-probability of each class given the rows around."""
     out = np.zeros(len(kind))
-    for a in range(0, len(kind), 1 << 14):
-        part = slice(a, a + (1 << 14))
-        z = _hidden(model, around[part])[1] @ model["class_w"].T + model["class_b"]
-        top = z.max(1)
-        out[part] = z[np.arange(len(z)), kind[part]] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    for a in range(0, len(kind), BATCH):
+        part = slice(a, a + BATCH)
+        p, one = _weights(model, _hidden(model, around[part])[1])
+        out[part] = np.log(p[np.arange(len(p)), kind[part]] * one)
     return out
 
 
@@ -225,7 +240,6 @@ def train(encoded: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Train on all positions of all texts; without a word the parameters stay as they began. One job per round."""
     spark = encoded.sparkSession
     rows, classes = words.rows, words.classes
-    n_salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     model = initial(rows)
     schema = "salt int, n long, v binary"
     fields = pa.schema([("salt", pa.int32()), ("n", pa.int64()), ("v", pa.binary())])
@@ -238,31 +252,32 @@ def train(encoded: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Model:
 
             def take() -> int:
                 row, around, _ = contexts(parts, rows)
-                for a in range(0, len(row), BATCH):
-                    learn(own, classes[row[a : a + BATCH]], around[a : a + BATCH], memory)
+                # Steps of equal size, so that none is small.
+                cuts = np.linspace(0, len(row), max(1, round(len(row) / BATCH)) + 1).astype(int).tolist()
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    learn(own, classes[row[a:b]], around[a:b], memory)
                 return len(row)
 
             for batch in batches:
                 for part in batch.column(0).to_pylist():
                     parts.append(part)
                     size += len(part) // 2
-                    if size >= BATCH:
+                    if size >= 16 * BATCH:
                         n, parts, size = n + take(), [], 0
             if size:
                 n += take()
             if n:
-                yield pa.RecordBatch.from_pylist([{"salt": TaskContext.get().partitionId() % n_salts, "n": n, "v": (flat(own).astype(np.float64) * n).tobytes()}], fields)
+                yield pa.RecordBatch.from_pylist([{"salt": TaskContext.get().partitionId() % SALTS, "n": n, "v": flat(own).tobytes()}], fields)
 
-        def add(table: pa.Table) -> pa.Table:
-            total = 0.0
-            for chunk in table.to_batches():
-                for i in range(chunk.num_rows):
-                    total = total + np.frombuffer(chunk.column(2)[i].as_py())
-            return pa.Table.from_pylist([{"salt": table.column(0)[0].as_py(), "n": sum(table.column(1).to_pylist()), "v": total.tobytes()}], fields)
+        def mean(table: pa.Table) -> pa.Table:
+            n = table.column("n").to_numpy()
+            total = sum(np.frombuffer(v.as_py(), np.float32) * float(k) for v, k in zip(table.column("v"), n, strict=True))
+            return pa.Table.from_pylist([{"salt": table.column("salt")[0].as_py() % LAST_SALTS, "n": int(n.sum()), "v": (total / n.sum()).astype(np.float32).tobytes()}], fields)
 
-        parts = encoded.select("words").mapInArrow(local, schema).groupBy("salt").applyInArrow(add, schema).collect()
+        parts = encoded.select("words").mapInArrow(local, schema).groupBy("salt").applyInArrow(mean, schema).groupBy("salt").applyInArrow(mean, schema).collect()
         if parts:
-            model = shaped(sum(np.frombuffer(r.v) for r in parts) / sum(r.n for r in parts), rows)
+            total = sum(r.n for r in parts)
+            model = shaped(sum(np.frombuffer(r.v, np.float32).astype(float) * (r.n / total) for r in parts), rows)
     return model
 
 
