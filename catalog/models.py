@@ -337,6 +337,21 @@ def _(spark, sf):
     return rounded(B.boot_se(exact_draws(spark, sf)))
 
 
+NORMAL_P = "(SELECT 2 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(abs(z) + i * 0.006, 2) / 2)) * 0.006 / 3 / sqrt(2 * pi()) FROM range(0, 2001) r(i))"
+
+
+@C.add(
+    "boot_normal_p",
+    f"""WITH {EXACT}, est AS (SELECT 'mean|spend' AS stat, avg(spend) AS estimate FROM rowsx UNION ALL SELECT 'beta|quantity', regr_slope(spend, quantity) FROM rowsx),
+    zs AS (SELECT stat, any_value(estimate) AS estimate, stddev_samp(value) AS boot_se, any_value(estimate) / stddev_samp(value) AS z FROM draws JOIN est USING (stat) GROUP BY stat)
+    SELECT stat, {rd('estimate', 'estimate')}, {rd('boot_se', 'boot_se')}, {rd('z', 'z_normal')}, {rd(NORMAL_P, 'p_normal')} FROM zs""",
+)
+def _(spark, sf):
+    d = table(spark, sf, "design").filter("spend IS NOT NULL AND quantity IS NOT NULL")
+    point = M.estimate(d, MEAN).unionByName(M.estimate(d, SLOPE))
+    return rounded(B.normal_p(point, B.boot_se(exact_draws(spark, sf))))
+
+
 @C.add(
     "jackknife_stats",
     f"""WITH t AS (SELECT count(*) AS n, sum(gap) AS s FROM {{design}} WHERE gap IS NOT NULL), j AS (SELECT n, (s - gap) / (n - 1) AS v FROM {{design}} CROSS JOIN t WHERE gap IS NOT NULL),

@@ -44,6 +44,13 @@ def _(spark, sf):
     return m.select("product_id", "comment_id", "degree_word", "degree_weight")
 
 
+@C.add("degree_weight_table", f"SELECT product_id, comment_id, degree_word, {WEIGHT_SQL} AS degree_weight FROM {{matches}}")
+def _(spark, sf):
+    lexicon = spark.createDataFrame(list(WEIGHTS.items()), "word string, weight double")
+    m = SC.with_degree_lexicon(table(spark, sf, "matches"), lexicon)
+    return m.select("product_id", "comment_id", "degree_word", "degree_weight")
+
+
 @C.add("final_value_signed", f"SELECT product_id, comment_id, {rd(AVAL, 'final_value')} FROM {{matches}}")
 def _(spark, sf):
     m = SC.with_final_value(table(spark, sf, "matches"), WEIGHTS, apply_negation=True)
