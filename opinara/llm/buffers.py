@@ -218,12 +218,13 @@ def quoted(name: str) -> Column:
 def rows_join(left: DataFrame, small: DataFrame, on: list[str], how: str, max_rows: int = 100_000) -> DataFrame:
     """Join to a stored table of statistics: broadcast when it has at most ``max_rows`` rows, else a shuffle join.
 
-    Keys match null to null. The result is the same either way.
+    Keys match null to null. The result is the same either way. Other columns of ``small`` must be new to ``left``.
     """
-    renamed = small.select(*[quoted(c).alias(f"{c}__key") if c in on else quoted(c) for c in small.columns])
+    keys = {c: fresh(left, f"{c}__key") for c in on}
+    renamed = small.select(*[quoted(c).alias(keys[c]) if c in on else quoted(c) for c in small.columns])
     side = F.broadcast(renamed) if small.limit(max_rows + 1).count() <= max_rows else renamed
     match = None
     for c in on:
-        same = quoted(c).eqNullSafe(quoted(f"{c}__key"))
+        same = quoted(c).eqNullSafe(quoted(keys[c]))
         match = same if match is None else match & same
-    return left.join(side, match, how).drop(*[f"{c}__key" for c in on])
+    return left.join(side, match, how).drop(*keys.values())

@@ -4,7 +4,7 @@ The mix is a whole number of blocks of ``BLOCK`` words. Highest quotients target
 sources, and a source's blocks to its shards by their sizes, never more than ``cap`` times what there is. Within a
 shard the documents stand in a seeded order; blocks are cut from that stream, all of them are taken
 quota // blocks times, and the seeded order's first quota % blocks once more. Documents stay whole but for the
-two ends of such a run. Shards hold about ``SHARD_WORDS`` words whatever the source's size, so a source with a
+two ends of such a run. Shards hold about ``SHARD_WORDS`` words, and ``SHARD_ROWS`` rows, whatever the source's size, so a source with a
 third of all rows is spread over many tasks.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from opinara.llm.buffers import count_words, fresh, head_words, quoted, rows_join, small_batches
 
-BLOCK, SHARD_WORDS, SEED = 32, 1 << 20, 17
+BLOCK, SHARD_WORDS, SHARD_ROWS, SEED = 32, 1 << 20, 1 << 16, 17
 WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
 
 
@@ -88,21 +88,22 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     out = {c: (names or {}).get(c, c) for c in ("size", "source_size", "target", "taken")}
     sized = docs.withColumn(out["size"], count_words(quoted(text)))
     kind = docs.schema[source].dataType
-    sums = sized.groupBy(quoted(source).alias("s")).agg(F.sum(out["size"]).alias("n")).collect()
+    sums = sized.groupBy(quoted(source).alias("s")).agg(F.sum(out["size"]).alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     sums.sort(key=lambda r: (r.s is None, r.s or ""))
     sizes = np.array([r.n for r in sums], np.int64)
     weight = np.array([weights[i % len(weights)] for i in range(len(sums))], float)
     goal = targets(sizes, weight, share * float(sizes.sum()), cap)
     blocks = -(-sizes // BLOCK)
     seats = apportion(goal, round(float(goal.sum()) / BLOCK), np.ceil(cap * blocks).astype(np.int64))
-    shards = np.maximum(1, -(-sizes // SHARD_WORDS))
-    source_key, shard, quota, held, start = (fresh(sized, c) for c in ("source_key", "shard", "quota", "shard_words", "start"))
-    fields = f"`{source_key}` {kind.simpleString()}, `{out['source_size']}` long, `{out['target']}` double, `{quota}` long, `n_shards__` long"
+    # Sources of many short or empty texts are cut by rows.
+    shards = np.maximum(np.maximum(1, -(-sizes // SHARD_WORDS)), [-(-r["rows"] // SHARD_ROWS) for r in sums] or 1)
+    source_key, shard, quota, held, start, n_shards = (fresh(sized, c) for c in ("source_key", "shard", "quota", "shard_words", "start", "n_shards"))
+    fields = f"`{source_key}` {kind.simpleString()}, `{out['source_size']}` long, `{out['target']}` double, `{quota}` long, `{n_shards}` long"
     rows = [(r.s, int(n), float(t), int(q), int(k)) for r, n, t, q, k in zip(sums, sizes, goal, seats, shards, strict=True)]
     by_source = spark.createDataFrame(rows, fields)
     order = F.xxhash64(quoted(doc_id), quoted(out["size"]), F.lit(seed))
     base = sized.drop(*[out[c] for c in ("source_size", "target", "taken") if out[c] in sized.columns]).withColumn(source_key, quoted(source))
-    base = rows_join(base, by_source, [source_key], "left").withColumn(shard, F.pmod(order, quoted("n_shards__")))
+    base = rows_join(base, by_source, [source_key], "left").withColumn(shard, F.pmod(order, quoted(n_shards)))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(shard)
@@ -119,7 +120,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     rest = quoted(quota) % n * BLOCK
     once_more = F.greatest(F.least(quoted(start) + size, rest) - F.least(quoted(start), rest), F.lit(0))
     whole = whole.withColumn(out["taken"], (F.floor(quoted(quota) / n) * size + once_more).cast("long"))
-    return whole.drop(source_key, shard, quota, held, start, "n_shards__")
+    return whole.drop(source_key, shard, quota, held, start, n_shards)
 
 
 def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -127,11 +127,13 @@ def bands(measured: DataFrame, lang: str = "lang", column: str = "quality") -> D
 def judged(measured: DataFrame, edges: DataFrame, lang: str = "lang", column: str = "quality", kept: str = "kept", failed: str = "base_failed") -> DataFrame:
     """Add ``base_failed`` and ``kept``. A language without a band (no text of it passes the base) keeps nothing."""
     q = F.col(column)
-    near = rows_join(measured, edges, [lang], "left")
-    inside = q["chars_per_token"].between(F.col("chars_per_token_low"), F.col("chars_per_token_high"))
-    inside &= (q["token_entropy"] >= F.col("token_entropy_low")) & (q["byte_fallback"] <= F.col("byte_fallback_high"))
+    names = {f"{m}_{e}": fresh(measured, f"{m}_{e}") for m in MEASURES for e in ("low", "high")}
+    near = rows_join(measured, edges.withColumnsRenamed({c: n for c, n in names.items() if c != n}), [lang], "left")
+    edge = {c: quoted(n) for c, n in names.items()}
+    inside = q["chars_per_token"].between(edge["chars_per_token_low"], edge["chars_per_token_high"])
+    inside &= (q["token_entropy"] >= edge["token_entropy_low"]) & (q["byte_fallback"] <= edge["byte_fallback_high"])
     out = near.withColumn(failed, base_failed(q)).withColumn(kept, ~base_failed(q) & F.coalesce(inside, F.lit(False)))
-    return out.drop(*[f"{m}_{e}" for m in MEASURES for e in ("low", "high")])
+    return out.drop(*names.values())
 
 
 def quality_filter(docs: DataFrame, store: str, lang: str = "lang", text: str = "text") -> DataFrame:

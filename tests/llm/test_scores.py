@@ -238,3 +238,30 @@ def test_toxicity_of_awkward_rows(spark):
     assert len(rows) == len(cases.rows()) and all(0 <= r.s <= 1 for r in rows)
     none = toxicity.train(cases.empty(spark), cases.empty(spark).withColumn("toxic", F.lit(1)))
     assert cases.empty(spark).select(toxicity.toxicity(docs, none)).count() == 0
+
+
+def test_helper_columns_give_way_to_names_of_the_input(spark, tmp_path, monkeypatch):
+    names = ["n_shards__", "n_shards", "source_key", "source_key__key", "shard", "shard__key", "quota", "shard_words", "start", "mix_size", "mix_words", "size", "taken"]
+    names += [f"{m}_{e}" for m in quality.MEASURES for e in ("low", "high")] + ["quality", "quality_of_text", "lang_of_text", "lang_of_text__key", "kept", "base_failed"]
+    plain = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 97}" for j in range(60 + i)), "en", ["a", "b", None][i % 3]) for i in range(40)], "doc_id long, text string, lang string, source string")
+    docs = plain.withColumns({c: F.lit(f"own {c}") for c in names})
+    kept = quality.quality_filter(docs, f"file://{tmp_path}/bands")
+    want = quality.quality_filter(plain, f"file://{tmp_path}/plain")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in want.collect())
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 5)
+    mixed, alone = mixing.mix(docs), mixing.mix(plain)
+    assert mixed.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in mixed.collect()) == sorted((r.doc_id, r.text) for r in alone.collect())
+    assert {r["shard__key"] for r in mixed.collect()} == {"own shard__key"}
+
+
+def test_sources_of_empty_texts_are_cut_into_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 50)
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.lit("a b c " * 30)).otherwise("").alias("text"), F.when(F.col("id") < 1100, "hot").otherwise("b").alias("source"))
+    seen = []
+    real = mixing.rows_join
+    monkeypatch.setattr(mixing, "rows_join", lambda left, small, on, how: seen.append((on, small)) or real(left, small, on, how))
+    got = mixing.plan(docs)
+    assert got.agg(F.sum("taken")).first()[0] > 0
+    on, dealt = seen[1]
+    assert dealt.filter("source_key = 'hot'").count() >= 20
