@@ -26,20 +26,79 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = tuple(LEAST)
 
 
-def byte_pieces(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of each whole text under the piece vocabulary, and how many of them are bytes."""
-    cache = process_cache("pieces")
-    if path not in cache:
+#: Segments that a worker remembers, by hash.
+MAX_SEGMENTS = 1_000_000
+_BLANK = np.arange(256) == 32
+#: The character that stands for a blank in the piece vocabulary, as UTF-8.
+_BLANK_PIECE = b"\xe2\x96\x81"
+
+
+class Pieces:
+    """Pieces of texts under the piece vocabulary, and how many of them are bytes.
+
+    No piece has a blank behind another character, so the pieces of a text are those of its segments, each a run of
+    blanks with the characters up to the next blank. Equal segments of a chunk are looked up once, and only unseen
+    ones are encoded. The library puts a blank ahead of a text; a segment gives one of its own for that. A text with
+    the character that stands for a blank goes to the library whole.
+    """
+
+    def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        pieces = SentencePieceProcessor(model_file=path)
-        cache[path] = pieces, np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())], bool)
-    pieces, is_byte = cache[path]
-    n, spelled = np.zeros(len(texts)), np.zeros(len(texts))
-    for i, text in enumerate(texts):
-        ids = np.array(pieces.encode(text), np.int64)
-        n[i], spelled[i] = len(ids), is_byte[ids].sum()
-    return n, spelled
+        self.model = SentencePieceProcessor(model_file=path)
+        self.is_byte = frozenset(i for i in range(self.model.get_piece_size()) if self.model.is_byte(i))
+        self.known: dict[int, tuple[int, int]] = {}
+
+    def _encoded(self, texts: list[str]) -> list[tuple[int, int]]:
+        return [(len(ids), sum(map(self.is_byte.__contains__, ids))) for ids in self.model.encode(texts, num_threads=1)]
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A row (pieces, bytes) for each text of a chunk."""
+        starts, ends, rows = spans(data, offsets, _BLANK)
+        body = data.tobytes()
+        out = np.zeros((len(offsets) - 1, 2))
+        if len(starts):
+            before = np.concatenate([[0], ends[:-1]])
+            first = rows[:-1][np.diff(rows) > 0]
+            # Ahead of its first word a text has the library's blank besides its own.
+            before[first] = offsets[:-1][np.diff(rows) > 0] - 1
+            lead = starts - before
+            keys = mix(span_hashes(data, starts, ends) ^ mix(lead.astype(U)))
+            each, at, back = np.unique(keys, return_index=True, return_inverse=True)
+            if len(self.known) > MAX_SEGMENTS:
+                self.known.clear()
+            get = self.known.get
+            found = [get(k) for k in each.tolist()]
+            new = [i for i, x in enumerate(found) if x is None]
+            spelled = [" " * int(lead[at[i]] - 1) + body[starts[at[i]] : ends[at[i]]].decode("utf-8", "replace") for i in new]
+            for i, x in zip(new, self._encoded(spelled), strict=True):
+                found[i] = self.known[int(each[i])] = x
+            summed = np.concatenate([np.zeros((1, 2)), np.cumsum(np.array(found, float)[back], axis=0)])
+            out = summed[rows[1:]] - summed[rows[:-1]]
+        last = np.where(np.diff(rows) > 0, np.append(ends, 0)[rows[1:] - 1], offsets[:-1])
+        for i in np.flatnonzero(offsets[1:] > last).tolist():
+            # Blanks at the end of a text, or nothing else in it.
+            blanks = " " * int(offsets[i + 1] - last[i])
+            if rows[i + 1] > rows[i]:
+                (n, b), (m, c) = self._encoded(["a" + blanks, "a"])
+                out[i] += n - m, b - c
+            else:
+                out[i] = self._encoded([blanks])[0]
+        place = body.find(_BLANK_PIECE)
+        while place >= 0:
+            i = int(np.searchsorted(offsets, place, side="right")) - 1
+            out[i] = self._encoded([body[offsets[i] : offsets[i + 1]].decode("utf-8", "replace")])[0]
+            place = body.find(_BLANK_PIECE, int(offsets[i + 1]))
+        return out
+
+
+def byte_pieces(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of each whole text of a chunk under the piece vocabulary, and how many of them are bytes."""
+    cache = process_cache("pieces")
+    if path not in cache:
+        cache[path] = Pieces(path)
+    found = cache[path].counts(data, offsets)
+    return found[:, 0], found[:, 1]
 
 
 def measure_chunk(data: np.ndarray, offsets: np.ndarray, bpe: str, piece: str) -> dict[str, np.ndarray]:
@@ -85,8 +144,7 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray, bpe: str, piece: str) -
         weight = np.bincount(pairs >> 32, count * np.log2(count), len(n))
         n_tokens[part] = n
         entropy[part] = np.log2(np.maximum(n, 1)) - weight / np.maximum(n, 1)
-    body = data.tobytes()
-    n_pieces, spelled = byte_pieces(piece, [body[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+    n_pieces, spelled = byte_pieces(piece, data, offsets)
     out["chars_per_token"] = np.diff(heads[offsets]) / np.maximum(n_tokens, 1)
     out["token_entropy"] = np.maximum(entropy, 0.0)
     out["byte_fallback"] = spelled / np.maximum(n_pieces, 1)

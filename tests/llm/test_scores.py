@@ -7,6 +7,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
@@ -265,3 +267,16 @@ def test_sources_of_empty_texts_are_cut_into_shards(spark, monkeypatch):
     assert got.agg(F.sum("taken")).first()[0] > 0
     on, dealt = seen[1]
     assert dealt.filter("source_key = 'hot'").count() >= 20
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from([" ", "  ", "   ", "the", " word", "\n", "\t ", "ᚠᛇᚻ", "▁", "日本語", "don't", "…", "<s>", "</s>", "<0x0A>", "​", "\xa0", "ﬁ", "é", "é", "x" * 70])), max_size=8).map("".join))
+def test_pieces_of_segments_are_those_of_the_text(text):
+    pieces = quality.Pieces(vocabulary_path("piece_bpe_32k.model")) if not hasattr(quality, "_p") else quality._p
+    quality._p = pieces
+    ids = pieces.model.encode(text)
+    own = [float(len(ids)), float(sum(map(pieces.model.is_byte, ids)))]
+    texts = [text, "", " ", text, "a"]
+    ends = [[float(len(x)), 0.0] for x in (pieces.model.encode(" "), pieces.model.encode("a"))]
+    for _ in range(2):
+        assert pieces.counts(*text_buffer(pa.array(texts, pa.string()))).tolist() == [own, [0.0, 0.0], ends[0], own, ends[1]]
