@@ -1,6 +1,9 @@
 """Satisfaction, distributions, correlations, quantiles and multiple testing."""
 
+from pyspark.sql import functions as F
+
 from opinara.operators import multiple_testing as MT
+from opinara.operators import sketches as K
 from opinara.operators import summary as SM
 from opinara.plans.satisfaction import OUTPUT as SAT_COLS
 from opinara.plans.satisfaction import product_satisfaction
@@ -171,3 +174,18 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return rounded(MT.fdr_by(table(spark, sf, "pvalues"), "p", ["family"]).select("item", "family", "p", "p_by"))
+
+
+@C.add(
+    "agg_distinct_comments",
+    """SELECT l_linenumber AS line, count(DISTINCT l_orderkey) AS n_comments, true AS sketch_close FROM {lineitem} GROUP BY l_linenumber""",
+)
+def _(spark, sf):
+    """Distinct comments by sketches of three batches that overlap, against the exact count (five standard errors)."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_linenumber").alias("line"), F.col("l_orderkey").alias("comment"))
+    part = F.pmod(F.xxhash64("comment"), F.lit(4))
+    batches = [K.distinct_sketches(rows.filter(part.isin(*own)), ["line"], "comment") for own in ([0, 1], [1, 2], [3, 0])]
+    guess = K.distinct_estimates(K.merged_sketches(batches[0].unionByName(batches[1]).unionByName(batches[2]), ["line"]), out="guess")
+    both = K.distinct_exact(rows, ["line"], "comment", "n_comments").join(guess, "line")
+    near = F.abs(F.col("guess") - F.col("n_comments")) <= 5 * 1.04 / 2 ** (K.LG_K / 2) * F.col("n_comments")
+    return both.select("line", "n_comments", near.alias("sketch_close"))

@@ -17,7 +17,7 @@ from ..operators.resampling import bca_ci, boot_p, boot_se, bootstrap, jackknife
 from ..operators.rows import stack_rows
 from ..operators.standardize import zscore
 from ..session import pin
-from ..sources.contracts import assert_positive, assert_unique, require_columns
+from ..sources.contracts import RidingChecks, assert_unique, require_columns
 
 
 @dataclass(frozen=True)
@@ -55,9 +55,12 @@ def prepare(
     Subsamples later keep these z-scores.
     """
     require_columns(master, [key, price, reviews], "product master")
-    master = pin(master)
+    # The checks of rows ride along with the one pass that writes the master; only the key column is read again.
+    checks = RidingChecks("master").positive(reviews)
+    master = pin(checks.attach(master))
+    checks.verify()
     assert_unique(master, [key])
-    logged = assert_positive(master, reviews).withColumns(
+    logged = master.withColumns(
         {"lnprice": log_plus(F.col(price)), "lnreviews": log_plus(F.col(reviews).cast("double"))}
     )
     return pin(zscore(logged, list(cols), ddof=ddof, on_constant="raise", names={c: f"{c}_s" for c in cols}))

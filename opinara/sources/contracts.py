@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -64,6 +65,45 @@ def assert_keys(df: DataFrame, expected: DataFrame, key: str, exact: bool = True
     return df
 
 
+class RidingChecks:
+    """Checks of single rows that ride along with the action that reads a table anyway, instead of jobs of their own.
+
+    ``attach`` returns the table to act on; after the action ``verify`` raises for every check that rows broke, with
+    their number. Checks on whole keys (uniqueness, expected keys) need rows to meet and stay jobs.
+    """
+
+    def __init__(self, name: str = "checks"):
+        self.observation = Observation(f"{name}-{uuid.uuid4().hex}")
+        self.rules: list[tuple[str, Column]] = []
+
+    def expect(self, message: str, holds: Column) -> RidingChecks:
+        """``holds`` must be true; null counts as broken."""
+        self.rules.append((message, ~F.coalesce(holds, F.lit(False))))
+        return self
+
+    def present(self, *cols: str) -> RidingChecks:
+        for c in cols:
+            self.expect(f"{c} must not be missing", F.col(c).isNotNull())
+        return self
+
+    def positive(self, *cols: str) -> RidingChecks:
+        for c in cols:
+            self.expect(f"{c} must be positive and nonmissing", F.col(c) > 0)
+        return self
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        counts = [F.count_if(broken).alias(f"broken_{i}") for i, (_, broken) in enumerate(self.rules)]
+        return df.observe(self.observation, F.count(F.lit(1)).alias("n_rows"), *counts)
+
+    def verify(self) -> int:
+        """Number of rows seen, if they keep all checks. Waits for the action."""
+        got = self.observation.get
+        broken = [f"{message} ({got[f'broken_{i}']} rows)" for i, (message, _) in enumerate(self.rules) if got[f"broken_{i}"]]
+        if broken:
+            raise ContractError("; ".join(broken))
+        return got["n_rows"]
+
+
 def null_report(df: DataFrame, cols: Sequence[str], key: str | None = None) -> DataFrame:
     """Null count per column in one pass; absent columns are flagged, the key's distinct count added."""
     present = [c for c in cols if c in df.columns]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.responses import checkpoint_rows, explode_matches
 from ..functions.scalars import DEFAULT_DEGREE_WEIGHT, ratio
 from ..operators.scoring import with_final_value
+from ..operators.sketches import distinct_estimates, distinct_sketches, merged_sketches
 from ..schemas import RAW_RESPONSES
 from .ledger import Ledger
 
@@ -60,6 +61,7 @@ def stream_scores(
     max_files: int | None = None,
     default: float = DEFAULT_DEGREE_WEIGHT,
     buckets: int = 16,
+    comment: str | None = None,
 ) -> None:
     """Append per-batch partial sums (key, code, sum_value, n_mentioning).
 
@@ -70,6 +72,10 @@ def stream_scores(
     smallest hash stays. Nothing is kept in a state store; ids lie on disk only.
     A batch writes sums and ids to folders of its own, so a replayed batch
     overwrites itself.
+
+    ``comment`` names the comment of a response, where a comment may come in
+    several responses: a sketch of the distinct comments with a mention is then
+    kept beside the sums (:func:`running_comments`).
     """
     stream = read_responses(spark, in_dir, schema, max_files)
     id_type = next(f.dataType.simpleString() for f in stream.schema.fields if f.name == "row_id")
@@ -79,13 +85,15 @@ def stream_scores(
         new = ledger.unseen(batch, batch_id)
         one = new.groupBy("row_id").agg(F.min_by(F.struct(*new.columns), F.xxhash64(*new.columns)).alias("r")).select("r.*")
         valid = checkpoint_rows(one, list(dims))
-        rows = explode_matches(valid, ["row_id", key])
+        rows = explode_matches(valid, ["row_id", key, *([comment] if comment else [])])
         values = with_final_value(rows, weights, apply_negation, default)
         per_comment = values.groupBy(key, "row_id", "dimension").agg(F.avg("final_value").alias("v"))
         part = per_comment.groupBy(key, "dimension").agg(
             F.sum("v").alias("sum_value"), F.count(F.lit(1)).alias("n_mentioning")
         )
         part.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        if comment:
+            distinct_sketches(values, [key, "dimension"], comment).write.mode("overwrite").parquet(f"{out_dir}_comments/batch_id={batch_id}")
         ledger.add(batch, batch_id)
 
     query = (
@@ -97,6 +105,12 @@ def stream_scores(
     query.awaitTermination()
 
 
+def running_comments(spark: SparkSession, out_dir: str, key: str = "product_id") -> DataFrame:
+    """Estimated distinct comments with a mention, by (key, dimension), from the sketches of all batches so far."""
+    parts = spark.read.parquet(f"{out_dir}_comments")
+    return distinct_estimates(merged_sketches(parts, [key, "dimension"]), out="n_comments")
+
+
 def _sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in ("sum_value", "n_mentioning")]
 

@@ -11,6 +11,7 @@ from catalog.texts import DIMS
 from opinara.operators import joins as J
 from opinara.operators import rows as RW
 from opinara.operators import scoring as SC
+from opinara.functions import responses as R
 from opinara.operators.lexicon import score_texts
 from opinara.session import scratch_path
 from opinara.sources import contracts as CT
@@ -123,3 +124,18 @@ def test_scan_is_pruned_and_pushed(spark):
 def test_scores_need_no_python_workers(spark):
     cells = SC.comment_cells(fmatches(spark, SF))
     assert "Python" not in plan(cells) and plan(cells).count("Exchange hashpartitioning") <= 2
+
+
+def test_comments_in_several_responses_count_once(spark):
+    src, out, ck = (scratch_path(spark, n) for n in ("src", "out", "ck"))
+    rows = table(spark, SF, "responses").select("row_id", "product_id", "text", "raw", "usage").withColumn("comment_id", F.col("row_id") % 40)
+    first, second = rows.filter("row_id < 90"), rows.filter("row_id >= 60")
+    first.write.parquet(src)
+    args = ({d: d for d in DIMS}, WEIGHTS, False, spark.read.parquet(src).schema)
+    ST.stream_scores(spark, src, out, ck, *args, comment="comment_id")
+    second.write.mode("append").parquet(src)
+    ST.stream_scores(spark, src, out, ck, *args, comment="comment_id")
+    got = {(r.product_id, r.dimension): r.n_comments for r in ST.running_comments(spark, out).collect()}
+    valid = R.explode_matches(R.checkpoint_rows(rows, DIMS), ["row_id", "product_id", "comment_id"])
+    want = {(r.product_id, r.dimension): r.n for r in valid.groupBy("product_id", "dimension").agg(F.count_distinct("comment_id").alias("n")).collect()}
+    assert got == want and max(want.values()) > 5
