@@ -179,3 +179,8 @@ def test_repeated_seeds_have_one_meaning(spark):
     assert [tuple(r) for r in got] == [(1, 1, "x", "ab", 1, "", False)] * 2
     assert LT.extract_from_tables(docs, "text", seeds.limit(0), ["id"]).count() == 0
     assert LT.extract_from_tables(docs.limit(0), "text", seeds, ["id"]).count() == 0
+
+
+def test_guidance_phrases(spark):
+    got = run(spark, "质量很好,带USB,看着不廉价,做工质量不差,地方不够", functional_rules())
+    assert [g[:3] for g in got] == [("材质做工", "质量很好", 1), ("操控智能", "带USB", 1), ("材质做工", "做工质量不差", 1), ("空间尺寸", "不够", -1)]
