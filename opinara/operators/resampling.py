@@ -60,7 +60,9 @@ def _indexed(df: DataFrame, cols: Sequence[str], order: Sequence[str], out: str)
 def hashed_moments(df: DataFrame, cols: Sequence[str], order: Sequence[str], reps: int, seed: int) -> DataFrame:
     """Moments (``by`` is the replicate) of the n-out-of-n bootstrap over the complete cases, drawn by hashes."""
     rows = _indexed(df, cols, order, "idx")
-    weighted = hashed_weights(df.sparkSession, rows.count(), reps, seed).join(rows, "idx")
+    # Spark takes the size of the draws for that of the few (replicate, chunk) pairs and would send them all to the
+    # driver for a broadcast; both sides stay partitioned by row instead.
+    weighted = hashed_weights(df.sparkSession, rows.count(), reps, seed).join(rows.hint("merge"), "idx")
     return moments(weighted.select("rep", "w", *cols), [list(cols)], weight="w", by="rep")
 
 

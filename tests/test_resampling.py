@@ -175,3 +175,10 @@ def test_tiny_and_empty_samples(spark):
     assert {r.value for r in B.bootstrap(one, M.Mean(("y",)), 3, 1, ["id"]).collect()} == {one.first().y}
     with pytest.raises(ValueError):
         B.bootstrap(one, STAT, 3, 1, ["id"], "other")
+
+
+def test_draws_by_hash_are_not_broadcast(spark):
+    rows = spark.createDataFrame(sample(500)[["id", "x", "y"]])
+    plan = B.hashed_moments(rows, ["x", "y"], ["id"], 4, 7)._jdf.queryExecution().executedPlan().toString()
+    # The draws are known by their row and replicate; the offsets of the dense index may be broadcast.
+    assert "SortMergeJoin [idx" in plan
