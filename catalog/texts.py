@@ -6,7 +6,7 @@ from opinara.functions import responses as R
 from opinara.operators import lexicon as L
 from opinara.operators import joins as J
 from opinara.operators import lexicon_table as LT
-from opinara.session import scratch_path
+from opinara.session import pin, scratch_path
 from opinara.sources import readers as RD
 
 from .base import Catalog, table
@@ -132,9 +132,14 @@ TABLE_SEEDS = """s0 AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{
   seeds AS (SELECT seed, 'len' || length(seed) AS dimension, (length(seed) - 6)::INT AS polarity, length(seed) = 7 AND starts_with(seed, 'a') AS excluded FROM s0)"""
 
 
+#: Words that the dictionaries of one part hold between them.
+SEED_WORDS = 65_536
+
+
 def _seed_file(spark, sf) -> str:
     """Dictionary of seeds by dimension and kind, in the layout that the reader of seed lexicons takes."""
     words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,7}"), F.lit(0))).alias("seed")).distinct()
+    words = pin(words)
     kinds = words.select("seed", F.concat(F.lit("len"), F.length("seed").cast("string")).alias("dimension"), F.length("seed").alias("n"))
     path = scratch_path(spark, "seeds")
     lists = {
@@ -143,11 +148,13 @@ def _seed_file(spark, sf) -> str:
         "trigger_words": F.col("n") == 6,
         "exclude_words": (F.col("n") == 7) & F.startswith("seed", F.lit("a")),
     }
-    # One file per dimension: a dictionary of one entry. Lists hold distinct words of one length.
-    entries = kinds.groupBy("dimension").agg(*[F.collect_set(F.when(hit, F.col("seed"))).alias(name) for name, hit in lists.items()])
+    # A file is a dictionary of one entry, and as many words as there are, none grows. Lists hold distinct words of one length.
+    parts = max(1, -(-words.count() // SEED_WORDS))
+    kinds = kinds.withColumn("part", F.pmod(F.xxhash64("seed"), F.lit(parts)))
+    entries = kinds.groupBy("dimension", "part").agg(*[F.collect_set(F.when(hit, F.col("seed"))).alias(name) for name, hit in lists.items()])
     entry = F.to_json(F.create_map(F.col("dimension"), F.struct(*lists)))
-    entries.select(entry.alias("value"), "dimension").repartition("dimension").write.partitionBy("dimension").text(path)
-    return f"{path}/*"
+    entries.select(entry.alias("value"), "dimension", "part").repartition("dimension", "part").write.partitionBy("dimension", "part").text(path)
+    return path
 
 
 def _table_sql() -> str:

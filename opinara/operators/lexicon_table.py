@@ -12,9 +12,12 @@ size, each with a scan of its own; the occurrences of a text then meet again by
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,11 @@ SHARD_CHARACTERS, MODIFIER_CHARACTERS = 4_000_000, 4_000_000
 
 SEEDS = "seed string, dimension string, polarity int, excluded boolean"
 _HIT = "struct<start:int,seed:string,dimension:string,polarity:int,excluded:boolean>"
+HIT_FIELDS = ["start", "seed", "dimension", "polarity", "excluded"]
+_HIT_TYPE = pa.struct(list(zip(HIT_FIELDS, (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_()))))
+
+#: Characters, or hits, of texts that a task holds as Python objects at once; rows that pass to Python together.
+HELD, BATCH = 1 << 20, 500
 
 
 def one_meaning(seeds: DataFrame) -> DataFrame:
@@ -44,12 +52,12 @@ def seed_shards(seeds: DataFrame) -> list[list[tuple]]:
     return [[(r.seed, r.dimension, r.polarity, r.excluded) for r in rows.filter(F.col("shard") == i).toLocalIterator()] for i in range(n)]
 
 
-def occurrences(automaton, text: str) -> list[tuple[int, int, tuple]]:
-    """(start, end, seed) of every occurrence of every seed."""
-    return [(end + 1 - len(seed[0]), end + 1, seed) for end, seed in automaton.iter(text)]
+def occurrences(automaton, text: str, sizes: Sequence[int]) -> list[tuple[int, int, int]]:
+    """(start, end, seed) of every occurrence of every seed; seeds are numbers."""
+    return [(end + 1 - sizes[seed], end + 1, seed) for end, seed in automaton.iter(text)]
 
 
-def leftmost_longest(found: Iterable[tuple[int, int, tuple]]) -> list[tuple[int, int, tuple]]:
+def leftmost_longest(found: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Occurrences that do not overlap: the first start wins, then the longest."""
     out, free = [], 0
     for hit in sorted(found, key=lambda h: (h[0], -h[1])):
@@ -59,37 +67,64 @@ def leftmost_longest(found: Iterable[tuple[int, int, tuple]]) -> list[tuple[int,
     return out
 
 
-_BUILT: dict[str, object] = {}
+_BUILT: dict[str, tuple] = {}
 
 
 def _automaton(token: str, shard: list[tuple]):
-    """The automaton of a shard, built once per worker process."""
+    """The automaton of a shard (None without seeds), lengths and Arrow columns of its seeds, built once per worker process."""
     if token not in _BUILT:
         import ahocorasick
 
-        built = ahocorasick.Automaton()
-        for seed in shard:
-            built.add_word(seed[0], seed)
+        built = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, seed in enumerate(shard):
+            built.add_word(seed[0], i)
         if shard:
             built.make_automaton()
+        columns = list(zip(*shard)) or [()] * 4
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.bool_())
         _BUILT.clear()
-        _BUILT[token] = built
+        _BUILT[token] = built if shard else None, [len(seed[0]) for seed in shard], [pa.array(c, k) for c, k in zip(columns, kinds)]
     return _BUILT[token]
 
 
+def _lists(lengths: Sequence[int], values: pa.Array) -> pa.Array:
+    """One list per length, of the values one after another."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), pa.int32()), values)
+
+
+def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
+
+
+def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose lengths add up to about ``HELD``, so that few hits at a time are Python objects."""
+    at, ends = 0, np.cumsum(lengths)
+    while at < len(lengths):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, side="right")))
+        yield at, stop
+        at = stop
+
+
 def _scanner(spark, shard: list[tuple], settle: bool):
     held, token = spark.sparkContext.broadcast(shard), uuid.uuid4().hex
 
     @F.arrow_udf(f"array<{_HIT}>")
     def scan(texts: pa.Array) -> pa.Array:
-        automaton = _automaton(token, held.value)
+        automaton, sizes, columns = _automaton(token, held.value)
         out = []
-        for text in texts.to_pylist():
-            found = occurrences(automaton, text) if text and held.value else []
-            found = leftmost_longest(found) if settle else found
-            out.append([{"start": a, "seed": s[0], "dimension": s[1], "polarity": s[2], "excluded": s[3]} for a, _, s in found])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("seed", pa.string()), ("dimension", pa.string()), ("polarity", pa.int32()), ("excluded", pa.bool_())]))
-        return pa.array(out, kind)
+        # A text has hardly more hits than characters.
+        for low, high in _slices(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)):
+            lengths, starts, seeds = [], array("i"), array("q")
+            for text in texts[low:high].to_pylist():
+                found = occurrences(automaton, text, sizes) if text and automaton is not None else []
+                found = leftmost_longest(found) if settle else found
+                lengths.append(len(found))
+                starts.extend(h[0] for h in found)
+                seeds.extend(h[2] for h in found)
+            own = pa.array(np.frombuffer(seeds, np.int64) if seeds else [], pa.int64())
+            start = pa.array(np.frombuffer(starts, np.int32) if starts else [], pa.int32())
+            out.append(_lists(lengths, pa.StructArray.from_arrays([start, *[c.take(own) for c in columns]], names=HIT_FIELDS)))
+        return _joined(out, pa.list_(_HIT_TYPE))
 
     return scan
 
@@ -112,13 +147,28 @@ def settled_hits(df: DataFrame, text: str, seeds: DataFrame, keep: Sequence[str]
     @F.arrow_udf(f"array<{_HIT}>")
     def settle(found: pa.Array) -> pa.Array:
         out = []
-        for own in found.to_pylist():
-            out.append([h for _, _, h in leftmost_longest((h["start"], h["start"] + len(h["seed"]), h) for h in own or [])])
-        return pa.array(out, found.type)
+        lengths = _lengths(found)
+        for low, high in _slices(lengths):
+            values = found[low:high].flatten()
+            starts = values.field("start").to_pylist()
+            ends = [a + n for a, n in zip(starts, pc.utf8_length(values.field("seed")).to_pylist())]
+            at, kept, sizes = 0, array("q"), []
+            for n in lengths[low:high].tolist():
+                stay = leftmost_longest(zip(starts[at : at + n], ends[at : at + n], range(at, at + n)))
+                kept.extend(h[2] for h in stay)
+                sizes.append(len(stay))
+                at += n
+            out.append(_lists(sizes, values.take(pa.array(np.frombuffer(kept, np.int64) if kept else [], pa.int64()))))
+        return _joined(out, pa.list_(_HIT_TYPE))
 
     return rows.join(grouped, "row", "left").withColumn("hits", settle("all")).drop("row", "all")
 
 
+def _lengths(lists: pa.Array) -> np.ndarray:
+    """Lengths of lists, 0 for null ones; ``flatten`` leaves those out too."""
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
 def _substrings(text: str, longest: int) -> set[str]:
     return {text[a:b] for a in range(len(text)) for b in range(a + 1, min(len(text), a + longest) + 1)}
 
@@ -189,16 +239,34 @@ def extract_from_tables(
     @F.arrow_udf(kind)
     def matches(texts: pa.Array, hits: pa.Array) -> pa.Array:
         own, out = held.value, []
-        for body, found in zip(texts.to_pylist(), hits.to_pylist()):
-            rows = []
-            for i, h in enumerate(found or []):
-                if not h["excluded"]:
-                    start, end = h["start"], h["start"] + len(h["seed"])
-                    before, after = body[max(0, start - WINDOW) : start], body[end : end + reach]
-                    rows.append({"match_id": i, "dimension": h["dimension"], "span": h["seed"], "polarity": h["polarity"], "degree_word": own.degree(before, after), "negated": own.negated(before, h["seed"])})
-            out.append(rows)
-        return pa.array(out, fields)
-
+        lengths = _lengths(hits)
+        for low, high in _slices(lengths):
+            values = hits[low:high].flatten()
+            starts = values.field("start").to_pylist()
+            spans, excluded = values.field("seed").to_pylist(), values.field("excluded").to_pylist()
+            at, sizes, kept, ids, words, negated = 0, [], array("q"), array("i"), [], []
+            for body, n in zip(texts[low:high].to_pylist(), lengths[low:high].tolist()):
+                before_row = len(kept)
+                for i in range(n):
+                    if not excluded[at + i]:
+                        span = spans[at + i]
+                        start, end = starts[at + i], starts[at + i] + len(span)
+                        before, after = body[max(0, start - WINDOW) : start], body[end : end + reach]
+                        kept.append(at + i)
+                        ids.append(i)
+                        words.append(own.degree(before, after))
+                        negated.append(own.negated(before, span))
+                sizes.append(len(kept) - before_row)
+                at += n
+            stay = values.take(pa.array(np.frombuffer(kept, np.int64) if kept else [], pa.int64()))
+            columns = [pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()), stay.field("dimension"), stay.field("seed"), stay.field("polarity"), pa.array(words, pa.string()), pa.array(negated, pa.bool_())]
+            out.append(_lists(sizes, pa.StructArray.from_arrays(columns, names=[f.name for f in fields.value_type])))
+        return _joined(out, fields)
+
+    # A text may have thousands of hits: few texts pass to Python together.
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
     found = settled_hits(df, text, seeds, keep).withColumn("found", matches("text", "hits").alias("found"))
     rows = found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.explode("found").alias("m"))
     return rows.select(*keep, "m.*")

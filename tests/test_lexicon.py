@@ -2,7 +2,9 @@
 
 import json
 import random
+import re
 
+import numpy as np
 import pytest
 
 from opinara.lexicons import affective_rules, functional_rules
@@ -184,3 +186,17 @@ def test_repeated_seeds_have_one_meaning(spark):
 def test_guidance_phrases(spark):
     got = run(spark, "质量很好,带USB,看着不廉价,做工质量不差,地方不够", functional_rules())
     assert [g[:3] for g in got] == [("材质做工", "质量很好", 1), ("操控智能", "带USB", 1), ("材质做工", "做工质量不差", 1), ("空间尺寸", "不够", -1)]
+
+
+def test_a_batch_of_many_hits_is_cut(spark):
+    """Few hits at a time are Python objects, whatever the rows of a batch; a text of more hits goes alone."""
+    cuts = list(LT._slices(np.full(60, 3 * LT.HELD // 7)))
+    assert [i for a, b in cuts for i in range(a, b)] == list(range(60)) and max(b - a for a, b in cuts) == 2
+    assert list(LT._slices(np.array([5 * LT.HELD, 1, 0]))) == [(0, 1), (1, 3)] and not list(LT._slices(np.zeros(0, int)))
+    seeds = spark.createDataFrame([("ab", "x", 1, False), ("cd", "y", 0, True)], LT.SEEDS)
+    docs = [(i, ("ab" * (i % 7) + "cd") * (i % 5) or None) for i in range(300)] + [(300, "abcd" * (LT.HELD // 3))]
+    want = [(i, k) for i, t in docs for k, m in enumerate(re.findall("ab|cd", t or "")) if m == "ab"]
+    found = LT.extract_from_tables(spark.createDataFrame(docs, "id int, text string"), "text", seeds, ["id"])
+    assert found.filter("span = 'ab' AND dimension = 'x' AND polarity = 1").select("id", "match_id").toPandas().sort_values(["id", "match_id"]).to_numpy().tolist() == [list(w) for w in want]
+    assert found.count() == len(want)
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= LT.BATCH
