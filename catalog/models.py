@@ -8,6 +8,7 @@ from opinara.operators import mediation as M
 from opinara.operators import regression as R
 from opinara.operators import resampling as B
 from opinara.operators import vectors as OV
+from opinara.operators.scoring import n_total
 from opinara.operators.stacks import evaluate_moments, replicate_sums
 from opinara.operators.standardize import zscore
 from opinara.operators.summary import group_mean_log
@@ -372,14 +373,20 @@ def _(spark, sf):
 # --- the product master and the inference plans (26 columns: numpy-checked in the tests) -----------------------------
 PCS = [f"z_pc{i}" for i in range(1, 8)]
 CONTROLS = ["lnprice", "lnreviews", "has_discount", "free_shipping", "ln_imperfection", "ln_brand_avg_price", "recency_inv"]
+LOGS = CONTROLS[:2]  # made by ``prepare``
 YS = ["y_favrate_only", "y_50_50", "y_30_70", "y_70_30", "y_sentiment_only"]
 DIMZ = [f"{d.lower()}_z" for d in [*ME, *MF]]
 S_ = lambda names: tuple(f"{n}_s" for n in names)
 ROLES = I.Roles(S_(PCS), "m_e_avg_s", "m_f_avg_s", "y_favrate_only_s", S_(CONTROLS))
 
 
+@shared("totals")
+def totals(spark, sf):
+    return pin(n_total(table(spark, sf, "reviews")))
+
+
 def master(spark, sf):
-    affective, functional = _scored(spark, sf, "E"), _scored(spark, sf, "F")
+    affective, functional = (_scored(spark, sf, family, totals(spark, sf)) for family in "EF")
     scores = affective.drop("n_total").join(functional, "product_id")
     pcs = OV.pca_scores(table(spark, sf, "vectors"), "vec_id", "embedding", 7).withColumnRenamed("vec_id", "product_id")
     sat = satisfaction(spark, sf)
@@ -398,7 +405,10 @@ def _(spark, sf):
 
 
 def prepared(spark, sf):
-    return I.prepare(master(spark, sf), [*YS, "m_e_avg", "m_f_avg", *PCS, *CONTROLS, *DIMZ])
+    """Columns of the master that models use; the others would be written twice."""
+    scored = [*YS, "m_e_avg", "m_f_avg", *PCS, *CONTROLS, *DIMZ]
+    used = ["product_id", "price", "n_reviews_total", "sentiment_z", *(c for c in scored if c not in LOGS)]
+    return I.prepare(master(spark, sf).select(*used), scored)
 
 
 @shared("complete")
@@ -449,7 +459,7 @@ FOCAL = {
 @shared("with_metrics")
 def with_metrics(spark, sf):
     extra = ["abs_density_s", "polarity_s", "intensity_s", "coverage_any_s", "polarity_pooled_s", "intensity_pooled_s"]
-    return pin(complete(spark, sf).join(metrics(spark, sf).select("product_id", *extra), "product_id", "left"))
+    return pin(complete(spark, sf).join(metrics(spark, sf, totals(spark, sf)).select("product_id", *extra), "product_id", "left"))
 
 
 @C.add("ols_model_specs")

@@ -122,9 +122,9 @@ def _(spark, sf):
     return rounded(wide(spark, sf, "F"))
 
 
-def _scored(spark, sf, family: str):
+def _scored(spark, sf, family: str, totals=None):
     valued, dims = (fmatches(spark, sf), MF) if family == "F" else (amatches(spark, sf), ME)
-    return P.family_scores(valued, SC.n_total(table(spark, sf, "reviews")), dims, family)
+    return P.family_scores(valued, totals or SC.n_total(table(spark, sf, "reviews")), dims, family)
 
 
 def _scored_sql(rows, src, dims, family) -> str:
@@ -271,8 +271,8 @@ def _(spark, sf):
     return rounded(metric_table(spark, sf))
 
 
-def metrics(spark, sf):
-    return P.complete_metrics(fmatches(spark, sf), SC.n_total(table(spark, sf, "reviews")), MF)
+def metrics(spark, sf, totals=None):
+    return P.complete_metrics(fmatches(spark, sf), totals or SC.n_total(table(spark, sf, "reviews")), MF)
 
 
 FINAL = {

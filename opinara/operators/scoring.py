@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.text import strip_ws
 
+#: Groups of a product's comments that different tasks may add up.
+SHARES = 8
+
 
 def with_degree_weight(
     df: DataFrame, weights: Mapping[str, float], word: str = "degree_word", default: float = S.DEFAULT_DEGREE_WEIGHT
@@ -114,6 +117,19 @@ def comment_cells(
     return matches.dropna(subset=keys).groupBy(*keys).agg(F.avg("final_value").alias("v"))
 
 
+def by_share(rows: DataFrame, key: str, comment: str) -> DataFrame:
+    """Rows shuffled by product and ``_share``, one of ``SHARES`` groups of a product's comments.
+
+    Nearly every comment has one row, so nothing is gained by adding up before the shuffle: it would only sort and
+    spill all rows. After it, comments are whole in a task, and sums of a product's comments shrink before they are
+    shuffled again; a product with very many rows is spread over as many tasks as it has shares.
+    """
+    share = F.pmod(F.xxhash64(comment), F.lit(SHARES)).cast("int")
+    # By number, because joined partitions would no longer fit in a task's memory.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("_share", share).repartition(n, key, "_share")
+
+
 def wide_scores(
     matches: DataFrame,
     totals: DataFrame,
@@ -124,7 +140,7 @@ def wide_scores(
 ) -> DataFrame:
     """Scores and coverages of all dimensions, every product of ``totals``, absent = 0.
 
-    Two shuffles: comment cells, then products. A cell already stands for one
+    Two shuffles: rows by share of a product, then products. A cell already stands for one
     comment, so counting cells is the distinct count and the pivot is a set of
     conditional sums in the same aggregate.
     """
@@ -132,7 +148,10 @@ def wide_scores(
     for d in dims:
         hit = F.col(dim) == d
         aggs += [F.sum(F.when(hit, F.col("v"))).alias(d), F.count_if(hit).alias(f"cov_{d}")]
-    per_product = comment_cells(matches, key, comment, dim).groupBy(key).agg(*aggs)
+    keys = [key, comment, dim]
+    rows = by_share(matches.dropna(subset=keys).select(*keys, "final_value"), key, comment)
+    cells = rows.groupBy(key, "_share", comment, dim).agg(F.avg("final_value").alias("v"))
+    per_product = cells.groupBy(key).agg(*aggs)
     wide = totals.join(per_product, key, "left")
     cols = [*dims, *[f"cov_{d}" for d in dims]]
     return wide.withColumns({c: F.coalesce(S.ratio(F.col(c), F.col("n_total")), F.lit(0.0)) for c in cols})
@@ -151,9 +170,9 @@ def product_profile(
     One scan and two shuffles for every measure: one row per comment holds the
     means of all dimensions, so distinct comments are a plain count.
     """
-    rows = matches.dropna(subset=[key, comment, dim])
+    rows = by_share(matches.dropna(subset=[key, comment, dim]).select(key, comment, dim, "final_value"), key, comment)
     means = [F.avg(F.when(F.col(dim) == d, F.col("final_value"))).alias(d) for d in dims]
-    comments = rows.groupBy(key, comment).agg(*means)
+    comments = rows.groupBy(key, "_share", comment).agg(*means)
     aggs = [F.count(F.lit(1)).alias("n_any")]
     for d in dims:
         aggs += [

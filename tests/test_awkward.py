@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from opinara.operators import scoring as SC
 from opinara.operators import regression as R
 from opinara.operators.multiple_testing import fdr
 from opinara.operators.quantiles import exact_quantiles
@@ -161,3 +162,23 @@ def test_thresholds_keep_rows_in_place(spark):
         want = {r.term: r for r in R.ols(frame.filter(f"k >= {cut}"), [R.Spec("m", "y", ("x",))]).collect()}
         for term, r in want.items():
             assert (got[cut, term].beta, got[cut, term].se, got[cut, term].n) == (pytest.approx(r.beta), pytest.approx(r.se), r.n)
+
+
+def test_comments_are_added_up_after_the_shuffle(spark):
+    """Rows of one product meet by shares of its comments, without a sum of nearly unique comments before."""
+    rows = [(i % 3 // 2, None if i % 50 == 0 else i // 2 % 90, "ab"[i % 2], float(i % 11)) for i in range(3000)]
+    matches = spark.createDataFrame([*rows, (None, 1, "a", 1.0), (2, None, "b", 1.0)], "product_id int, comment_id int, code string, final_value double")
+    totals = spark.createDataFrame([(0, 100), (1, 50), (2, 9)], "product_id int, n_total long")
+    got = SC.wide_scores(matches, totals, ["a", "b"])
+    assert "hashpartitioning(product_id#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", _share#" in plan
+    cells = {}
+    for p, k, d, v in rows:
+        if k is not None:
+            cells.setdefault((p, d), {}).setdefault(k, []).append(v)
+    for r in got.collect():
+        for d in "ab":
+            means = [sum(v) / len(v) for v in cells.get((r["product_id"], d), {}).values()]
+            assert r[d] == pytest.approx(sum(means) / r["n_total"]) and r[f"cov_{d}"] == pytest.approx(len(means) / r["n_total"])
+    profile = {r["product_id"]: r for r in SC.product_profile(matches, totals, ["a", "b"]).collect()}
+    for p in (0, 1, 2):
+        assert profile[p]["n_any"] == len({k for d in "ab" for k in cells.get((p, d), {})}) and profile[p]["a_h"] == len(cells.get((p, "a"), {}))
