@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pandas as pd
 
 from opinara.llm.buffers import U, chunks, expand, process_cache, span_hashes
 
@@ -35,8 +36,8 @@ class Classes:
         return np.array([3 * i + 1 not in starts for i in range(len(points))])
 
     def of(self, points: np.ndarray) -> np.ndarray:
-        pages = np.unique(points // PAGE)
-        for page in pages[~self.known[pages]].tolist():
+        seen = self.known[points // PAGE]
+        for page in np.unique(points[~seen] // PAGE).tolist():
             own = [c for c in range(page * PAGE, (page + 1) * PAGE) if not 0xD800 <= c < 0xE000]
             found = np.full(len(own), SPACE, np.uint8)
             for mate, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
@@ -101,6 +102,14 @@ def pretoken_starts(points: np.ndarray, bounds: np.ndarray, kind: np.ndarray) ->
     return np.flatnonzero(start)
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different hashes by their first place, these places, and the number of each hash's own; nothing is sorted."""
+    back, unique = pd.factorize(hashes)
+    at = np.empty(len(unique), np.int64)
+    at[back[::-1]] = np.arange(len(hashes) - 1, -1, -1)
+    return unique, at, back
+
+
 class Encoder:
     """Ids of texts under a byte-level BPE vocabulary (a ``tokenizers`` JSON file).
 
@@ -202,7 +211,7 @@ class Encoder:
         out = [np.zeros(0, np.int64)]
         for _, _, part, own in chunks(data, offsets):
             text, bounds, odd, starts, ends, hashes, rows = self.pretokens(part, own)
-            unique, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+            unique, at, back = distinct(hashes)
             size = np.full(len(unique), -1, np.int64)
             if self.known is not None and len(self.known[0]) and len(unique):
                 spot = np.minimum(np.searchsorted(self.known[0], unique), len(self.known[0]) - 1)
@@ -223,7 +232,7 @@ class Encoder:
         """Chunks of texts as (first row, ids of all texts, n + 1 offsets); ``end_id`` closes each text."""
         for row, _, part, own in chunks(data, offsets):
             text, bounds, odd, starts, ends, hashes, rows = self.pretokens(part, own)
-            unique, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+            unique, at, back = distinct(hashes)
             slots = self._slots(unique, text, starts[at], ends[at])[back] if len(unique) else np.zeros(0, np.int64)
             size = self.length[slots].astype(np.int64)
             total = np.concatenate([[0], np.cumsum(size)])

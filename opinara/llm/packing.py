@@ -20,6 +20,8 @@ from opinara.llm.bpe import encoder, vocabulary_path
 from opinara.llm.buffers import quoted, small_batches, text_buffer
 
 WINDOW, MAX_OPEN = 2048, 2048
+#: Pre-tokens that a worker remembers (about 200 bytes each); at fewer, the frequent ones are forgotten too often.
+REMEMBERED = 500_000
 #: A piece: document's id, its ids before the piece, the ids, all ids of the document.
 Piece = tuple[int | None, int, np.ndarray, int]
 
@@ -120,7 +122,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 1
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = encoder(path), Packer(window, max_open)
+        coder, packer = encoder(path, max_entries=REMEMBERED), Packer(window, max_open)
         base, count = TaskContext.get().partitionId() << 40, 0
         rows: list[tuple] = []
 

@@ -228,3 +228,12 @@ def test_level_is_the_least_sum_of_squares():
 def test_crc_matches_the_contract(spark):
     ids = np.array([1, 70_000, 2], "<u4").tobytes()
     assert spark.createDataFrame([(bytearray(ids),)], "ids binary").select(F.crc32("ids")).first()[0] == zlib.crc32(ids)
+
+
+def test_distinct_hashes():
+    from opinara.llm.bpe import distinct
+
+    hashes = np.array([9, 2**64 - 1, 9, 0, 2**64 - 1, 7], np.uint64)
+    unique, at, back = distinct(hashes)
+    assert unique.tolist() == [9, 2**64 - 1, 0, 7] and at.tolist() == [0, 1, 3, 5]
+    assert (unique[back] == hashes).all() and all(len(x) == 0 for x in distinct(hashes[:0]))
