@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.base import table
 from opinara.operators import mediation as M
 from opinara.operators import resampling as B
 from opinara.operators import splitting, stacks
@@ -182,3 +183,18 @@ def test_draws_by_hash_are_not_broadcast(spark):
     plan = B.hashed_moments(rows, ["x", "y"], ["id"], 4, 7)._jdf.queryExecution().executedPlan().toString()
     # The draws are known by their row and replicate; the offsets of the dense index may be broadcast.
     assert "SortMergeJoin [idx" in plan
+
+
+def test_the_design_is_joined_without_a_broadcast(spark, tmp_path):
+    spark.sql(
+        """SELECT id AS l_partkey, 1.0D AS l_quantity, 0.1D AS l_discount, 0.1D AS l_tax, 10000.0D * id AS l_extendedprice
+        FROM range(1, 5)"""
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql(
+        "SELECT id AS p_partkey, 'b' AS p_brand, cast(id AS int) AS p_size, 1000.0D AS p_retailprice FROM range(2, 7)"
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    rows = table(spark, str(tmp_path), "design")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # However few parts Spark sees in the files, they do not pass the driver.
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r.product_id, r.spend) for r in rows.collect()) == [(2, 2.0), (3, 3.0), (4, 4.0)]
