@@ -39,6 +39,16 @@ def _(spark, sf):
     return rounded(SM.sentiment_summary(table(spark, sf, "reviews"), "product_id", "sentiment_score"))
 
 
+def product_reviews(spark, sf):
+    """Reviews with the columns of their product.
+
+    A merge join leaves the rows of a product together and sorted, as the firsts by a struct need them: they are sorted
+    once, in small partitions, and the products do not pass the driver.
+    """
+    products = table(spark, sf, "products").hint("merge")
+    return table(spark, sf, "reviews").drop("brand", "price").join(products, "product_id")
+
+
 @C.add(
     "product_satisfaction",
     f"""WITH {FIRST}, {SENT}, base AS (SELECT p.product_id, p.brand, p.price, p.favorable_rate AS favorable_rate_raw,
@@ -53,9 +63,8 @@ def _(spark, sf):
       {rd('0.7 * sentiment_z + 0.3 * favrate_z', 'Y_70_30')}, n_reviews_total >= 20 AS included FROM z""",
 )
 def satisfaction(spark, sf):
-    reviews = table(spark, sf, "reviews").drop("brand", "price").join(table(spark, sf, "products"), "product_id")
     sat = product_satisfaction(
-        reviews,
+        product_reviews(spark, sf),
         table(spark, sf, "reviews"),
         order=ORDER,
         first_cols=["brand", "price", "favorable_rate"],

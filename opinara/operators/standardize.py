@@ -1,12 +1,13 @@
 """Standardisation against global statistics.
 
-The statistics are one row, attached as a scalar subquery: one partial/final
-aggregate over the table, then a projection. No unpartitioned window, no join.
+The statistics are one row, attached as a scalar subquery: partial/final
+aggregates over the table, then a projection. No unpartitioned window, no join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 ON_CONSTANT = ("zero", "zero_observed", "raise", "null")
 
 
+#: Columns of one aggregate: with more than 100 fields Spark no longer compiles it, and each row costs many times as much.
+BLOCK = 16
+
 # Rounding noise of a constant column stays below this share of its mean.
 NOISE = 1e-13
 
@@ -26,12 +30,26 @@ def _finite(c: str) -> str:
 
 
 def column_stats(df: DataFrame, cols: Sequence[str], ddof: int = 0) -> DataFrame:
-    """One row with ``stats`` = struct of mean m_i and sd s_i per column; s_i is null without variance."""
+    """One row with ``stats`` = struct of mean m_i and sd s_i per column; s_i is null without variance.
+
+    Many columns are taken in blocks, each a scan of its own columns.
+    """
     sd = "stddev_pop" if ddof == 0 else "stddev_samp"
-    rows = df.selectExpr(*[f"{_finite(c)} AS x{i}" for i, c in enumerate(cols)])
-    aggs = [a for i in range(len(cols)) for a in (F.expr(f"avg(x{i}) AS m{i}"), F.expr(f"{sd}(x{i}) AS d{i}"))]
-    fields = [f"m{i}, CASE WHEN d{i} > abs(m{i}) * {NOISE} THEN d{i} END AS s{i}" for i in range(len(cols))]
-    return rows.agg(*aggs).selectExpr(f"struct({', '.join(fields)}) AS stats")
+
+    def block(at: range) -> DataFrame:
+        rows = df.selectExpr(*[f"{_finite(cols[i])} AS x{i}" for i in at])
+        aggs = [a for i in at for a in (F.expr(f"avg(x{i}) AS m{i}"), F.expr(f"{sd}(x{i}) AS d{i}"))]
+        fields = [f"m{i}, CASE WHEN d{i} > abs(m{i}) * {NOISE} THEN d{i} END AS s{i}" for i in at]
+        return rows.agg(*aggs).selectExpr(f"struct({', '.join(fields)}) AS stats")
+
+    blocks = [range(lo, min(lo + BLOCK, len(cols))) for lo in range(0, len(cols), BLOCK)]
+    if len(blocks) < 2:
+        return block(range(len(cols)))
+    # A union, because Spark would merge aggregates of one table that stand side by side into one.
+    parts = [block(at).select(*[F.col(f"stats.{v}{i}") for i in at for v in "ms"]) for at in blocks]
+    firsts = [F.max(f"{v}{i}").alias(f"{v}{i}") for i in range(len(cols)) for v in "ms"]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).agg(*firsts)
+    return whole.select(F.struct(*[f"{v}{i}" for i in range(len(cols)) for v in "ms"]).alias("stats"))
 
 
 def zscore(

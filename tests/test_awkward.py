@@ -7,12 +7,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.summaries import product_reviews
 from opinara.operators import scoring as SC
 from opinara.operators import regression as R
 from opinara.operators.multiple_testing import fdr
 from opinara.operators.quantiles import exact_quantiles
 from opinara.operators.resampling import poisson_moments
 from opinara.operators.stacks import replicate_sums
+from opinara.operators.standardize import BLOCK, column_stats
 from opinara.operators.scoring import with_degree_lexicon, with_degree_weight
 from opinara.sources.readers import read_csv
 from opinara.sources.writers import write_table
@@ -182,3 +184,37 @@ def test_comments_are_added_up_after_the_shuffle(spark):
     profile = {r["product_id"]: r for r in SC.product_profile(matches, totals, ["a", "b"]).collect()}
     for p in (0, 1, 2):
         assert profile[p]["n_any"] == len({k for d in "ab" for k in cells.get((p, d), {})}) and profile[p]["a_h"] == len(cells.get((p, "a"), {}))
+
+
+def test_statistics_of_many_columns_are_taken_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    names = [f"v{i}" for i in range(2 * BLOCK + 3)]
+    x = rng.normal(3.0, 2.0, size=(40, len(names)))
+    x[::3, 1], x[4, BLOCK], x[:, BLOCK + 1], x[:, -1] = np.nan, np.inf, 0.1, np.nan
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=names))
+    stats = column_stats(rows, names, 1)
+    got = stats.first()["stats"]
+    for i in range(len(names)):
+        own = x[np.isfinite(x[:, i]), i]
+        if not len(own):
+            assert got[f"m{i}"] is None and got[f"s{i}"] is None
+            continue
+        assert got[f"m{i}"] == pytest.approx(own.mean())
+        assert got[f"s{i}"] is None if i == BLOCK + 1 else got[f"s{i}"] == pytest.approx(own.std(ddof=1))
+    plan = stats._jdf.queryExecution().optimizedPlan().toString()
+    # No aggregate has more columns than Spark compiles.
+    assert max(line.count("stddev_samp(") for line in plan.splitlines()) <= BLOCK
+
+
+def test_reviews_meet_their_products_without_a_broadcast(spark, tmp_path):
+    spark.sql(
+        """SELECT id % 3 AS l_partkey, id AS l_orderkey, 1 AS l_linenumber, 1L AS l_suppkey, 10.0D AS l_extendedprice, 0.1D AS l_discount,
+        0.05D AS l_tax, 1.0D AS l_quantity, 'A' AS l_returnflag, timestamp'2000-01-01' AS l_shipdate FROM range(9)"""
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql(
+        "SELECT id AS p_partkey, 'b' AS p_brand, cast(id AS int) AS p_size, 1000.0D AS p_retailprice FROM range(1, 4)"
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    rows = product_reviews(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(r.product_id for r in rows.collect()) == [1, 1, 1, 2, 2, 2]
