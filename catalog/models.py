@@ -17,7 +17,7 @@ from opinara.plans.master import build_master, derived_controls
 from opinara.session import pin
 
 from .base import ME, MF, Catalog, rd, rounded, table
-from .scoring import _scored, metrics
+from .scoring import _scored, both_profiles, metrics
 from .summaries import satisfaction
 
 C = Catalog()
@@ -385,8 +385,14 @@ def totals(spark, sf):
     return pin(n_total(table(spark, sf, "reviews")))
 
 
+@shared("profiles")
+def profiles(spark, sf):
+    """Read by the master and by the metrics, so the matches are shuffled once for them all."""
+    return both_profiles(spark, sf, totals(spark, sf))
+
+
 def master(spark, sf):
-    affective, functional = (_scored(spark, sf, family, totals(spark, sf)) for family in "EF")
+    affective, functional = (_scored(spark, sf, family, totals(spark, sf), profiles(spark, sf)) for family in "EF")
     scores = affective.drop("n_total").join(functional, "product_id")
     pcs = OV.pca_scores(table(spark, sf, "vectors"), "vec_id", "embedding", 7).withColumnRenamed("vec_id", "product_id")
     sat = satisfaction(spark, sf)
@@ -459,7 +465,7 @@ FOCAL = {
 @shared("with_metrics")
 def with_metrics(spark, sf):
     extra = ["abs_density_s", "polarity_s", "intensity_s", "coverage_any_s", "polarity_pooled_s", "intensity_pooled_s"]
-    return pin(complete(spark, sf).join(metrics(spark, sf, totals(spark, sf)).select("product_id", *extra), "product_id", "left"))
+    return pin(complete(spark, sf).join(metrics(spark, sf, totals(spark, sf), profiles(spark, sf)).select("product_id", *extra), "product_id", "left"))
 
 
 @C.add("ols_model_specs")

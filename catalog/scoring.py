@@ -7,6 +7,7 @@ from opinara.operators import scoring as SC
 from opinara.operators import joins as J
 from opinara.operators.standardize import zscore
 from opinara.plans import product_scores as P
+from opinara.session import pin
 
 from .base import A_DIMS, F_DIMS, ME, MF, WEIGHTS, Catalog, rd, rounded, table
 
@@ -122,9 +123,20 @@ def _(spark, sf):
     return rounded(wide(spark, sf, "F"))
 
 
-def _scored(spark, sf, family: str, totals=None):
+def _scored(spark, sf, family: str, totals=None, profile=None):
     valued, dims = (fmatches(spark, sf), MF) if family == "F" else (amatches(spark, sf), ME)
-    return P.family_scores(valued, totals or SC.n_total(table(spark, sf, "reviews")), dims, family)
+    return P.family_scores(valued, totals or SC.n_total(table(spark, sf, "reviews")), dims, family, profile=profile)
+
+
+def both_profiles(spark, sf, totals):
+    """Products with what the scores of both families and the functional metrics are made of, from one shuffle."""
+    m = table(spark, sf, "matches")
+    for letter, dim, dims in (("F", "fdim", F_DIMS), ("E", "adim", A_DIMS)):
+        valued = SC.with_final_value(m, WEIGHTS, apply_negation=letter == "E")
+        m = valued.withColumnRenamed("final_value", f"value_{letter}").withColumn(f"code_{letter}", S.map_label(F.col(dim), dims))
+    profile = SC.joint_profile(m, totals, {"F": ("code_F", "value_F", MF), "E": ("code_E", "value_E", ME)})
+    used = [*(f"{d}_{v}" for d in MF for v in ("sum", "abs", "h", "cells")), *(f"{d}_{v}" for d in ME for v in ("sum", "cells"))]
+    return pin(profile.select("product_id", "n_total", F.col("n_any_F").alias("n_any"), *used))
 
 
 def _scored_sql(rows, src, dims, family) -> str:
@@ -271,8 +283,8 @@ def _(spark, sf):
     return rounded(metric_table(spark, sf))
 
 
-def metrics(spark, sf, totals=None):
-    return P.complete_metrics(fmatches(spark, sf), totals or SC.n_total(table(spark, sf, "reviews")), MF)
+def metrics(spark, sf, totals=None, profile=None):
+    return P.complete_metrics(fmatches(spark, sf), totals or SC.n_total(table(spark, sf, "reviews")), MF, profile=profile)
 
 
 FINAL = {

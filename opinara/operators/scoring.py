@@ -6,6 +6,7 @@ product holding a large share of the rows does not end up in one task.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from ..functions.text import strip_ws
 
 #: Groups of a product's comments that different tasks may add up.
 SHARES = 8
+#: Rows of a task of :func:`joint_profile`: what it holds does not grow with the table.
+TASK_ROWS = 1 << 18
 
 
 def with_degree_weight(
@@ -117,7 +120,7 @@ def comment_cells(
     return matches.dropna(subset=keys).groupBy(*keys).agg(F.avg("final_value").alias("v"))
 
 
-def by_share(rows: DataFrame, key: str, comment: str) -> DataFrame:
+def by_share(rows: DataFrame, key: str, comment: str, partitions: int | None = None) -> DataFrame:
     """Rows shuffled by product and ``_share``, one of ``SHARES`` groups of a product's comments.
 
     Nearly every comment has one row, so nothing is gained by adding up before the shuffle: it would only sort and
@@ -126,7 +129,7 @@ def by_share(rows: DataFrame, key: str, comment: str) -> DataFrame:
     """
     share = F.pmod(F.xxhash64(comment), F.lit(SHARES)).cast("int")
     # By number, because joined partitions would no longer fit in a task's memory.
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.withColumn("_share", share).repartition(n, key, "_share")
 
 
@@ -184,6 +187,55 @@ def product_profile(
     return out.fillna(0, subset=[c for c in out.columns if c not in (key, "n_total")])
 
 
+def joint_profile(
+    matches: DataFrame,
+    totals: DataFrame,
+    families: Mapping[str, tuple[str, str, Sequence[str]]],
+    key: str = "product_id",
+    comment: str = "comment_id",
+) -> DataFrame:
+    """:func:`product_profile` of several families of dimensions of the same matches, from one shuffle of the rows.
+
+    ``families``: name to the columns of code and value and the codes, at most 63 and different between families. A
+    row takes part in the families whose code it has. Per family ``n_any_<name>``, per dimension besides ``<d>_sum``,
+    ``<d>_abs`` and ``<d>_h`` the comments that mention it, ``<d>_cells``. Select what is needed before writing: the
+    rest is then not computed. ``totals`` is read twice, so let it be pinned.
+    """
+    codes = [d for _, _, dims in families.values() for d in dims]
+    if len(set(codes)) < len(codes) or any(len(dims) > 63 for _, _, dims in families.values()):
+        raise ValueError("codes must differ between families, at most 63 in each")
+    known = functools.reduce(lambda a, b: a | b, [F.col(code).isNotNull() for code, _, _ in families.values()])
+    parts, means, aggs = [], [], []
+    for name, (code, value, dims) in families.items():
+        # A code becomes a bit: a comment's dimensions are one number, and an unlisted code is none of them.
+        bits = {d: F.lit(1 << i).cast("long") for i, d in enumerate(dims)}
+        bit = functools.reduce(lambda c, d: c.when(F.col(code) == d, bits[d]), dims[1:], F.when(F.col(code) == dims[0], bits[dims[0]]))
+        parts += [F.when(F.col(code).isNotNull(), bit.otherwise(F.lit(0).cast("long"))).alias(f"_bit_{name}"), F.col(value).alias(f"_value_{name}")]
+        means.append(F.bit_or(f"_bit_{name}").alias(f"_bits_{name}"))
+        aggs.append(F.count(f"_bits_{name}").alias(f"n_any_{name}"))
+        for d in dims:
+            means.append(F.avg(F.when(F.col(f"_bit_{name}") == bits[d], F.col(f"_value_{name}"))).alias(d))
+            aggs += [
+                F.coalesce(F.sum(d), F.lit(0.0)).alias(f"{d}_sum"),
+                F.coalesce(F.sum(F.abs(d)), F.lit(0.0)).alias(f"{d}_abs"),
+                F.count(d).alias(f"{d}_h"),
+                F.count_if(F.col(f"_bits_{name}").bitwiseAND(bits[d]) != 0).alias(f"{d}_cells"),
+            ]
+    least = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = -(-(totals.agg(F.sum("n_total")).first()[0] or 0) // TASK_ROWS)
+    rows = by_share(matches.dropna(subset=[key, comment]).filter(known).select(key, comment, *parts), key, comment, max(least, tasks))
+    per_product = rows.groupBy(key, "_share", comment).agg(*means).groupBy(key).agg(*aggs)
+    out = totals.join(per_product, key, "left")
+    return out.fillna(0, subset=[c for c in out.columns if c not in (key, "n_total")])
+
+
+def wide_of(profile: DataFrame, dims: Sequence[str], key: str = "product_id") -> DataFrame:
+    """The columns of :func:`wide_scores` out of a :func:`joint_profile`."""
+    ratio = lambda c: F.coalesce(S.ratio(F.col(c), F.col("n_total")), F.lit(0.0))
+    cols = [c for d in dims for c in (ratio(f"{d}_sum").alias(d), ratio(f"{d}_cells").alias(f"cov_{d}"))]
+    return profile.select(key, "n_total", *cols)
+
+
 def decompose(
     matches: DataFrame,
     totals: DataFrame,

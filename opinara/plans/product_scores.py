@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DEFAULT_DEGREE_WEIGHT, row_mean, row_nonnull
 from ..operators.joins import full_outer
-from ..operators.scoring import map_codes, product_profile, wide_scores, with_final_value
+from ..operators.scoring import map_codes, product_profile, wide_of, wide_scores, with_final_value
 from ..operators.standardize import zscore
 from ..session import pin
 
@@ -29,14 +29,21 @@ def valued_matches(
 
 
 def family_scores(
-    valued: DataFrame, totals: DataFrame, codes: Sequence[str], letter: str, key: str = "product_id", comment: str = "comment_id"
+    valued: DataFrame,
+    totals: DataFrame,
+    codes: Sequence[str],
+    letter: str,
+    key: str = "product_id",
+    comment: str = "comment_id",
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Wide scores, coverages, population z-scores and the two family composites.
 
     The product table is pinned before standardising: the global statistics are
     then a scan of that small table, not a second aggregation of the matches.
+    A pinned ``joint_profile`` of these matches takes the place of a shuffle of their own.
     """
-    wide = pin(wide_scores(valued, totals, codes, key, comment))
+    wide = pin(wide_scores(valued, totals, codes, key, comment)) if profile is None else wide_of(profile, codes, key)
     z = zscore(wide, codes, ddof=0, on_constant="zero")
     return z.withColumns(
         {
@@ -52,15 +59,22 @@ def combined_scores(affective: DataFrame, functional: DataFrame, key: str = "pro
 
 
 def complete_metrics(
-    valued: DataFrame, totals: DataFrame, codes: Sequence[str], key: str = "product_id", comment: str = "comment_id", ddof: int = 1
+    valued: DataFrame,
+    totals: DataFrame,
+    codes: Sequence[str],
+    key: str = "product_id",
+    comment: str = "comment_id",
+    ddof: int = 1,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Strict decomposition of one family: frequency, polarity and intensity apart from density.
 
     Polarity and intensity stay null where a product has no match in a dimension,
     and balanced means skip those dimensions. Columns ending in ``_s`` are the
-    final measures, standardised where observed.
+    final measures, standardised where observed. ``profile`` as in
+    :func:`family_scores`, with ``n_any`` of this family.
     """
-    profile = product_profile(valued, totals, codes, key, comment)
+    profile = product_profile(valued, totals, codes, key, comment) if profile is None else profile
     blocks = []
     for c in codes:
         blocks += [
