@@ -465,7 +465,8 @@ FOCAL = {
 @shared("with_metrics")
 def with_metrics(spark, sf):
     extra = ["abs_density_s", "polarity_s", "intensity_s", "coverage_any_s", "polarity_pooled_s", "intensity_pooled_s"]
-    return pin(complete(spark, sf).join(metrics(spark, sf, totals(spark, sf), profiles(spark, sf)).select("product_id", *extra), "product_id", "left"))
+    measures = metrics(spark, sf, totals(spark, sf), profiles(spark, sf), by_dimension=False).select("product_id", *extra)
+    return pin(complete(spark, sf).join(measures.hint("merge"), "product_id", "left"))
 
 
 @C.add("ols_model_specs")

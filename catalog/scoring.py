@@ -283,8 +283,9 @@ def _(spark, sf):
     return rounded(metric_table(spark, sf))
 
 
-def metrics(spark, sf, totals=None, profile=None):
-    return P.complete_metrics(fmatches(spark, sf), totals or SC.n_total(table(spark, sf, "reviews")), MF, profile=profile)
+def metrics(spark, sf, totals=None, profile=None, by_dimension=True):
+    totals = totals or SC.n_total(table(spark, sf, "reviews"))
+    return P.complete_metrics(fmatches(spark, sf), totals, MF, profile=profile, by_dimension=by_dimension)
 
 
 FINAL = {

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.text import strip_ws
 
-#: Groups of a product's comments that different tasks may add up.
-SHARES = 8
+#: Reviews of a product that one task adds up; the comments of a product with more are dealt to several.
+SHARE_ROWS = 1 << 16
 #: Rows of a task of :func:`joint_profile`: what it holds does not grow with the table.
 TASK_ROWS = 1 << 18
 
@@ -120,17 +120,22 @@ def comment_cells(
     return matches.dropna(subset=keys).groupBy(*keys).agg(F.avg("final_value").alias("v"))
 
 
-def by_share(rows: DataFrame, key: str, comment: str, partitions: int | None = None) -> DataFrame:
-    """Rows shuffled by product and ``_share``, one of ``SHARES`` groups of a product's comments.
+def by_share(rows: DataFrame, totals: DataFrame, key: str, comment: str, partitions: int | None = None) -> DataFrame:
+    """Rows shuffled by product and ``_share``, a group of a product's comments.
 
     Nearly every comment has one row, so nothing is gained by adding up before the shuffle: it would only sort and
     spill all rows. After it, comments are whole in a task, and sums of a product's comments shrink before they are
-    shuffled again; a product with very many rows is spread over as many tasks as it has shares.
+    shuffled again: to one row a product, as most have a single share. Only products with more than ``SHARE_ROWS``
+    reviews have more and are spread over as many tasks; there are at most ``1 / SHARE_ROWS`` as many as reviews, so
+    their list is broadcast.
     """
-    share = F.pmod(F.xxhash64(comment), F.lit(SHARES)).cast("int")
+    shares = F.ceil(F.max("n_total") / F.lit(SHARE_ROWS)).alias("_shares")
+    hot = totals.filter(F.col("n_total") > SHARE_ROWS).groupBy(F.col(key).alias("_hot")).agg(shares)
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    share = F.when(F.col("_shares").isNotNull(), F.pmod(F.xxhash64(comment), F.col("_shares"))).otherwise(F.lit(0))
     # By number, because joined partitions would no longer fit in a task's memory.
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.withColumn("_share", share).repartition(n, key, "_share")
+    return dealt.select(*rows.columns, share.cast("int").alias("_share")).repartition(n, key, "_share")
 
 
 def wide_scores(
@@ -152,7 +157,7 @@ def wide_scores(
         hit = F.col(dim) == d
         aggs += [F.sum(F.when(hit, F.col("v"))).alias(d), F.count_if(hit).alias(f"cov_{d}")]
     keys = [key, comment, dim]
-    rows = by_share(matches.dropna(subset=keys).select(*keys, "final_value"), key, comment)
+    rows = by_share(matches.dropna(subset=keys).select(*keys, "final_value"), totals, key, comment)
     cells = rows.groupBy(key, "_share", comment, dim).agg(F.avg("final_value").alias("v"))
     per_product = cells.groupBy(key).agg(*aggs)
     wide = totals.join(per_product, key, "left")
@@ -173,7 +178,7 @@ def product_profile(
     One scan and two shuffles for every measure: one row per comment holds the
     means of all dimensions, so distinct comments are a plain count.
     """
-    rows = by_share(matches.dropna(subset=[key, comment, dim]).select(key, comment, dim, "final_value"), key, comment)
+    rows = by_share(matches.dropna(subset=[key, comment, dim]).select(key, comment, dim, "final_value"), totals, key, comment)
     means = [F.avg(F.when(F.col(dim) == d, F.col("final_value"))).alias(d) for d in dims]
     comments = rows.groupBy(key, "_share", comment).agg(*means)
     aggs = [F.count(F.lit(1)).alias("n_any")]
@@ -199,7 +204,7 @@ def joint_profile(
     ``families``: name to the columns of code and value and the codes, at most 63 and different between families. A
     row takes part in the families whose code it has. Per family ``n_any_<name>``, per dimension besides ``<d>_sum``,
     ``<d>_abs`` and ``<d>_h`` the comments that mention it, ``<d>_cells``. Select what is needed before writing: the
-    rest is then not computed. ``totals`` is read twice, so let it be pinned.
+    rest is then not computed. ``totals`` is read three times, so let it be pinned.
     """
     codes = [d for _, _, dims in families.values() for d in dims]
     if len(set(codes)) < len(codes) or any(len(dims) > 63 for _, _, dims in families.values()):
@@ -223,7 +228,7 @@ def joint_profile(
             ]
     least = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = -(-(totals.agg(F.sum("n_total")).first()[0] or 0) // TASK_ROWS)
-    rows = by_share(matches.dropna(subset=[key, comment]).filter(known).select(key, comment, *parts), key, comment, max(least, tasks))
+    rows = by_share(matches.dropna(subset=[key, comment]).filter(known).select(key, comment, *parts), totals, key, comment, max(least, tasks))
     per_product = rows.groupBy(key, "_share", comment).agg(*means).groupBy(key).agg(*aggs)
     out = totals.join(per_product, key, "left")
     return out.fillna(0, subset=[c for c in out.columns if c not in (key, "n_total")])

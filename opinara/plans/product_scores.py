@@ -66,13 +66,15 @@ def complete_metrics(
     comment: str = "comment_id",
     ddof: int = 1,
     profile: DataFrame | None = None,
+    by_dimension: bool = True,
 ) -> DataFrame:
     """Strict decomposition of one family: frequency, polarity and intensity apart from density.
 
     Polarity and intensity stay null where a product has no match in a dimension,
     and balanced means skip those dimensions. Columns ending in ``_s`` are the
     final measures, standardised where observed. ``profile`` as in
-    :func:`family_scores`, with ``n_any`` of this family.
+    :func:`family_scores`, with ``n_any`` of this family. Without ``by_dimension`` the columns of single dimensions
+    are made but not written again.
     """
     profile = product_profile(valued, totals, codes, key, comment) if profile is None else profile
     blocks = []
@@ -114,5 +116,5 @@ def complete_metrics(
         "intensity_pooled": "intensity_pooled_s",
         "match_frequency": "match_frequency_s",
     }
-    keep = [key, "n_total", "n_any", "pooled_h", "signed_match_density", "n_dimensions_observed", *cells, *final]
+    keep = [key, "n_total", "n_any", "pooled_h", "signed_match_density", "n_dimensions_observed", *(cells if by_dimension else ()), *final]
     return zscore(pin(z.select(*keep)), list(final), ddof=ddof, on_constant="zero_observed", names=final)

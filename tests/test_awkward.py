@@ -16,6 +16,7 @@ from opinara.operators.resampling import poisson_moments
 from opinara.operators.stacks import replicate_sums
 from opinara.operators.standardize import BLOCK, column_stats
 from opinara.operators.scoring import with_degree_lexicon, with_degree_weight
+from opinara.plans.product_scores import METRICS, complete_metrics
 from opinara.sources.readers import read_csv
 from opinara.sources.writers import write_table
 
@@ -186,6 +187,36 @@ def test_comments_are_added_up_after_the_shuffle(spark):
         assert profile[p]["n_any"] == len({k for d in "ab" for k in cells.get((p, d), {})}) and profile[p]["a_h"] == len(cells.get((p, "a"), {}))
 
 
+def test_only_large_products_are_dealt_to_several_shares(spark, monkeypatch):
+    monkeypatch.setattr(SC, "SHARE_ROWS", 50)
+    rows = [(i % 4 // 3, i // 2 % 90, "ab"[i % 2], "cd"[i % 3 % 2], float(i % 11)) for i in range(600)] + [(2, None, "a", "c", 1.0), (3, 1, "a", "c", 1.0)]
+    matches = spark.createDataFrame(rows, "product_id int, comment_id int, f string, e string, v double")
+    # A product may come twice in the totals, or with a null.
+    totals = spark.createDataFrame([(0, 450), (1, 50), (1, 50), (2, None), (None, 900)], "product_id int, n_total long")
+    dealt = SC.by_share(matches, totals, "product_id", "comment_id")
+    assert dealt.count() == len(rows) and dealt.columns == [*matches.columns, "_share"]
+    shares = {r["product_id"]: r["n"] for r in dealt.groupBy("product_id").agg(F.count_distinct("_share").alias("n")).collect()}
+    assert shares == {0: 9, 1: 1, 2: 1, 3: 1}
+    assert dealt.groupBy("product_id", "comment_id").agg(F.count_distinct("_share").alias("n")).filter("n > 1").count() == 0
+    whole = spark.createDataFrame([(0, 450), (1, 50)], "product_id int, n_total long")
+    families = {"F": ("f", "v", ["a", "b"]), "E": ("e", "v", ["c", "d"])}
+    got = SC.joint_profile(matches, whole, families)
+    monkeypatch.setattr(SC, "SHARE_ROWS", 1 << 16)
+    want = SC.joint_profile(matches, whole, families)
+    for a, b in zip(got.orderBy("product_id").collect(), want.orderBy("product_id").collect(), strict=True):
+        assert list(a) == pytest.approx(list(b))
+
+
+def test_measures_of_single_dimensions_are_left_out_where_not_asked(spark):
+    rows = [(i % 5, i, "ab"[i % 2], float(i % 7) - 2) for i in range(60)]
+    matches = spark.createDataFrame(rows, "product_id long, comment_id long, code string, final_value double")
+    totals = spark.createDataFrame([(i, 20 + i) for i in range(6)], "product_id long, n_total long")
+    whole = complete_metrics(matches, totals, ["a", "b"])
+    short = complete_metrics(matches, totals, ["a", "b"], by_dimension=False)
+    assert set(whole.columns) - set(short.columns) == {f"{c}_{m}" for c in "ab" for m in METRICS}
+    assert sorted(short.collect(), key=lambda r: r.product_id) == sorted(whole.select(*short.columns).collect(), key=lambda r: r.product_id)
+
+
 def test_statistics_of_many_columns_are_taken_in_blocks(spark):
     rng = np.random.default_rng(5)
     names = [f"v{i}" for i in range(2 * BLOCK + 3)]
