@@ -393,7 +393,8 @@ def profiles(spark, sf):
 
 def master(spark, sf):
     affective, functional = (_scored(spark, sf, family, totals(spark, sf), profiles(spark, sf)) for family in "EF")
-    scores = affective.drop("n_total").join(functional, "product_id")
+    # Merge joins where both sides have a row for every product, as in ``build_master``.
+    scores = affective.drop("n_total").join(functional.hint("merge"), "product_id")
     pcs = OV.pca_scores(table(spark, sf, "vectors"), "vec_id", "embedding", 7).withColumnRenamed("vec_id", "product_id")
     sat = satisfaction(spark, sf)
     merged = build_master(scores, pcs, sat, norm_key=False)
@@ -402,7 +403,7 @@ def master(spark, sf):
         F.avg((F.col("sentiment_score") < 0).cast("double")), F.max("l_shipdate"), F.lit("2002-01-01").cast("date"),
     )
     brand = group_mean_log(table(spark, sf, "products"), "brand", "price", "ln_brand_avg_price").select("product_id", "ln_brand_avg_price")
-    return merged.join(controls, "product_id").join(brand, "product_id")
+    return merged.join(controls.hint("merge"), "product_id").join(brand.hint("merge"), "product_id")
 
 
 @C.add("product_master")
@@ -410,17 +411,12 @@ def _(spark, sf):
     return rounded(master(spark, sf))
 
 
-def prepared(spark, sf):
-    """Columns of the master that models use; the others would be written twice."""
-    scored = [*YS, "m_e_avg", "m_f_avg", *PCS, *CONTROLS, *DIMZ]
-    used = ["product_id", "price", "n_reviews_total", "sentiment_z", *(c for c in scored if c not in LOGS)]
-    return I.prepare(master(spark, sf).select(*used), scored)
-
-
 @shared("complete")
 def complete(spark, sf):
-    """Products with component scores: the model sample."""
-    return prepared(spark, sf).dropna(subset=[f"{c}_s" for c in PCS])
+    """Products with component scores: the model sample. Columns of the master that models use; the others would be written twice."""
+    scored = [*YS, "m_e_avg", "m_f_avg", *PCS, *CONTROLS, *DIMZ]
+    used = ["product_id", "price", "n_reviews_total", "sentiment_z", *(c for c in scored if c not in LOGS)]
+    return I.prepare(master(spark, sf).select(*used), scored, present=PCS)
 
 
 @C.add("main_models")

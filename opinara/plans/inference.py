@@ -49,10 +49,12 @@ def prepare(
     price: str = "price",
     reviews: str = "n_reviews_total",
     ddof: int = 1,
+    present: Sequence[str] = (),
 ) -> DataFrame:
     """Contracts, logs and full-sample z-scores (suffix ``_s``); pinned, because every model scans it.
 
-    Subsamples later keep these z-scores.
+    Subsamples later keep these z-scores. Rows without a z-score of one of ``present`` count in the statistics but
+    are not written.
     """
     require_columns(master, [key, price, reviews], "product master")
     # The checks of rows ride along with the one pass that writes the master; only the key column is read again.
@@ -63,7 +65,8 @@ def prepare(
     logged = master.withColumns(
         {"lnprice": log_plus(F.col(price)), "lnreviews": log_plus(F.col(reviews).cast("double"))}
     )
-    return pin(zscore(logged, list(cols), ddof=ddof, on_constant="raise", names={c: f"{c}_s" for c in cols}))
+    z = zscore(logged, list(cols), ddof=ddof, on_constant="raise", names={c: f"{c}_s" for c in cols})
+    return pin(z.dropna(subset=[f"{c}_s" for c in present]) if present else z)
 
 
 def main_specs(r: Roles) -> list[Spec]:

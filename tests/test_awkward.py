@@ -16,6 +16,8 @@ from opinara.operators.resampling import poisson_moments
 from opinara.operators.stacks import replicate_sums
 from opinara.operators.standardize import BLOCK, column_stats
 from opinara.operators.scoring import with_degree_lexicon, with_degree_weight
+from opinara.plans import inference as I
+from opinara.plans.master import build_master
 from opinara.plans.product_scores import METRICS, complete_metrics
 from opinara.sources.readers import read_csv
 from opinara.sources.writers import write_table
@@ -207,6 +209,25 @@ def test_only_large_products_are_dealt_to_several_shares(spark, monkeypatch):
         assert list(a) == pytest.approx(list(b))
 
 
+def test_tables_of_the_master_are_joined_without_a_broadcast(spark):
+    scores = spark.sql("SELECT id AS product_id, 1.0D AS ME1_z FROM range(5)")
+    pcs = spark.sql("SELECT id AS product_id, 2.0D AS z_pc1 FROM range(1, 6)")
+    sat = spark.sql("SELECT id AS product_id, 'b' AS brand, 3.0D AS price, 4L AS n_reviews_total FROM range(2, 7)")
+    rows = build_master(scores, pcs, sat, norm_key=False)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+    assert sorted((r.product_id, r.z_pc1, r.price) for r in rows.collect()) == [(0, None, None), (1, 2.0, None), (2, 2.0, 3.0), (3, 2.0, 3.0), (4, 2.0, 3.0)]
+
+
+def test_rows_outside_the_model_sample_count_but_are_not_written(spark):
+    rows = [(i, 2.0 + i, 3 + i, float(i * i), None if i % 3 else float(i)) for i in range(12)]
+    master = spark.createDataFrame(rows, "product_id long, price double, n_reviews_total long, x double, pc double")
+    whole = {r.product_id: r for r in I.prepare(master, ["x", "pc"]).collect()}
+    got = I.prepare(master, ["x", "pc"], present=["pc"])
+    assert len(whole) == 12 and "Filter" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Relation" in plan
+    assert {r.product_id: r for r in got.collect()} == {i: whole[i] for i in (0, 3, 6, 9)}
+
+
 def test_measures_of_single_dimensions_are_left_out_where_not_asked(spark):
     rows = [(i % 5, i, "ab"[i % 2], float(i % 7) - 2) for i in range(60)]
     matches = spark.createDataFrame(rows, "product_id long, comment_id long, code string, final_value double")
