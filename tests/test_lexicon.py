@@ -3,8 +3,11 @@
 import json
 import random
 import re
+import time
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from opinara.lexicons import affective_rules, functional_rules
@@ -200,3 +203,91 @@ def test_a_batch_of_many_hits_is_cut(spark):
     assert found.filter("span = 'ab' AND dimension = 'x' AND polarity = 1").select("id", "match_id").toPandas().sort_values(["id", "match_id"]).to_numpy().tolist() == [list(w) for w in want]
     assert found.count() == len(want)
     assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= LT.BATCH
+
+
+def in_process(texts, rules):
+    """Matches of texts by the function that runs in the workers."""
+    seeds = rules.by_text()
+    columns = [[*seeds], [x.dimension for x in seeds.values()], pa.array([x.polarity for x in seeds.values()], pa.int32()), [x.excluded for x in seeds.values()]]
+    modifiers = LT.Modifiers(dict(rules.degrees), dict(rules.degrees_after), set(rules.negations), list(rules.negation_exceptions))
+    run = LT._single(SimpleNamespace(value=pa.table(columns, LT.SEED_FIELDS)), f"{random.random()}", SimpleNamespace(value=modifiers), 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["k0", "text"])
+    out = {i: [] for i in range(len(texts))}
+    for part in run([batch]):
+        for r in zip(*[c.to_pylist() for c in part.columns]):
+            out[r[0]].append(r[1:])
+    return out
+
+
+def test_random_rules_against_plain_python():
+    """Few letters, so that seeds, degree words, negations and phrases overlap in every way."""
+    rng = random.Random(4)
+    for _ in range(150):
+        letters = rng.choice(["ab", "abc", "aé好𝒳d", "abcdefgh"])
+        word = lambda low, high: "".join(rng.choices(letters, k=rng.randint(low, high)))
+        some = lambda most, low, high: sorted({word(low, high) for _ in range(rng.randint(0, most))})
+        seeds = [Seed(t, f"d{rng.randint(0, 3)}", rng.randint(-1, 1), rng.random() < 0.2) for t in some(12, rng.choice([1, 3]), rng.choice([4, 30])) or ["a"]]
+        weights = lambda t: {w: rng.choice([0.4, 0.7, 1.0]) for w in t}
+        phrases = sorted(some(5, 1, 5), key=lambda w: (-len(w), w))
+        rules = Rules(seeds, weights(some(4, 1, 4)), weights(some(4, 1, 9)), some(4, 1, 4), phrases)
+        texts = [word(0, 60) for _ in range(12)] + [None, "", seeds[0].text, word(0, 3) + seeds[-1].text]
+        assert in_process(texts, rules) == {i: plain_matches(t, rules) for i, t in enumerate(texts)}
+
+
+def test_a_hash_that_deceives():
+    """With factor 1 the hash is the sum of the characters: words made of the same ones look alike until they are compared."""
+    for seeds, text, want in [(["abc", "cd"], "bcacdxabcd", [(3, 1), (6, 0)]), (["ab", "x"], "baxab", [(2, 1), (3, 0)]), (["ba", "d"], "abadba", [(1, 0), (3, 1), (4, 0)])]:
+        words, texts = LT.Words(pa.array(seeds)), LT.Texts(pa.array([text]), 9)
+        assert words._built(np.uint64(1))
+        starts, number = texts.hits(words)
+        assert list(zip((starts - texts.begins[0]).tolist(), number.tolist())) == want
+
+
+def test_overlaps_settle_side_by_side_as_one_after_another(monkeypatch):
+    rng = np.random.default_rng(2)
+    for few in (0, 4):
+        monkeypatch.setattr(LT, "FEW", few)
+        for _ in range(200):
+            starts = np.flatnonzero(rng.random(rng.integers(1, 80)) < rng.random())
+            ends, free, want = starts + rng.integers(1, rng.integers(2, 12), len(starts)), 0, []
+            for i, (a, b) in enumerate(zip(starts, ends)):
+                if a >= free:
+                    want.append(i)
+                    free = b
+            assert LT.settled(starts, ends).tolist() == want
+
+
+def test_words_that_hold_the_mask():
+    """A negation or a phrase may hold the character that masks phrases; then the whole span counts."""
+    rng, letters = random.Random(8), "ab" + LT.MASK
+    for _ in range(200):
+        word = lambda low, high: "".join(rng.choices(letters, k=rng.randint(low, high)))
+        phrases = sorted({word(1, 3) for _ in range(3)}, key=lambda w: (-len(w), w))
+        modifiers = LT.Modifiers({}, {}, {word(1, 3), word(1, 3)}, phrases)
+        texts, spans = LT.Texts(pa.array(body := [word(4, 9) for _ in range(9)]), 9), []
+        starts = texts.begins + [rng.randint(0, len(t) - 1) for t in body]
+        for t, at in zip(body, starts - texts.begins):
+            spans.append(t[at:])
+        want = [modifiers.negated(t[max(0, at - 3) : at], t[at:]) for t, at in zip(body, starts - texts.begins)]
+        assert modifiers.around(texts.points, starts, texts.begins + texts.sizes, pa.array(spans))[1].to_pylist() == want
+
+
+def test_a_hit_costs_less_than_in_plain_python(spark):
+    """Hits are worked on together: a million take less time than one by one, by a scan without an automaton or Spark."""
+    rng = random.Random(5)
+    seeds = sorted({"".join(rng.choices("abcdefghijkl", k=rng.randint(5, 7))) for _ in range(30_000)})
+    rules = Rules([Seed(s, "x", 1) for s in seeds], {"a": 1.0, "bc": 0.7}, {"de": 0.4, "fgh": 0.4}, ["ab", "c"], ["bca", "cd"])
+    docs = [" ".join(rng.choices(seeds, k=2000)) for _ in range(500)]
+    began = time.thread_time()
+    want = [plain_matches(t, rules) for t in docs[:25]]
+    plain = (time.thread_time() - began) / sum(map(len, want))
+    table = spark.createDataFrame([(s, "x", 1, False) for s in seeds], LT.SEEDS)
+    weights = lambda words: spark.createDataFrame([*words.items()], "word string, weight double")
+    listed = lambda words: spark.createDataFrame([(w,) for w in words], "word string")
+    frame = spark.createDataFrame([*enumerate(docs)], "id int, text string").coalesce(1)
+    found = LT.extract_from_tables(frame, "text", table, ["id"], weights(rules.degrees), weights(rules.degrees_after), listed(rules.negations), listed(rules.negation_exceptions))
+    first = sorted(tuple(r)[1:] for r in found.filter("id = 7").collect())
+    assert first == want[7]
+    began = time.time()
+    rows = found.selectExpr("count(*)", "count(degree_word)").first()[0]
+    assert rows > 900_000 and time.time() - began < rows * plain
