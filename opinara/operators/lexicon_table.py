@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ..session import pin
 from .lexicon import MASK, WINDOW
 
-#: Characters of seeds in one scan (up to about 20 bytes each in memory), and of all modifier words together.
+#: Characters of seeds in one scan (13 to 20 bytes each in a worker's memory), and of all modifier words together.
 SHARD_CHARACTERS, MODIFIER_CHARACTERS = 12_000_000, 4_000_000
 
 SEEDS = "seed string, dimension string, polarity int, excluded boolean"
